@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import words
 from .common import picked
@@ -124,7 +124,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     """
     context = docs.sparkSession.sparkContext
     state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    kind = f"row {state.schema['row'].dataType.simpleString()}, text string, n_words bigint, matches array<struct<item:string,item_start:bigint,start:bigint,length:bigint>>"
+    match = T.StructType().add("item", "string").add("item_start", "long").add("start", "long").add("length", "long")
+    kind = T.StructType([state.schema["row"]]).add("text", "string").add("n_words", "long").add("matches", T.ArrayType(match))
     for block in [*blocks(benchmark, window, item_col, item_text_col, block_bytes)] or [None]:
         shared = context.broadcast(block)  # about BLOCK_BYTES of text
 

@@ -12,6 +12,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import picked, staged
 
 CAPACITY = 2048
-_CACHE_WORDS = 600_000
+_CACHE_CHUNKS = 1_200_000
 #: Texts of these characters alone are their own NFC form and lower-case one by one.
 _LATIN = "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2028)]))
 _OTHER = re.compile(f"[^\t\n\x0b\x0c\r{re.escape(_LATIN)}]")
@@ -30,10 +31,10 @@ _SPLIT = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\s{_
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian uint32 bytes, with those of a word kept for its next occurrence.
+    """Ids of whole texts as little-endian uint32 bytes, with those of a chunk kept for its next occurrence.
 
-    The tokenizer cuts a text into words before it merges, so the ids of a text are those of its
-    words in order. Texts with other than plain Latin characters, and those that could hold a
+    The tokenizer cuts a text into words, none of them across white space, before it merges, so the
+    ids of a text are those of its chunks between white space, in order. Texts with other than plain Latin characters, and those that could hold a
     special token's name, go through the tokenizer as a whole.
     """
 
@@ -45,8 +46,10 @@ class WordTokens:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Look the new words up in one call: each is one word of the text that they make."""
+    def _learn(self, chunks: set[str]) -> None:
+        """Look the new chunks' new words up in a few calls, as one text, and put the chunks together."""
+        cut = [(c, _SPLIT.findall(c)) for c in chunks]
+        words = [*set(chain.from_iterable(c[1] for c in cut)).difference(self.known)]
         for low in range(0, len(words), 4096):
             some = words[low : low + 4096]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -56,16 +59,20 @@ class WordTokens:
             for word, end in zip(some, ends.tolist(), strict=True):
                 self.known[word] = raw[at:end]
                 at = end
+        get = self.known.__getitem__
+        for chunk, parts in cut:
+            if len(parts) > 1:
+                self.known[chunk] = b"".join(map(get, parts))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "<|" in t or _OTHER.search(t) else _SPLIT.findall(t.lower()) for t in texts]
-        needed = set().union(*(w for w in cut if w is not None))
-        new = needed - self.known.keys()
-        if len(self.known) + len(new) > _CACHE_WORDS:
-            self.known, new = {}, needed
-        self._learn(list(new))
+        cut = [None if "<|" in t or _OTHER.search(t) else t.lower().split() for t in texts]
+        needed = set(chain.from_iterable(c for c in cut if c is not None))
+        new = needed.difference(self.known)
+        if len(self.known) + len(new) > _CACHE_CHUNKS:
+            self.known = {c: self.known[c] for c in needed - new}
+        self._learn(new)
         get = self.known.__getitem__
-        return [self._ids(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut, strict=True)]
+        return [self._ids(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 _tokens: dict[str, WordTokens] = {}

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import picked
 
@@ -148,15 +148,28 @@ def quality_scores(
     every score is the share of good ones. Ids and other columns never enter a score.
     """
     model = model or fit(*labelled(docs, labels, id_col, text_col, label_col, sample_rows))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES at most
+    rows = picked(docs, doc_id=id_col, text=text_col)
+    scored = _scored(rows.select(F.struct("doc_id").alias("row"), "text"), model, threshold)
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``docs`` without those that score below the threshold; all columns stay."""
+    model = fit(*labelled(docs, labels, id_col, text_col, label_col, sample_rows))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return _scored(rows, model, threshold).filter("predicted = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _scored(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """``row`` (whatever it holds), ``score`` and ``predicted`` of rows (row, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                texts = [(t or "").encode() for t in part.column(2).to_pylist()]
+                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 s = shared.value.scores(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
-    rows = picked(docs, doc_id=id_col, text=text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(score, T.StructType([rows.schema["row"]]).add("score", "double").add("predicted", "int"))

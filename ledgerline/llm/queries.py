@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, warc
+from . import decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.dedup_archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -55,7 +59,7 @@ def op10_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_host_quality_rules, op2_repeated_passages, op3_best_fit_packing, op4_benchmark_decontamination, op6_warc_revisits,
+        op1_host_quality_rules, op2_repeated_passages, op3_best_fit_packing, op4_benchmark_decontamination, op5_fuzzy_line_dedup, op6_warc_revisits,
         op7_hilbert_sharding, op8_compression_quality, op9_ngram_jaccard_join, op10_license_paragraphs,
     )
 }
