@@ -172,4 +172,4 @@ def _scored(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
                 s = shared.value.scores(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
-    return rows.mapInArrow(score, T.StructType([rows.schema["row"]]).add("score", "double").add("predicted", "int"))
+    return rows.mapInArrow(score, T.StructType([rows.schema["row"]]).add("score", "double").add("predicted", "integer"))
