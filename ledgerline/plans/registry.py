@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import validation
+from . import records, validation
 
-QUERIES = {**validation.QUERIES}
-ORACLES = {**validation.ORACLES}
+QUERIES = {**validation.QUERIES, **records.QUERIES}
+ORACLES = {**validation.ORACLES, **records.ORACLES}
