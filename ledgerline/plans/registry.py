@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import records, validation
+from . import analysis, records, validation
 
-QUERIES = {**validation.QUERIES, **records.QUERIES}
-ORACLES = {**validation.ORACLES, **records.ORACLES}
+QUERIES = {**validation.QUERIES, **records.QUERIES, **analysis.QUERIES}
+ORACLES = {**validation.ORACLES, **records.ORACLES, **analysis.ORACLES}
