@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, records, validation
+from . import analysis, monitor_rules, records, validation
 
-QUERIES = {**validation.QUERIES, **records.QUERIES, **analysis.QUERIES}
-ORACLES = {**validation.ORACLES, **records.ORACLES, **analysis.ORACLES}
+_MODULES = (validation, records, monitor_rules, analysis)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

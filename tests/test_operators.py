@@ -153,3 +153,15 @@ def test_replacement_and_summary(spark):
     df = spark.createDataFrame([("a", "b", None, "c"), (None, "b", "c", "c")], "o1 string, n1 string, o2 string, n2 string")
     got = df.select(monitor.replacement_suspected([(F.col("o1"), F.col("n1"))]), monitor.change_summary([("one", F.col("o1"), F.col("n1")), ("two", F.col("o2"), F.col("n2"))])).collect()
     assert [tuple(r) for r in got] == [(True, "one, two"), (False, "one")]
+
+
+def test_validate_dataset_gates_cross_table_rules(spark):
+    from ledgerline.operators.validate import validate_dataset
+
+    child = specs.parse_spec('{"table": "child", "primary_key": ["id"], "columns": [{"name": "id", "required": true}, {"name": "thing_id"}], "foreign_keys": [{"columns": ["thing_id"], "ref_table": "thing", "ref_columns": ["id"], "nullable": true}]}')
+    thing = spark.createDataFrame([tuple(VALID.values())], SCHEMA)
+    rows = lambda *r: spark.createDataFrame(list(r), "row_number long, id string, thing_id string")
+    known = {"thing": SPEC, "child": child}
+    assert issues(validate_dataset({"thing": thing, "child": rows((2, "a", "1"), (3, "b", None))}, known)) == []
+    assert issues(validate_dataset({"thing": thing, "child": rows((2, "a", "9"), (3, "b", None))}, known)) == [("thing_id", "missing_reference")]
+    assert issues(validate_dataset({"thing": thing, "child": rows((2, "a", "9"), (3, "a", None))}, known)) == [("id", "duplicate_key")]
