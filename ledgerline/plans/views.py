@@ -35,7 +35,7 @@ VIEWS: dict[str, str] = {
           scheduled_at - INTERVAL '1' HOUR * (1 + k % 5) + CASE WHEN k % 50 = 0 THEN INTERVAL '7' HOUR ELSE INTERVAL '0' HOUR END AS locked_at,
           scheduled_at - INTERVAL '8' HOUR + CASE WHEN k % 43 = 0 THEN INTERVAL '9' HOUR ELSE INTERVAL '0' HOUR END AS as_of,
           scheduled_at - INTERVAL '7' HOUR AS recorded_at
-        FROM event, (SELECT 1 AS v UNION ALL SELECT 2 AS v) n WHERE v = 1 OR k % 4 = 0""",
+        FROM (SELECT *, 1 AS v FROM event UNION ALL SELECT *, 2 AS v FROM event WHERE k % 4 = 0) e""",
     "review": """SELECT 'R-' || CAST(k AS STRING) AS review_id, event_id, k, k + 2 AS row_number, 'B1-' || CAST(CASE WHEN k % 71 = 0 THEN k + 1 WHEN k % 73 = 0 THEN k + 10000000 ELSE k END AS STRING) AS baseline_id,
           scheduled_at + INTERVAL '2' HOUR - CASE WHEN k % 33 = 0 THEN INTERVAL '5' HOUR ELSE INTERVAL '0' HOUR END AS recorded_at,
           CASE WHEN k % 3 = 0 THEN 'NO_TRADE' WHEN k % 3 = 1 THEN 'LONG' ELSE 'SHORT' END AS decision,
