@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import picked, staged
 
 CAPACITY = 2048
-_CACHE_CHUNKS = 1_200_000
+_CACHE_CHUNKS = 400_000
 #: Texts of these characters alone are their own NFC form and lower-case one by one.
 _LATIN = "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2028)]))
 _OTHER = re.compile(f"[^\t\n\x0b\x0c\r{re.escape(_LATIN)}]")
