@@ -3,8 +3,8 @@
 A line's set are the shingles of ``SHINGLE`` characters that begin at its words. Its MinHash
 values are the first hashes at or after fixed points of the ring of 64-bit hashes, all found
 in one sort. Bands of two values bring alike lines together; each is compared exactly with
-the least line of each of its bands; union-find joins the links, and the first line of each
-component stays.
+the least line of each of its bands, then with every other line of its bands that these links
+don't join to it yet; union-find joins the links, and the first line of each component stays.
 
 Equal lines are one from the start: only a hash, a place and the bands of a line are shuffled.
 """
@@ -23,6 +23,10 @@ MIN_WORDS = 3
 #: Pairs of sixteenths of the ring at whose beginnings the two values of each band are read.
 BANDS = ((-8, 1), (-5, 4), (-2, 7), (-6, 2), (0, 5), (-4, 3))
 BROADCAST_ROWS = 1_000_000
+#: Lines of a bucket that meet in one task.
+BLOCK = 256
+#: Longs of a line's parities, a power of two.
+SKETCH = 4
 
 
 def shingle_hashes(line: Column) -> Column:
@@ -57,6 +61,54 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _sketched(lines: DataFrame) -> DataFrame:
+    """``lines`` with their sets' sizes and parities: bit k of all ``SKETCH`` longs tells whether an odd number of hashes falls on k."""
+    sets = lines.withColumn("grams", F.array_distinct(shingle_hashes(F.col("line"))))
+
+    def parity(k: int) -> Column:
+        mine = F.filter("grams", lambda x: F.shiftright(x, 6).bitwiseAND(SKETCH - 1) == k)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+
+    return sets.select("h", "line", F.size("grams").alias("n"), *[parity(k).alias(f"parity{k}") for k in range(SKETCH)])
+
+
+def _alike(similarity: float) -> Column:
+    """False only for lines ``x`` and ``y`` that are less alike: each differing parity needs a hash that just one of them has."""
+    apart = sum((F.bit_count(F.col(f"x.parity{k}").bitwiseXOR(F.col(f"y.parity{k}"))) for k in range(SKETCH)), F.lit(0))
+    return F.greatest(apart, F.abs(F.col("x.n") - F.col("y.n"))) * (1 + similarity) <= (F.col("x.n") + F.col("y.n")) * (1 - similarity) + 1e-6
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose lines' sets have at least the Jaccard ``similarity``."""
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
+    sets = both.select("a", "b", F.array_distinct(shingle_hashes(F.col("line_a"))).alias("x"), F.array_distinct(shingle_hashes(F.col("line_b"))).alias("y"))
+    sized = sets.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return sized.filter(F.col("common") >= F.lit(similarity) * (F.col("n") - F.col("common"))).select("a", "b")
+
+
+def _stars(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the least line of a bucket and every other one."""
+    x, y = buckets.filter("h = rep").alias("x"), buckets.filter("h <> rep").alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & _alike(similarity))
+    return staged(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line_stars")
+
+
+def _rest(buckets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) that shares a bucket, has no part in its star and isn't joined by ``groups`` yet.
+
+    Large buckets are dealt into blocks of about ``BLOCK`` lines; each two blocks meet under a key of their own.
+    """
+    held = buckets.filter("h <> rep").drop("rep").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
+    held = staged(held, "held_lines")
+    several = held.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("h") / BLOCK).alias("blocks")).filter("low <> high").select("band", "blocks")
+    dealt = held.join(several, "band").withColumn("block", F.pmod("h", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("band", "i", "j")]
+    fresh = F.expr("x.h < y.h and x.c <> y.c and (x.i = x.j or x.block <> y.block)")
+    met = dealt.alias("x").join(dealt.alias("y"), same[0] & same[1] & same[2] & fresh & _alike(similarity))
+    return staged(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line_rest")
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """Per judged line: ``doc_id``, ``line_no`` (from 0), ``first_doc_id`` and ``first_line_no`` of its component, and ``kept``.
 
@@ -72,18 +124,15 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     keys = distinct.select("h", F.explode(F.array(*[f"band{k}" for k in range(len(BANDS))])).alias("band"))
     met = keys.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("most")).filter("rep <> most").select("band", "rep")
-    pairs = staged(keys.join(met, "band").filter("h <> rep").select("h", "rep").distinct(), "line_pairs")
-    ids = pairs.select("h").union(pairs.select("rep")).distinct()
-    wanted = staged(ids.join(distinct.select("h", F.col("first_doc").alias("doc_id")), "h"), "wanted_lines")
-    # Only the lines that are compared get their sets made again, each from the first document that has it.
+    shared = staged(keys.join(met, "band").select("band", "h", "rep"), "shared_bands")
+    wanted = staged(shared.select("h").distinct().join(distinct.select("h", F.col("first_doc").alias("doc_id")), "h"), "wanted_lines")
+    # Only the lines that are compared are read again, each from the first document that has it.
     again = _rows(docs, id_col, text_col).select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).withColumn("h", F.xxhash64("line"))
-    sets = staged(again.join(_small(wanted), ["doc_id", "h"]).select("h", F.array_distinct(shingle_hashes(F.col("line"))).alias("grams")), "line_sets")
-    sized = F.size("grams")
-    left = sets.join(_small(pairs), "h").select("h", "rep", "grams")
-    right = sets.join(_small(pairs.select(F.col("rep").alias("h")).distinct()), "h").select(F.col("h").alias("rep"), F.col("grams").alias("rep_grams"))
-    both = left.join(right, "rep").withColumn("common", F.size(F.array_intersect("grams", "rep_grams")))
-    linked = both.filter(F.col("common") >= F.lit(similarity) * (sized + F.size("rep_grams") - F.col("common")))
-    groups = connected(linked.select(F.col("rep").alias("a"), F.col("h").alias("b")))
+    texts = staged(_sketched(again.join(_small(wanted), ["doc_id", "h"]).select("h", "line")), "line_texts")
+    buckets = staged(shared.join(_small(texts.drop("line")), "h"), "line_buckets")
+    links = staged(_linked(_stars(buckets, similarity), texts, similarity), "line_links")
+    rest = _linked(_rest(buckets, connected(links), similarity), texts, similarity)
+    groups = connected(links.union(rest))
     placed = flat.select("doc_id", "line_no", "h").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h"))
     placed = staged(placed.select("doc_id", "line_no", "c"), "placed_lines")
     first_doc = placed.groupBy("c").agg(F.min("doc_id").alias("first_doc_id"))

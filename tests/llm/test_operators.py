@@ -287,3 +287,18 @@ def test_license_scan(spark, empty):
     assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(i, 1, f) for i, f in enumerate(lines)]
     assert [r["text"] for r in got if r["doc_id"] == 1] == [lines["GPL"]]
     assert license_scan.findings(empty).count() == 0
+
+
+def test_lines_that_only_a_third_one_brings_together(spark):
+    """Two alike lines stay linked where the least line of their bucket is like neither."""
+    dice = random.Random(5)
+    word = lambda: "".join(dice.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(60)]
+    rows = []
+    for _ in range(40):  # each pair differs by a word, and from other pairs by a third of the words
+        one = [w if dice.random() < 0.72 else word() for w in base]
+        two = [word() if k == 30 else w for k, w in enumerate(one)]
+        rows += [" ".join(one), " ".join(two)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["first_doc_id"] for r in line_dedup.duplicate_lines(docs).collect()}
+    assert got == {k: k - k % 2 for k in range(80)}
