@@ -1,6 +1,6 @@
 """Fuzzy line dedup in DataFrame functions alone.
 
-A line's set are the shingles of ``SHINGLE`` characters that begin at its words. Its MinHash
+A line's set are the shingles of ``SHINGLE`` characters at all its positions. Its MinHash
 values are the first hashes at or after fixed points of the ring of 64-bit hashes, all found
 in one sort. Bands of two values bring alike lines together; each is compared exactly with
 the least line of each of its bands, then with every other line of its bands that these links
@@ -30,8 +30,9 @@ SKETCH = 4
 
 
 def shingle_hashes(line: Column) -> Column:
-    """Hashes of the ``SHINGLE`` characters that begin at each word (fewer at the end), in lower case."""
-    found = F.regexp_extract_all(F.lower(line), F.lit(rf"(?=(\S.{{0,{SHINGLE - 1}}}))\S+"), F.lit(1))
+    """Hashes of the ``SHINGLE`` characters at each position, in lower case; a shorter line is its own one shingle."""
+    low = F.lower(line)
+    found = F.when(F.length(low) < SHINGLE, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{SHINGLE}}})).")))
     return F.transform(found, lambda x: F.xxhash64(x))
 
 
@@ -42,7 +43,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def judged_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Every line of at least ``min_words`` words: ``doc_id``, ``line_no``, ``line`` and its shingles' hashes, sorted."""
     lines = _rows(docs, id_col, text_col).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.withColumn("grams", F.sort_array(shingle_hashes(F.col("line")))).filter(F.size("grams") >= min_words)
+    return lines.filter(F.col("line").rlike(rf"^\s*+(?:\S++\s++){{{max(min_words, 1) - 1}}}\S")).withColumn("grams", F.sort_array(shingle_hashes(F.col("line"))))
 
 
 def _bands(lines: DataFrame) -> DataFrame:

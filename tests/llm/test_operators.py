@@ -302,3 +302,11 @@ def test_lines_that_only_a_third_one_brings_together(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r["doc_id"]: r["first_doc_id"] for r in line_dedup.duplicate_lines(docs).collect()}
     assert got == {k: k - k % 2 for k in range(80)}
+
+
+def test_lines_that_differ_within_long_words(spark):
+    """All positions count, so lines that differ past a word's ninth character aren't equal."""
+    pairs = ["Invoice number INV-2024-000123 total", "Invoice number INV-2024-000999 total", "see https://example.org/a/report.pdf for details", "see https://example.org/b/minutes.html for details", "a long enough line, once", "A long enough line, once"]
+    docs = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["first_doc_id"] for r in line_dedup.duplicate_lines(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
