@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of alike lines the first stays; documents of which nothing is left go; ``n_chars`` follows the text."""
-    return line_dedup.deduplicated(docs, length_col="n_chars")
+    return line_dedup.deduplicated(docs, length_col="n_chars", min_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from .components import connected
 
 SHINGLE = 9
 SIMILARITY = 0.75
-#: Lines of fewer words are never judged.
+#: Where callers don't say otherwise, lines of fewer words aren't judged; op5 and the pipeline judge all that aren't blank (1).
 MIN_WORDS = 3
 #: Pairs of sixteenths of the ring at whose beginnings the two values of each band are read.
 BANDS = ((-8, 1), (-5, 4), (-2, 7), (-6, 2), (0, 5), (-4, 3))

@@ -33,7 +33,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,3 +43,10 @@ def test_pipeline(spark):
 def test_digest_of_no_items(spark):
     clean = queries.op4_benchmark_decontamination(spark, oracle.DATA).filter("not contaminated").first()
     assert clean["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_every_line_that_is_not_blank_is_judged(spark, tmp_path):
+    texts = ["Les.", "Les.", "日本語の長い行がここにある", "日本語の長い行がここにある\n \n", "And ornd.", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["line_no"]): r["first_doc_id"] for r in queries.op5_fuzzy_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): 0, (1, 0): 0, (2, 0): 2, (3, 0): 2, (4, 0): 4}
