@@ -93,6 +93,45 @@ def timing_checks(rows: DataFrame) -> DataFrame:
     return check(rows, "observation", [("ts", "not_before", (F.col("role") == "before") & (F.col("ts") >= F.col("announced_at"))), ("ts", "not_after", (F.col("role") != "before") & (F.col("ts") <= F.col("announced_at")))])
 
 
+def expected_date() -> Column:
+    """The trading date that a role asks for; after the close, the immediate price is one of the next session."""
+    day, role = F.to_date("announced_at"), F.col("role")
+    immediate = F.when(F.col("announcement_session") == "after_close", F.col("next_date")).otherwise(day)
+    return (
+        F.when(role == "pre_event_close", F.col("pre_close_date")).when(role == "pre_announcement_reference", day)
+        .when(role == "immediate_post_announcement", immediate).when(role == "next_business_day_close", F.col("next_date"))
+        .when(role == "fifth_business_day_close", F.col("fifth_date"))
+    )
+
+
+def bundle_timing_checks(observations: DataFrame, bundles: DataFrame, verified: DataFrame) -> DataFrame:
+    """Each observation's time, date, kind of price and session, and the reference that an intraday bundle needs.
+
+    ``observations``: row_number, bundle_id, role, price_kind, trading_date, price_at. ``bundles``: bundle_id, ticker, announced_at,
+    announcement_session, pre_close_date, next_date and fifth_date (the first and fifth next session). ``verified`` sessions:
+    ticker, day, open_at, close_at, one row a key.
+    """
+    held = verified.select("ticker", F.col("day").alias("trading_date"), "open_at", "close_at", F.lit(True).alias("verified"))
+    rows = observations.join(bundles, "bundle_id").join(held, ["ticker", "trading_date"], "left")
+    role, kind, at, session = F.col("role"), F.col("price_kind"), F.col("price_at"), F.col("announcement_session")
+    immediate, reference = role == "immediate_post_announcement", role == "pre_announcement_reference"
+    inside = ("minute_bar_close", "vwap_after_announcement", "manual_trade_price")
+    allowed = F.when(session == "intraday", kind.isin(*inside)).otherwise(kind.isin("official_open", "manual_trade_price"))
+    found = check(rows, "observation", [
+        ("price_at", "not_before", (reference | (role == "pre_event_close")) & (at >= F.col("announced_at"))),
+        ("price_at", "not_after", immediate & (at <= F.col("announced_at"))),
+        ("trading_date", "unexpected_date", F.col("trading_date") != expected_date()),
+        ("role", "reference_not_intraday", reference & (session != "intraday")),
+        ("price_kind", "kind_not_of_session", immediate & ~allowed),
+        ("trading_date", "no_verified_session", F.col("verified").isNull()),
+        ("price_at", "not_at_open", (kind == "official_open") & (at != F.col("open_at"))),
+        ("price_at", "not_at_close", (kind == "official_close") & (at != F.col("close_at"))),
+        ("price_at", "outside_session", kind.isin(*inside) & ((at < F.col("open_at")) | (at > F.col("close_at")))),
+    ])
+    without = bundles.filter(session == "intraday").join(observations.filter(reference), "bundle_id", "left_anti")
+    return found.union(check(without, "bundle", [("announcement_session", "no_reference", F.lit(True))], row="bundle_id"))
+
+
 def price_checks(rows: DataFrame) -> DataFrame:
     """One currency and distinct roles of each bundle, positive unadjusted prices."""
     bundles = rows.groupBy("bundle_id").agg(F.countDistinct("currency").alias("currencies"), F.count("role").alias("n"), F.countDistinct("role").alias("roles"))

@@ -231,6 +231,32 @@ def timing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reaction.timing_checks(spark.sql(_OBSERVED, events=view(spark, sf_dir, "events")))
 
 
+_BUNDLES = "SELECT o_orderkey AS bundle_id, o_custkey % 50 AS ticker, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' HOUR * (8 + o_orderkey % 9) AS announced_at, CASE o_orderkey % 3 WHEN 0 THEN 'before_open' WHEN 1 THEN 'intraday' ELSE 'after_close' END AS announcement_session, CAST(o_orderdate AS DATE) - 1 AS pre_close_date, CAST(o_orderdate AS DATE) + 1 AS next_date, CAST(o_orderdate AS DATE) + 5 AS fifth_date FROM {orders}"
+_VERIFIED = "SELECT DISTINCT o_custkey % 50 AS ticker, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '9' HOUR AS open_at, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '15' HOUR AS close_at FROM {orders}"
+_SEEN = """SELECT l_orderkey * 10 + l_linenumber AS row_number, l_orderkey AS bundle_id, CASE l_linenumber % 5 WHEN 0 THEN 'fifth_business_day_close' WHEN 1 THEN 'pre_event_close' WHEN 2 THEN 'immediate_post_announcement' WHEN 3 THEN 'pre_announcement_reference' ELSE 'next_business_day_close' END AS role,
+  CASE l_partkey % 5 WHEN 0 THEN 'official_open' WHEN 1 THEN 'official_close' WHEN 2 THEN 'minute_bar_close' WHEN 3 THEN 'vwap_after_announcement' ELSE 'manual_trade_price' END AS price_kind, CAST(o_orderdate AS DATE) + CAST(l_suppkey % 7 - 1 AS INT) AS trading_date,
+  CAST(CAST(o_orderdate AS DATE) + CAST(l_suppkey % 7 - 1 AS INT) AS TIMESTAMP) + INTERVAL '1' HOUR * (8 + l_partkey % 9) AS price_at FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
+_INSIDE = "('minute_bar_close', 'vwap_after_announcement', 'manual_trade_price')"
+_TIMING = [
+    ("price_at", "not_before", "role IN ('pre_announcement_reference', 'pre_event_close') AND price_at >= announced_at"),
+    ("price_at", "not_after", "role = 'immediate_post_announcement' AND price_at <= announced_at"),
+    ("trading_date", "unexpected_date", "trading_date <> CASE role WHEN 'pre_event_close' THEN pre_close_date WHEN 'pre_announcement_reference' THEN CAST(announced_at AS DATE) WHEN 'immediate_post_announcement' THEN CASE WHEN announcement_session = 'after_close' THEN next_date ELSE CAST(announced_at AS DATE) END WHEN 'next_business_day_close' THEN next_date ELSE fifth_date END"),
+    ("role", "reference_not_intraday", "role = 'pre_announcement_reference' AND announcement_session <> 'intraday'"),
+    ("price_kind", "kind_not_of_session", f"role = 'immediate_post_announcement' AND CASE WHEN announcement_session = 'intraday' THEN price_kind NOT IN {_INSIDE} ELSE price_kind NOT IN ('official_open', 'manual_trade_price') END"),
+    ("trading_date", "no_verified_session", "open_at IS NULL"),
+    ("price_at", "not_at_open", "price_kind = 'official_open' AND price_at <> open_at"),
+    ("price_at", "not_at_close", "price_kind = 'official_close' AND price_at <> close_at"),
+    ("price_at", "outside_session", f"price_kind IN {_INSIDE} AND NOT price_at BETWEEN open_at AND close_at"),
+]
+
+
+@query(f"WITH bu AS ({_BUNDLES.format(orders='orders')}), vs AS ({_VERIFIED.format(orders='orders')}), ob AS ({_SEEN.format(orders='orders', lineitem='lineitem')}), j AS (SELECT * FROM ob JOIN bu USING (bundle_id) LEFT JOIN vs ON vs.ticker = bu.ticker AND vs.day = ob.trading_date) " + " UNION ALL ".join(f"SELECT {_T} '{c}' AS \"column\", '{code}' AS code FROM j WHERE {rule}" for c, code, rule in _TIMING)
+  + " UNION ALL SELECT 'bundle', bundle_id, 'announcement_session', 'no_reference' FROM bu WHERE announcement_session = 'intraday' AND bundle_id NOT IN (SELECT bundle_id FROM ob WHERE role = 'pre_announcement_reference')")
+def bundle_timing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lineitem = view(spark, sf_dir, "orders"), view(spark, sf_dir, "lineitem")
+    return reaction.bundle_timing_checks(spark.sql(_SEEN, orders=orders, lineitem=lineitem), spark.sql(_BUNDLES, orders=orders), spark.sql(_VERIFIED, orders=orders))
+
+
 @query(f"""WITH o AS ({_OBSERVED.format(events='events')}), b AS (SELECT bundle_id, count(DISTINCT currency) AS cs, count(role) AS n, count(DISTINCT role) AS rs FROM o GROUP BY 1), j AS (SELECT * FROM o JOIN b USING (bundle_id))
   SELECT {_T} 'currency' AS "column", 'several_currencies' AS code FROM j WHERE cs > 1 UNION ALL SELECT {_T} 'role', 'repeated_role' FROM j WHERE n > rs UNION ALL SELECT {_T} 'price', 'not_positive' FROM j WHERE price <= 0 UNION ALL SELECT {_T} 'adjusted', 'adjusted_price' FROM j WHERE adjusted""")
 def price_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,24 @@ def test_validate_dataset_gates_cross_table_rules(spark):
     assert issues(validate_dataset({"thing": thing, "child": rows((2, "a", "1"), (3, "b", None))}, known)) == []
     assert issues(validate_dataset({"thing": thing, "child": rows((2, "a", "9"), (3, "b", None))}, known)) == [("thing_id", "missing_reference")]
     assert issues(validate_dataset({"thing": thing, "child": rows((2, "a", "9"), (3, "a", None))}, known)) == [("id", "duplicate_key")]
+
+
+def test_bundle_timing(spark):
+    from ledgerline.operators import reaction
+
+    bundles = spark.sql("SELECT b AS bundle_id, 1 AS ticker, TIMESTAMP'2024-05-09 16:00:00' AS announced_at, s AS announcement_session, DATE'2024-05-08' AS pre_close_date, DATE'2024-05-10' AS next_date, DATE'2024-05-16' AS fifth_date FROM VALUES (1L, 'after_close'), (2L, 'intraday') AS t(b, s)")
+    verified = spark.sql("SELECT 1 AS ticker, d AS day, CAST(d AS TIMESTAMP) + INTERVAL '9' HOUR AS open_at, CAST(d AS TIMESTAMP) + INTERVAL '15' HOUR AS close_at FROM VALUES (DATE'2024-05-08'), (DATE'2024-05-09'), (DATE'2024-05-10') AS t(d)")
+    seen = [
+        (1, 1, "immediate_post_announcement", "official_open", "2024-05-10", "2024-05-10 09:00:00"),
+        (2, 1, "immediate_post_announcement", "official_close", "2024-05-09", "2024-05-09 17:00:00"),
+        (3, 1, "next_business_day_close", "manual_trade_price", "2024-05-11", "2024-05-11 10:00:00"),
+        (4, 1, "pre_event_close", "manual_trade_price", "2024-05-08", "2024-05-08 16:00:00"),
+        (5, 1, "pre_announcement_reference", "official_open", "2024-05-09", "2024-05-09 09:30:00"),
+    ]
+    rows = spark.createDataFrame(seen, "row_number long, bundle_id long, role string, price_kind string, d string, t string").selectExpr("row_number", "bundle_id", "role", "price_kind", "CAST(d AS DATE) AS trading_date", "CAST(t AS TIMESTAMP) AS price_at")
+    got = sorted((r["table"], r["row_number"], r["code"]) for r in reaction.bundle_timing_checks(rows, bundles, verified).collect())
+    assert got == [
+        ("bundle", 2, "no_reference"), ("observation", 2, "kind_not_of_session"), ("observation", 2, "not_at_close"), ("observation", 2, "unexpected_date"),
+        ("observation", 3, "no_verified_session"), ("observation", 3, "unexpected_date"), ("observation", 4, "outside_session"),
+        ("observation", 5, "not_at_open"), ("observation", 5, "reference_not_intraday"),
+    ]
