@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 # Hours of business time after which a source is stale, by window.
 STALE_HOURS = {"event_day": 12, "event_window": 24, "normal": 60}
 EVENT_WINDOW_DAYS = 5
+#: Where announcements are scheduled.
+ZONE = "Asia/Tokyo"
 
 
 def business_days_until(start: Column, end: Column) -> Column:
@@ -45,14 +47,21 @@ def is_stale(last_success: Column, now: Column, window: Column) -> Column:
     return last_success.isNull() | (business_seconds(last_success, now) > hours * 3600)
 
 
-def is_due(now: Column, event_date: Column) -> Column:
-    """On weekdays: the event's day, up to five business days before, or the evening hours from 17 to 21."""
-    today = now.cast("date")
+def local_time(at: Column, zone: str = ZONE) -> Column:
+    """An instant as the clock of ``zone`` shows it, whatever the session's zone is."""
+    return F.convert_timezone(F.current_timezone(), F.lit(zone), at.cast("timestamp").cast("timestamp_ntz"))
+
+
+def is_due(now: Column, event_date: Column, zone: str = ZONE) -> Column:
+    """On local weekdays: the event's day, up to five business days before, or the evening hours from 17 to 21."""
+    local = local_time(now, zone)
+    today = local.cast("date")
     near = (event_date == today) | ((today < event_date) & (business_days_until(today, event_date) <= EVENT_WINDOW_DAYS))
-    return (F.weekday(today) < 5) & (F.coalesce(near, F.lit(False)) | F.hour(now).between(17, 20))
+    return (F.weekday(today) < 5) & (F.coalesce(near, F.lit(False)) | F.hour(local).between(17, 20))
 
 
 def next_date(schedule: Column, on_or_after: Column) -> Column:
-    """The first full date of a schedule parted by ``;`` or ``|`` that isn't earlier; months alone are passed over."""
-    found = F.transform(F.regexp_extract_all(schedule, F.lit(r"(?:^|[;|\s])(\d{4}-\d{2}-\d{2})(?=$|[;|\s])"), F.lit(1)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
+    """The first full date of a schedule that isn't earlier. Its entries, parted by ``;`` or ``|``, are ``date=label``; months alone are passed over."""
+    dates = F.transform(F.split(schedule, "[;|]"), lambda e: F.trim(F.split_part(e, F.lit("="), F.lit(1))))
+    found = F.transform(F.filter(dates, lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$")), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
     return F.array_min(F.filter(found, lambda d: d.isNotNull() & (d >= on_or_after)))

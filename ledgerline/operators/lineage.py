@@ -47,9 +47,13 @@ def check_lineage(df: DataFrame, table: str, key: str, id_col: str, supersedes_c
 
 
 def branches(df: DataFrame, table: str, key: str, id_col: str, supersedes_col: str) -> DataFrame:
-    """Rows that supersede other than the row before them of their key."""
-    rows = df.withColumn("__last", F.lag(id_col).over(in_order([key])))
-    return check(rows, table, [(supersedes_col, "not_current", F.col(supersedes_col).isNotNull() & F.col("__last").isNotNull() & (F.col("__last") != F.col(supersedes_col)))])
+    """Rows that supersede other than the row that was last of their key then.
+
+    Rows that supersede themselves or a row that doesn't exist never become the last one and aren't judged here.
+    """
+    rows = with_parent(df, id_col, supersedes_col, ["row_number"]).filter(F.col(supersedes_col).isNull() | (F.col("parent_row_number").isNotNull() & (F.col(supersedes_col) != F.col(id_col))))
+    rows = rows.withColumn("__last", F.lag(id_col).over(in_order([key])))
+    return check(rows, table, [(supersedes_col, "not_current", F.col(supersedes_col).isNotNull() & ~F.col("__last").eqNullSafe(F.col(supersedes_col)))])
 
 
 def bad_transitions(df: DataFrame, table: str, id_col: str, supersedes_col: str, status_col: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:

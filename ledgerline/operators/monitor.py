@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .issues import check
+from .lineage import with_parent
+from .rowchecks import is_authorizer, is_human
 
-#: Errors after which a target stops at once.
-FATAL = ("E1",)
+# Errors after which a target stops at once, and that of a page whose indicators changed but not its metadata.
+FATAL = ("state_unavailable", "persistence_error")
+AMBIGUOUS = "content_ambiguous"
+#: What a server says of a page beside its content, and the fields that a change is told by.
+INDICATORS = ("etag", "last_modified", "content_length")
+CHANGE_FIELDS = ("document_id", "title", "published_at")
 
 
 def _before(key: str = "target", order: str = "row_number") -> Window:
@@ -81,33 +87,50 @@ def error_episodes(runs: DataFrame) -> DataFrame:
 
 
 def transitions(observations: DataFrame) -> DataFrame:
-    """The batch twin of the stream: each observation's result, version, error count and state.
+    """The batch twin of the stream: each observation's result, version, error and its count, state, indicators' level and change summary.
 
-    A result depends on the last success and the row before alone, so one exchange on the target is enough.
+    ``succeeded`` says that the page was read. The page before is the last that was, whether it was ambiguous or not: a
+    success and a reported ambiguity both leave their indicators for the next comparison, so each ambiguity is reported once.
+    All windows share one exchange on the target. Columns of ``INDICATORS`` and ``CHANGE_FIELDS`` that aren't given don't count;
+    with ``autonomous`` true a change waits for no one.
     """
     by, w = Window.partitionBy("target").orderBy("row_number"), _before()
-    error = F.when(~F.col("succeeded"), F.col("error_code"))
-    rows = observations.withColumns({
-        "fingerprint_before": F.last(F.when(F.col("succeeded"), F.col("fingerprint")), ignorenulls=True).over(w),
-        "version_after": F.row_number().over(by).cast("long"), "error": error,
-    })
+    marks, fields = ([c for c in names if c in observations.columns] for names in (INDICATORS, CHANGE_FIELDS))
+    rows = observations.withColumn("__old", F.last(F.when(F.col("succeeded"), F.struct("fingerprint", *marks, *fields)), ignorenulls=True).over(w))
+    rows = rows.withColumn("fingerprint_before", F.col("__old.fingerprint")).withColumn("version_after", F.row_number().over(by).cast("long"))
+    same = F.col("fingerprint_before") == F.col("fingerprint")
+    moved = replacement_suspected([(F.col(f"__old.{m}"), F.col(m)) for m in marks])
     result = (
-        F.when(~F.col("succeeded"), "error").when(F.col("fingerprint_before").isNull(), "initialized")
-        .when(F.col("fingerprint_before") == F.col("fingerprint"), "no_change").otherwise("change_detected")
+        F.when(~F.col("succeeded") | (same & moved), "error").when(F.col("fingerprint_before").isNull(), "initialized")
+        .when(same, "no_change").otherwise("change_detected")
     )
-    rows = rows.withColumn("result", result)
-    # Islands of one error: the rows since the last that had another one.
-    rows = rows.withColumn("__new", (~F.coalesce("error", F.lit("")).eqNullSafe(F.coalesce(F.lag("error").over(by), F.lit("")))).cast("int"))
+    rows = rows.withColumn("result", result).withColumn("error", F.when(~F.col("succeeded"), F.col("error_code")).when(F.col("result") == "error", AMBIGUOUS))
+    summary = change_summary([(f, F.col(f"__old.{f}"), F.col(f)) for f in fields])
+    rows = rows.withColumn("summary", F.when(F.col("result") == "change_detected", summary)).withColumn("replacement_detection", replacement_detection([F.col(m) for m in marks]))
+    # Islands of one error: the count begins anew where the row before had another one.
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__island", F.sum("__new").over(upto))
-    count = F.when(F.col("error").isNull(), 0).otherwise(F.row_number().over(Window.partitionBy("target", "__island").orderBy("row_number")))
-    rows = rows.withColumn("error_count", count.cast("long"))
-    rows = rows.withColumn("__pending", F.max((F.col("result") == "change_detected").cast("int")).over(upto))
-    return rows.withColumn("state", error_state(F.col("error"), F.col("__pending") == 1)).drop("__new", "__island", "__pending")
+    fresh = ~F.col("error").eqNullSafe(F.lag("error").over(by))
+    rows = rows.withColumn("__start", F.when(fresh, F.col("version_after"))).withColumn("__start", F.max("__start").over(upto))
+    rows = rows.withColumn("error_count", F.when(F.col("error").isNull(), 0).otherwise(F.col("version_after") - F.coalesce("__start", F.lit(1)) + 1).cast("long"))
+    waits = (F.col("result") == "change_detected") & ~(F.col("autonomous") if "autonomous" in observations.columns else F.lit(False))
+    rows = rows.withColumn("__pending", F.max(waits.cast("int")).over(upto))
+    return rows.withColumn("state", error_state(F.col("error"), F.col("__pending") == 1)).drop("__old", "__start", "__pending")
+
+
+def error_state(error: Column, pending: Column, fatal: tuple[str, ...] = FATAL) -> Column:
+    """A fatal error stops a target; else a pending change is kept; else an error degrades it."""
+    return F.when(error.isin(*fatal), "stopped").when(pending, "pending_human_review").when(error.isNotNull(), "degraded").otherwise("healthy")
+
 
+def replacement_detection(indicators: list[Column]) -> Column:
+    """How well a replaced page could be told: by all indicators, some, or none."""
+    present = sum((c.isNotNull().cast("int") for c in indicators), F.lit(0))
+    return F.when(F.lit(bool(indicators)) & (present == len(indicators)), "available").when(present > 0, "partial").otherwise("unavailable")
 
-def error_state(error: Column, pending: Column, fatal: tuple[str, ...] = ()) -> Column:
-    return F.when(error.isin(*fatal) if fatal else F.lit(False), "stopped").when(pending, "pending_human_review").when(error.isNotNull(), "degraded").otherwise("healthy")
+
+def schedule_summary(dated: Column, vague: Column) -> Column:
+    """The dated and the month-only rows of a schedule as one field; blanks and ``none`` are left out."""
+    return F.array_join(F.filter(F.array(dated, vague), lambda p: p.isNotNull() & ~p.isin("", "none")), " | ")
 
 
 def replacement_suspected(indicators: list[tuple[Column, Column]]) -> Column:
@@ -119,8 +142,9 @@ def replacement_suspected(indicators: list[tuple[Column, Column]]) -> Column:
 
 
 def change_summary(fields: list[tuple[str, Column, Column]]) -> Column:
-    """Names of the fields that changed."""
-    return F.concat_ws(", ", F.array_compact(F.array(*[F.when(~a.eqNullSafe(b), F.lit(n)) for n, a, b in fields])))
+    """Which of the fields changed; of none of them, the stable metadata did."""
+    names = F.concat_ws(", ", F.array_compact(F.array(*[F.when(~a.eqNullSafe(b), F.lit(n)) for n, a, b in fields], F.lit(None).cast("string"))))
+    return F.concat(F.lit("Changed metadata fields: "), F.when(names == "", "stable_metadata").otherwise(names))
 
 
 def current_state(states: DataFrame, key: str = "target", version: str = "version", attempt: str = "attempt") -> DataFrame:
@@ -129,8 +153,88 @@ def current_state(states: DataFrame, key: str = "target", version: str = "versio
     return states.join(top, [key, version, attempt]).groupBy(key, version, attempt).agg(F.count(F.lit(1)).alias("ties"))
 
 
+def initial_activation(runs: DataFrame, targets: DataFrame) -> DataFrame:
+    """First runs that their target's activation doesn't authorise. ``targets``: target, activation_state, enabled, access_permitted,
+    approved_by, initialization_generation, initialization_run_id, activated_at."""
+    first = runs.groupBy("target").agg(F.min_by(F.struct("row_number", "run_id", "started_at"), "row_number").alias("r")).select("target", "r.*")
+    rows = first.join(targets, "target", "left")
+    authorised = (
+        (F.col("activation_state") == "activated") & F.col("enabled") & F.col("access_permitted") & is_authorizer(F.col("approved_by"))
+        & (F.col("initialization_generation") == 1) & (F.col("initialization_run_id") == F.col("run_id")) & (F.col("activated_at") <= F.col("started_at"))
+    )
+    return check(rows, "monitor_run", [("run_id", "not_authorised", ~F.coalesce(authorised, F.lit(False)))])
+
+
+def initialized_runs(runs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every initialising run must agree with the activation that its target records; runs of unknown targets aren't judged."""
+    rows = runs.filter("result = 'initialized'").join(targets, "target")
+    agrees = (
+        (F.col("activation_state") == "activated") & F.col("enabled") & F.col("access_permitted") & F.col("initialization_generation").eqNullSafe(F.col("generation"))
+        & (F.col("initialization_run_id") == F.col("run_id")) & (F.col("activated_at") <= F.col("started_at"))
+    )
+    return check(rows, "monitor_run", [("result", "no_matching_activation", ~F.coalesce(agrees, F.lit(False)))])
+
+
+def target_companies(targets: DataFrame, events: DataFrame) -> DataFrame:
+    """Targets whose event is of another company."""
+    rows = targets.join(events.select("event_id", F.col("company_id").alias("__company")), "event_id")
+    return check(rows, "monitor_target", [("event_id", "other_company", F.col("company_id") != F.col("__company"))])
+
+
+def state_expectations(checkpoints: DataFrame, runs: DataFrame, resolutions: DataFrame, targets: DataFrame) -> DataFrame:
+    """Pending pointers and states of checkpoints against the runs: what waits must be kept, what is resolved must not, and a
+    disabled target can't be active. ``checkpoints``: row_number, target, pending_run_id, state, resolution_id; ``targets``: target, enabled, autonomous."""
+    open_ = unresolved_changes(runs, resolutions).select("target", F.col("pending_run_id").alias("__open"))
+    last = runs.filter("committed").groupBy("target").agg(F.max_by(F.struct("error_code"), "row_number").alias("e"), F.max((F.col("result") == "change_detected").cast("int")).alias("__changed"))
+    rows = checkpoints.join(targets.select("target", "enabled", "autonomous"), "target").join(open_, "target", "left").join(last, "target", "left")
+    waiting, state = F.col("__open").isNotNull() & ~F.col("autonomous"), F.col("state")
+    fatal = F.coalesce(F.col("e.error_code").isin(*FATAL), F.lit(False))
+    return check(
+        rows, "monitor_checkpoint",
+        [("pending_run_id", "pending_lost", waiting & ~F.col("pending_run_id").eqNullSafe(F.col("__open"))), ("state", "not_pending", waiting & (state != F.when(fatal, "stopped").otherwise("pending_human_review"))),
+         ("pending_run_id", "pending_kept", ~waiting & F.col("pending_run_id").isNotNull()), ("state", "pending_without_change", ~waiting & (state == "pending_human_review")),
+         ("resolution_id", "resolution_missing", F.col("resolution_id").isNull() & (F.col("__changed") == 1) & ~waiting & (state == "healthy") & ~F.col("autonomous")),
+         ("state", "disabled_but_active", ~F.col("enabled") & ~state.isin("disabled", "uninitialized", "stopped"))],
+    )
+
+
+def resolution_records(resolutions: DataFrame) -> DataFrame:
+    """A resolution is a person's and doesn't supersede itself."""
+    return check(
+        resolutions, "monitor_resolution",
+        [("resolved_by", "not_human", ~F.coalesce(is_human(F.col("resolved_by")), F.lit(False))), ("supersedes", "supersedes_itself", F.col("supersedes") == F.col("resolution_id")), ("resolved_at", "missing_time", F.col("resolved_at").isNull())],
+    )
+
+
+def resolution_lineage(resolutions: DataFrame) -> DataFrame:
+    """Corrections of resolutions: later in place and time, of the same target and run, from the current one only."""
+    rows = with_parent(resolutions, "resolution_id", "supersedes", ["row_number", "target", "run_id", "resolved_at"])
+    rows = rows.withColumn("__last", F.lag("resolution_id").over(Window.partitionBy("run_id").orderBy("row_number")))
+    corrects, found = F.col("supersedes").isNotNull(), F.col("parent_row_number").isNotNull()
+    return check(
+        rows, "monitor_resolution",
+        [("supersedes", "later_parent", found & (F.col("parent_row_number") >= F.col("row_number"))), ("supersedes", "other_source", found & ((F.col("parent_target") != F.col("target")) | (F.col("parent_run_id") != F.col("run_id")))),
+         ("resolved_at", "not_later", found & (F.col("resolved_at") <= F.col("parent_resolved_at"))), ("supersedes", "not_current", corrects & ~F.col("supersedes").eqNullSafe(F.col("__last"))),
+         ("supersedes", "must_supersede", ~corrects & F.col("__last").isNotNull())],
+    )
+
+
+def effective_resolutions(resolutions: DataFrame) -> DataFrame:
+    """The last resolution of each run, if no other supersedes it: what clears a pending change."""
+    last = resolutions.groupBy("run_id").agg(F.max_by(F.struct("resolution_id", "target", "resolved_at"), "row_number").alias("r")).select("run_id", "r.*")
+    used = resolutions.select(F.col("supersedes").alias("resolution_id")).filter("resolution_id is not null")
+    return last.join(used, "resolution_id", "left_anti").select("run_id", "resolution_id", "target", "resolved_at")
+
+
+def resolution_windows(resolutions: DataFrame, runs: DataFrame, started_at: Column) -> DataFrame:
+    """Resolutions from before their run ended or after the next run began, and those of no run."""
+    rows = resolutions.join(runs.select("run_id", F.col("finished_at").alias("__end")), "run_id", "left")
+    inside = (F.col("resolved_at") >= F.col("__end")) & (F.col("resolved_at") <= started_at)
+    return check(rows, "monitor_resolution", [("resolved_at", "outside_window", ~F.coalesce(inside, F.lit(False)))])
+
+
 def handoffs(runs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Latest run of each autonomous target, if it is a change."""
+    """Latest run of each autonomous target, if it is a change, with all columns of the target."""
     latest = runs.groupBy("target").agg(F.max_by(F.struct("run_id", "result", "fingerprint_after"), "row_number").alias("r")).select("target", "r.*")
     return latest.filter("result = 'change_detected'").join(targets.filter("autonomous"), "target")
 

@@ -63,14 +63,16 @@ def digest_changes(pages: DataFrame) -> DataFrame:
 
 
 def status_error(code: Column) -> Column:
+    """What a fetch's status says of its source; null where it is no failure of its own."""
+    # The error codes of monitor runs.
     return (
-        F.when(code.between(200, 299), None).when(code.isin(401, 403), "access_denied").when(code.isin(404, 410), "not_found")
-        .when(code == 429, "rate_limited").when(code >= 500, "server_error").otherwise("unexpected_status")
+        F.when(code.isin(401, 403), "authentication_required").when(code == 429, "rate_limited").when(code == 408, "timeout")
+        .when((code == 404) | code.between(500, 599), "source_unavailable")
     )
 
 
 def is_retryable(code: Column) -> Column:
-    return (code == 429) | (code >= 500)
+    return code.isin(408, 429) | code.between(500, 599)
 
 
 def stale_reference(state: DataFrame, acknowledgements: DataFrame) -> DataFrame:

@@ -26,14 +26,19 @@ def forecast_result(verified: DataFrame, key: str) -> DataFrame:
     return sets.select(key, word.alias("forecast_result"))
 
 
-def interpretation(state: Column, earnings: Column, immediate: Column) -> Column:
-    """What the market's first move says about its expectation."""
+# The words of reviews.
+HIGHER, LOWER, ALIGNED = "possible_higher_hurdle_than_recorded", "possible_lower_hurdle_than_recorded", "earnings_and_market_aligned"
+REVERSED, CHANGED = "reversed_by_fifth_business_day", "changed_by_next_business_day"
+
+
+def interpretation(earnings: Column, immediate: Column) -> Column:
+    """What the market's first move says about its expectation; later stages may still be pending."""
     return (
         F.when(immediate == "not_comparable", "not_comparable")
-        .when((state != "complete") | (earnings == "inconclusive") | (immediate == "muted"), "insufficient_evidence")
-        .when((earnings == "positive") & (immediate == "negative"), "higher_hurdle")
-        .when((earnings == "negative") & (immediate == "positive"), "lower_hurdle")
-        .otherwise("aligned")
+        .when((immediate == "pending") | (earnings == "inconclusive") | (immediate == "muted"), "insufficient_evidence")
+        .when((earnings == "positive") & (immediate == "negative"), HIGHER)
+        .when((earnings == "negative") & (immediate == "positive"), LOWER)
+        .otherwise(ALIGNED)
     )
 
 
@@ -41,8 +46,8 @@ def transition(path: Column, directions: list[Column]) -> Column:
     first, second, third = directions
     some_pending = (first == "pending") | (second == "pending") | (third == "pending")
     return (
-        F.when(path == "reversed", "reversed_by_fifth").when(first == "not_comparable", "not_comparable").when(some_pending, "pending")
-        .when((second != first) & ~second.isin("muted", "pending"), "changed_by_next").when((first == second) & (second == third), "same_direction").otherwise("mixed")
+        F.when(path == "reversed", REVERSED).when(first == "not_comparable", "not_comparable").when(some_pending, "pending")
+        .when((second != first) & ~second.isin("muted", "pending"), CHANGED).when((first == second) & (second == third), "same_direction").otherwise("mixed")
     )
 
 
@@ -75,10 +80,17 @@ def contract(reviews: DataFrame) -> DataFrame:
 
 
 def aggregate_learning(reviews: DataFrame, fields: list[str]) -> DataFrame:
-    """Per field and text: distinct reviews that have it, in order, and their number."""
+    """Per field and text: how many reviews have it, and the first of them. A text that most reviews share gathers no list; see ``learning_reviews``."""
     cells = [F.struct(F.lit(f).alias("field"), F.col(f).alias("texts")) for f in fields]
     flat = reviews.select("review_id", F.inline(F.array(*cells))).select("review_id", "field", F.explode("texts").alias("text"))
-    return flat.groupBy("field", "text").agg(F.countDistinct("review_id").alias("n_reviews"), F.array_sort(F.collect_set("review_id")).alias("review_ids"))
+    once = flat.groupBy("field", "text", "review_id").agg(F.lit(1).alias("one"))
+    return once.groupBy("field", "text").agg(F.count("one").alias("n_reviews"), F.min("review_id").alias("first_review_id"))
+
+
+def learning_reviews(reviews: DataFrame, fields: list[str]) -> DataFrame:
+    """A row for each (field, text, review) with the review's place among those that have the text: the ordered list as rows."""
+    cells = [F.struct(F.lit(f).alias("field"), F.col(f).alias("texts")) for f in fields]
+    return reviews.select("review_id", F.inline(F.array(*cells))).select("review_id", "field", F.explode("texts").alias("text")).distinct()
 
 
 def aggregate_divergences(reviews: DataFrame, by: list[str]) -> DataFrame:

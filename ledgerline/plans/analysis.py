@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..operators import documents as docs, evaluation as ev, reaction, review
+from ..sources.tables import new_folder
 from ..streaming import monitor_stream
 from . import records
 from .views import view, with_views
@@ -277,14 +275,14 @@ def session_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EARN = "CASE announcement_id % 5 WHEN 0 THEN 'inconclusive' WHEN 1 THEN 'negative' WHEN 2 THEN 'negative' ELSE 'positive' END"
 _DIRS = [f"{s}_dir" for s in _STAGES]
 _REVIEW = _RX + f""", rv0 AS (SELECT *, {_EARN} AS earnings, CASE WHEN 'not_comparable' IN ({", ".join(_DIRS)}) THEN 'blocked' WHEN 'pending' IN ({", ".join(_DIRS)}) THEN 'provisional' ELSE 'complete' END AS state FROM rx),
- rv AS (SELECT *, CASE WHEN immediate_dir = 'not_comparable' THEN 'not_comparable' WHEN state <> 'complete' OR earnings = 'inconclusive' OR immediate_dir = 'muted' THEN 'insufficient_evidence' WHEN earnings = 'positive' AND immediate_dir = 'negative' THEN 'higher_hurdle' WHEN earnings = 'negative' AND immediate_dir = 'positive' THEN 'lower_hurdle' ELSE 'aligned' END AS interpretation,
-   CASE WHEN path = 'reversed' THEN 'reversed_by_fifth' WHEN immediate_dir = 'not_comparable' THEN 'not_comparable' WHEN 'pending' IN ({", ".join(_DIRS)}) THEN 'pending' WHEN next_close_dir <> immediate_dir AND next_close_dir NOT IN ('muted', 'pending') THEN 'changed_by_next' WHEN immediate_dir = next_close_dir AND next_close_dir = fifth_close_dir THEN 'same_direction' ELSE 'mixed' END AS transition FROM rv0)"""
+ rv AS (SELECT *, CASE WHEN immediate_dir = 'not_comparable' THEN 'not_comparable' WHEN immediate_dir = 'pending' OR earnings = 'inconclusive' OR immediate_dir = 'muted' THEN 'insufficient_evidence' WHEN earnings = 'positive' AND immediate_dir = 'negative' THEN 'possible_higher_hurdle_than_recorded' WHEN earnings = 'negative' AND immediate_dir = 'positive' THEN 'possible_lower_hurdle_than_recorded' ELSE 'earnings_and_market_aligned' END AS interpretation,
+   CASE WHEN path = 'reversed' THEN 'reversed_by_fifth_business_day' WHEN immediate_dir = 'not_comparable' THEN 'not_comparable' WHEN 'pending' IN ({", ".join(_DIRS)}) THEN 'pending' WHEN next_close_dir <> immediate_dir AND next_close_dir NOT IN ('muted', 'pending') THEN 'changed_by_next_business_day' WHEN immediate_dir = next_close_dir AND next_close_dir = fifth_close_dir THEN 'same_direction' ELSE 'mixed' END AS transition FROM rv0)"""
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirs = [F.col(d) for d in _DIRS]
     rows = _reactions(spark, sf_dir).withColumn("earnings", F.expr(_EARN)).withColumn("state", review.review_state(dirs))
-    return rows.withColumn("interpretation", review.interpretation(F.col("state"), F.col("earnings"), dirs[0])).withColumn("transition", review.transition(F.col("path"), dirs))
+    return rows.withColumn("interpretation", review.interpretation(F.col("earnings"), dirs[0])).withColumn("transition", review.transition(F.col("path"), dirs))
 
 
 @query(f"WITH {_RX} " + " UNION ALL ".join(f"SELECT announcement_id, '{s}' AS stage, {i} AS stage_no, {s}_dir AS direction, {s}_pct AS pct FROM rx" for i, s in enumerate(_STAGES)), "price", "announcement")
@@ -329,7 +327,7 @@ def review_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT field, text, count(DISTINCT review_id) AS n_reviews, min(review_id) AS first_review_id FROM l GROUP BY 1, 2""", "price", "announcement")
 def carryover_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _reviews(spark, sf_dir).selectExpr("announcement_id AS review_id", "array('path ' || path, 'state ' || state) AS worked", "array('transition ' || transition) AS failed")
-    return review.aggregate_learning(rows, ["worked", "failed"]).select("field", "text", "n_reviews", F.array_min("review_ids").alias("first_review_id"))
+    return review.aggregate_learning(rows, ["worked", "failed"]).select("field", "text", "n_reviews", "first_review_id")
 
 
 @query(f"WITH {_REVIEW} SELECT earnings, interpretation, transition, count(DISTINCT announcement_id) AS n_reviews, count(DISTINCT ticker) AS n_events FROM rv GROUP BY 1, 2, 3", "price", "announcement")
@@ -341,15 +339,14 @@ def carryover_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- stream
 
 
-@query(records.ORACLES["transition_batch"])
+@query(f"SELECT run_id, target, result, version_after, error_count, state FROM ({records.ORACLES['transition_batch']})")
 def transition_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch query's rows from a stream: all events through keyed state, into a table in the shared folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    base = f"{named.rstrip('/')}/transition-{uuid.uuid4().hex}"
+    base = new_folder(spark, "transition")
     given = view(spark, sf_dir, "events")
     alone = given.inputFiles()[0].endswith("/events.parquet")  # a stream reads folders
     source = spark.readStream.schema(given.schema)
     events = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if alone else source.parquet(f"{sf_dir}/events.parquet")
-    observed = events.selectExpr("event_id AS row_number", "user_id AS target", "'R-' || CAST(event_id AS STRING) AS run_id", "event_type <> 'error' AS succeeded", "CASE WHEN event_type <> 'error' THEN sha2(event_type, 256) END AS fingerprint", "CASE WHEN event_type = 'error' THEN 'E' || CAST(CAST(floor(value) AS BIGINT) % 2 AS STRING) END AS error_code")
+    observed = spark.sql(records._OBS.format(sha="sha2(event_type, 256)", events="{events}"), events=events).drop("ts", "document_id")
     out = monitor_stream.run_to_table(monitor_stream.transition_stream(observed), f"{base}/runs", f"{base}/state")
     return out.select("run_id", "target", "result", "version_after", "error_count", "state")

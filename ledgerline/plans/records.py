@@ -59,8 +59,11 @@ def short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "event").select("event_id", hashing.short_id("EE-", [F.col("event_id"), F.col("company_id")]).alias("evaluation_id"))
 
 
-@query("""WITH o AS (SELECT o_custkey AS key, sha256(to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus})) AS h FROM orders), c AS (SELECT c_custkey AS key, sha256(to_json({'c_mktsegment': c_mktsegment, 'c_name': c_name})) AS h FROM customer)
-  SELECT key, 'orders' AS "table", count(*) AS rows, sha256(string_agg(h, ',' ORDER BY h)) AS content_hash FROM o GROUP BY 1 UNION ALL SELECT key, 'customer', count(*), sha256(string_agg(h, ',' ORDER BY h)) FROM c GROUP BY 1""")
+_SUMS = "sha256(concat_ws(',', count(*)::VARCHAR, " + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8)) + "))"
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS key, sha256(to_json({{'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus}})) AS h FROM orders), c AS (SELECT c_custkey AS key, sha256(to_json({{'c_mktsegment': c_mktsegment, 'c_name': c_name}})) AS h FROM customer)
+  SELECT key, 'orders' AS "table", count(*) AS rows, {_SUMS} AS content_hash FROM o GROUP BY 1 UNION ALL SELECT key, 'customer', count(*), {_SUMS} FROM c GROUP BY 1""")
 def content_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = view(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", "o_orderstatus")
     customer = view(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name", "c_mktsegment")
@@ -125,7 +128,7 @@ def index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.json_fields(view(spark, sf_dir, "events"), "props", "k bigint").select("event_id", "k", F.when(F.col("k").isNull(), "unreadable").otherwise("ok").alias("status"))
 
 
-@query("""SELECT event_id, CASE WHEN c BETWEEN 200 AND 299 THEN NULL WHEN c IN (401, 403) THEN 'access_denied' WHEN c IN (404, 410) THEN 'not_found' WHEN c = 429 THEN 'rate_limited' WHEN c >= 500 THEN 'server_error' ELSE 'unexpected_status' END AS error, c = 429 OR c >= 500 AS retryable
+@query("""SELECT event_id, CASE c WHEN 401 THEN 'authentication_required' WHEN 403 THEN 'authentication_required' WHEN 404 THEN 'source_unavailable' WHEN 408 THEN 'timeout' WHEN 429 THEN 'rate_limited' ELSE CASE WHEN c >= 500 THEN 'source_unavailable' END END AS error, c IN (408, 429) OR c >= 500 AS retryable
   FROM (SELECT event_id, 200 + event_id * 37 % 340 AS c FROM events)""")
 def status_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.expr("200 + event_id * 37 % 340")
@@ -134,12 +137,13 @@ def status_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- monitor
 
-_OBS = "SELECT event_id AS row_number, user_id AS target, 'R-' || CAST(event_id AS STRING) AS run_id, ts, event_type <> 'error' AS succeeded, CASE WHEN event_type <> 'error' THEN {sha} END AS fingerprint, CASE WHEN event_type = 'error' THEN 'E' || CAST(CAST(floor(value) AS BIGINT) % 2 AS STRING) END AS error_code FROM {events}"
+_OBS = "SELECT event_id AS row_number, user_id AS target, 'R-' || CAST(event_id AS STRING) AS run_id, ts, event_type <> 'error' AS succeeded, CASE WHEN event_type <> 'error' THEN {sha} END AS fingerprint, CASE WHEN event_type = 'error' THEN CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 'state_unavailable' ELSE 'timeout' END END AS error_code, CAST(event_id % 61 AS STRING) AS document_id, CASE WHEN event_id % 3 <> 0 THEN 'e' || CAST(CAST(floor(event_id / 40) AS BIGINT) % 2 AS STRING) END AS etag, CASE WHEN event_id % 11 <> 0 THEN CAST(CAST(floor(event_id / 90) AS BIGINT) % 2 AS STRING) END AS content_length FROM {events}"
 _BEFORE = "(PARTITION BY target ORDER BY row_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _RUNS = f"""WITH obs AS ({_OBS.format(sha='sha256(event_type)', events='events')}),
- tr AS (SELECT *, last_value(fingerprint IGNORE NULLS) OVER {_BEFORE} AS fb, row_number() OVER (PARTITION BY target ORDER BY row_number) AS vn, lag(run_id) OVER (PARTITION BY target ORDER BY row_number) AS last_id FROM obs),
- res AS (SELECT *, CASE WHEN NOT succeeded THEN 'error' WHEN fb IS NULL THEN 'initialized' WHEN fb = fingerprint THEN 'no_change' ELSE 'change_detected' END AS result FROM tr),
- runs AS (SELECT row_number, target, run_id, result, succeeded, error_code, true AS committed, ts - CASE WHEN row_number % 67 = 0 THEN INTERVAL '10' DAY ELSE INTERVAL '0' DAY END AS started_at, ts + INTERVAL '1' SECOND AS finished_at, fingerprint AS fingerprint_after,
+ seen AS (SELECT *, last_value(CASE WHEN succeeded THEN struct_pack(f := fingerprint, e := etag, l := content_length, d := document_id) END IGNORE NULLS) OVER {_BEFORE} AS old FROM obs),
+ tr AS (SELECT * EXCLUDE (old), old.f AS fb, old.e AS oe, old.l AS ol, old.d AS od, row_number() OVER (PARTITION BY target ORDER BY row_number) AS vn, lag(run_id) OVER (PARTITION BY target ORDER BY row_number) AS last_id FROM seen),
+ res AS (SELECT * REPLACE (CASE WHEN NOT succeeded THEN error_code WHEN ambiguous THEN 'content_ambiguous' END AS error_code, CASE WHEN NOT succeeded OR ambiguous THEN 'error' WHEN fb IS NULL THEN 'initialized' WHEN fb = fingerprint THEN 'no_change' ELSE 'change_detected' END AS result, succeeded AND NOT ambiguous AS succeeded) FROM (SELECT *, '' AS result, coalesce(succeeded AND fb = fingerprint AND ((oe IS NOT NULL AND oe IS DISTINCT FROM etag) OR (ol IS NOT NULL AND ol IS DISTINCT FROM content_length)), false) AS ambiguous FROM tr)),
+ runs AS (SELECT row_number, target, run_id, result, succeeded, error_code, true AS committed, ts - CASE WHEN row_number % 67 = 0 THEN INTERVAL '10' DAY ELSE INTERVAL '0' DAY END AS started_at, ts + INTERVAL '1' SECOND AS finished_at, CASE WHEN error_code IS NULL THEN fingerprint END AS fingerprint_after,
    CASE WHEN row_number % 107 = 0 THEN 'bad' ELSE fb END AS fingerprint_before, vn + CASE WHEN row_number % 103 = 0 THEN 1 ELSE 0 END AS version_after, CASE WHEN row_number % 101 = 0 THEN 'R-x' ELSE last_id END AS previous_run_id FROM res),
  resol AS (SELECT row_number, CASE WHEN row_number % 37 = 0 THEN 'R-none' ELSE run_id END AS run_id, target + CASE WHEN row_number % 31 = 0 THEN 1 ELSE 0 END AS target, finished_at + CASE WHEN row_number % 29 = 0 THEN INTERVAL '-1' HOUR ELSE INTERVAL '1' HOUR END AS resolved_at FROM runs WHERE row_number % 3 = 0 AND result IN ('change_detected', 'no_change') AND (result = 'change_detected' OR row_number % 5 = 0))"""
 
@@ -153,8 +157,8 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = monitor.transitions(_observations(spark, sf_dir)).withColumn("last_id", F.lag("run_id").over(Window.partitionBy("target").orderBy("row_number")))
     return rows.selectExpr(
-        "row_number", "target", "run_id", "result", "succeeded", "error_code", "true AS committed", "ts - CASE WHEN row_number % 67 = 0 THEN INTERVAL '10' DAY ELSE INTERVAL '0' DAY END AS started_at",
-        "ts + INTERVAL '1' SECOND AS finished_at", "fingerprint AS fingerprint_after", "CASE WHEN row_number % 107 = 0 THEN 'bad' ELSE fingerprint_before END AS fingerprint_before",
+        "row_number", "target", "run_id", "result", "error IS NULL AS succeeded", "error AS error_code", "true AS committed", "ts - CASE WHEN row_number % 67 = 0 THEN INTERVAL '10' DAY ELSE INTERVAL '0' DAY END AS started_at",
+        "ts + INTERVAL '1' SECOND AS finished_at", "CASE WHEN error IS NULL THEN fingerprint END AS fingerprint_after", "CASE WHEN row_number % 107 = 0 THEN 'bad' ELSE fingerprint_before END AS fingerprint_before",
         "version_after + CASE WHEN row_number % 103 = 0 THEN 1 ELSE 0 END AS version_after", "CASE WHEN row_number % 101 = 0 THEN 'R-x' ELSE last_id END AS previous_run_id",
     )
 
@@ -214,10 +218,14 @@ def resolution_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.resolution_rules(_resolutions(runs), runs)
 
 
-@query(_RUNS + """, n AS (SELECT *, CASE WHEN coalesce(error_code, '') <> coalesce(lag(error_code) OVER (PARTITION BY target ORDER BY row_number), '') THEN 1 ELSE 0 END AS fresh FROM res), i AS (SELECT *, sum(fresh) OVER (PARTITION BY target ORDER BY row_number ROWS UNBOUNDED PRECEDING) AS island, max(CASE WHEN result = 'change_detected' THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY row_number ROWS UNBOUNDED PRECEDING) AS pend FROM n)
-  SELECT run_id, target, result, vn AS version_after, CASE WHEN error_code IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY target, island ORDER BY row_number) END AS error_count, CASE WHEN pend = 1 THEN 'pending_human_review' WHEN error_code IS NOT NULL THEN 'degraded' ELSE 'healthy' END AS state FROM i""")
+_TRANSITIONS = _RUNS + """, n AS (SELECT *, CASE WHEN coalesce(error_code, '') <> coalesce(lag(error_code) OVER (PARTITION BY target ORDER BY row_number), '') THEN 1 ELSE 0 END AS fresh FROM res), i AS (SELECT *, sum(fresh) OVER (PARTITION BY target ORDER BY row_number ROWS UNBOUNDED PRECEDING) AS island, max(CASE WHEN result = 'change_detected' THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY row_number ROWS UNBOUNDED PRECEDING) AS pend FROM n)
+  SELECT run_id, target, result, vn AS version_after, CASE WHEN error_code IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY target, island ORDER BY row_number) END AS error_count, CASE WHEN error_code IN ('state_unavailable', 'persistence_error') THEN 'stopped' WHEN pend = 1 THEN 'pending_human_review' WHEN error_code IS NOT NULL THEN 'degraded' ELSE 'healthy' END AS state, error_code AS error,
+   CASE WHEN result = 'change_detected' THEN 'Changed metadata fields: ' || CASE WHEN od IS DISTINCT FROM document_id THEN 'document_id' ELSE 'stable_metadata' END END AS summary, CASE (etag IS NOT NULL)::INT + (content_length IS NOT NULL)::INT WHEN 2 THEN 'available' WHEN 1 THEN 'partial' ELSE 'unavailable' END AS replacement_detection FROM i"""
+
+
+@query(_TRANSITIONS)
 def transition_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.transitions(_observations(spark, sf_dir)).select("run_id", "target", "result", "version_after", "error_count", "state")
+    return monitor.transitions(_observations(spark, sf_dir)).select("run_id", "target", "result", "version_after", "error_count", "state", "error", "summary", "replacement_detection")
 
 
 @query(_RUNS + """, s AS (SELECT target, version_after % 50 AS version, row_number % 2 AS attempt FROM runs), t AS (SELECT *, rank() OVER (PARTITION BY target ORDER BY version DESC, attempt DESC) AS r FROM s) SELECT target, version, attempt, count(*) AS ties FROM t WHERE r = 1 GROUP BY 1, 2, 3""")
@@ -307,17 +315,17 @@ def monitor_reference(state: DataFrame, acks: DataFrame) -> DataFrame:
     return observe.stale_reference(state, acks)
 
 
-@query(_RUNS + f""", t AS (SELECT DISTINCT target, TIMESTAMP '2024-02-01 00:00:00' + INTERVAL 1 HOUR * (target * 5) AS now, {_EVENT_DAY} AS d FROM runs)
+@query(_RUNS + f""", t AS (SELECT DISTINCT target, TIMESTAMP '2024-02-01 00:00:00' + INTERVAL 1 HOUR * (target * 5 + 9) AS now, {_EVENT_DAY} AS d FROM runs)
   SELECT target, isodow(now) < 6 AND (coalesce(d = now::DATE OR (d > now::DATE AND len(list_filter(generate_series(now::DATE + INTERVAL 1 DAY, d::TIMESTAMP, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) <= 5), false) OR hour(now) BETWEEN 17 AND 20) AS due FROM t""")
 def due_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "events").select(F.col("user_id").alias("target")).distinct().withColumn("now", F.expr("TIMESTAMP '2024-02-01 00:00:00' + INTERVAL '1' HOUR * (target * 5)"))
     return rows.select("target", calendar.is_due(F.col("now"), F.expr(_EVENT_DAY)).alias("due"))
 
 
-_SCHEDULE = "concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ';2024-05|', CAST(CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY * (o_orderkey % 90) AS DATE) AS STRING), ' ;2023-02-31')"
+_SCHEDULE = "concat(CAST(CAST(o_orderdate AS DATE) AS STRING), '=first quarter 2099-01-01;2024-05-中旬=later | ', CAST(CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY * (o_orderkey % 90) AS DATE) AS STRING), '=second;2099-02-31=never')"
 
 
-@query(f"SELECT o_orderkey, CAST(list_min(list_filter(list_transform(regexp_extract_all(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), lambda x: try_cast(x AS DATE)), lambda x: x >= a)) AS VARCHAR) AS next_day FROM (SELECT o_orderkey, {_SCHEDULE} AS s, CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY * (o_orderkey % 60) AS DATE) AS a FROM orders)")
+@query(f"SELECT o_orderkey, CAST(list_min(list_filter(list_transform(list_filter(list_transform(string_split(replace(s, '|', ';'), ';'), lambda e: trim(split_part(e, '=', 1))), lambda e: regexp_full_match(e, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')), lambda x: try_cast(x AS DATE)), lambda x: x >= a)) AS VARCHAR) AS next_day FROM (SELECT o_orderkey, {_SCHEDULE} AS s, CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY * (o_orderkey % 60) AS DATE) AS a FROM orders)")
 def next_announcement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_SCHEDULE} AS s", "CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY * (o_orderkey % 60) AS DATE) AS a")
     return rows.select("o_orderkey", calendar.next_date(F.col("s"), F.col("a")).cast("string").alias("next_day"))

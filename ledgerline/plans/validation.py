@@ -265,7 +265,7 @@ def lineage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.check_lineage(view(spark, sf_dir, "status"), "event_status_history", "event_id", "status_id", "supersedes")
 
 
-@query("WITH w AS (SELECT *, lag(status_id) OVER (PARTITION BY event_id ORDER BY row_number) AS last FROM status) " + rules_sql("event_status_history", "w", [("supersedes", "not_current", "last <> supersedes")]), "event", "status")
+@query(f"WITH {_PARENT}, w AS (SELECT *, lag(status_id) OVER (PARTITION BY event_id ORDER BY row_number) AS last FROM p WHERE supersedes IS NULL OR (pr IS NOT NULL AND supersedes <> status_id)) " + rules_sql("event_status_history", "w", [("supersedes", "not_current", "supersedes IS NOT NULL AND last IS DISTINCT FROM supersedes")]), "event", "status")
 def lineage_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.branches(view(spark, sf_dir, "status"), "event_status_history", "event_id", "status_id", "supersedes")
 

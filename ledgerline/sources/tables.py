@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.issues import SCHEMA
@@ -59,19 +62,44 @@ def single(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFra
     return df.join(counts.filter("n = 1").select(key), key, "left_semi"), counts.filter("n <> 1")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share, which a cluster names in ``spark.checkpoint.dir``; only a local session may do without."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def append_only(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows whose key ``path`` doesn't hold yet; those that it holds come back, unwritten."""
+    """Append the rows whose key is new: neither in ``path`` nor repeated inside ``df``. All others come back, unwritten.
+
+    One writer at a time: two that append at once could both find a key new.
+    """
     spark = df.sparkSession
+    once = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(key)
+    repeated = df.join(once, key, "left_anti").select(*df.columns)
+    df = df.join(once, key, "left_semi").select(*df.columns)
     try:
         held = spark.read.parquet(path).select(key)
     except Exception as missing:  # nothing written yet
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         df.write.parquet(path)
-        return df.limit(0)
+        return repeated
     known = held.distinct()
+    refused = staged_rows(df.join(known, key, "left_semi").select(*df.columns).union(repeated))  # before the append changes what is known
     df.join(known, key, "left_anti").select(*df.columns).write.mode("append").parquet(path)
-    return df.join(known, key, "left_semi").select(*df.columns)
+    return refused
+
+
+def staged_rows(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, written to the shared folder."""
+    path = new_folder(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def replace(df: DataFrame, path: str, form: str = "parquet") -> None:
