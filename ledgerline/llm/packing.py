@@ -7,72 +7,175 @@ to which sequences; pieces find their slot by their rank within their length.
 
 from __future__ import annotations
 
-import re
+import json
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import words
 from .common import picked, staged
 
 CAPACITY = 2048
-_CACHE_CHUNKS = 400_000
-#: Texts of these characters alone are their own NFC form and lower-case one by one.
-_LATIN = "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2028)]))
-_OTHER = re.compile(f"[^\t\n\x0b\x0c\r{re.escape(_LATIN)}]")
-_LETTERS, _NUMBERS = ("".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == k) for k in "LN")
-#: How the tokenizer with word ends cuts such a text in lower case.
-_SPLIT = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: Words that a task keeps ids of, some 20 MB. They only save time.
+_CACHE_WORDS = 500_000
+_PIECE_BYTES = 2 << 20
+_LETTER, _NUMBER, _MARK, _OTHER = 1, 2, 3, 4
+#: Kinds of the characters that are their own NFC form and lower-case one by one; blanks are 0, all that isn't listed is other.
+_KIND = np.full(1 << 16, _OTHER, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+for _c in (*range(0x21, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2028)):
+    _KIND[_c] = {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(_c))[0], _MARK)
+# The settings in a tokenizer's file under which a text's ids are those of its words, in order.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+_WORD_END = "</w>"
+
+
+def cuts_words(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those that ``WordTokens`` knows to cut texts by."""
+    before, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    steps = before.get("pretokenizers") or [{}]
+    return (
+        (settings.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("pattern") == {"Regex": _CUTS} and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == _WORD_END and not model.get("dropout")
+        and all(t["content"].startswith("<|") for t in settings.get("added_tokens") or [])
+    )
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte's character."""
+    out = _KIND[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first, second, third = (data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) for k in range(3))
+        two = first < 0xE0
+        code = np.where(two, (first & 31) << 6 | second & 63, (first & 15) << 12 | (second & 63) << 6 | third & 63)
+        kind = np.where(first < 0xF0, _KIND[code], _OTHER)
+        out[lead] = out[lead + 1] = kind
+        out[lead[~two] + 2] = kind[~two]
+    return out
+
+
+def word_spans(low: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of the words of texts in ASCII lower case: runs of letters or of marks, single digits, and English endings after an apostrophe."""
+    n = len(low)
+    begin, edge = np.zeros(n + 4, dtype=bool), np.zeros(n + 4, dtype=bool)
+    edge[offs] = edge[n:] = True
+    begin[:n] = (kind > 0) & ((low & 0xC0) != 0x80)
+    begin[1:n] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER) | edge[1:n]
+    wide = np.append(low, np.zeros(4, np.uint8))
+    quotes = np.flatnonzero((low == 0x27) & begin[:n])
+    for ending in _ENDINGS:
+        fit = np.ones(len(quotes), dtype=bool)
+        for k, c in enumerate(ending.encode(), 1):
+            fit &= (wide[quotes + k] == c) & ~edge[quotes + k]
+        some = quotes[fit]
+        begin[some + 1] = False
+        after = some + len(ending) + 1
+        after = after[after < n]
+        begin[after] |= (kind[after] == _LETTER) & ((low[after] & 0xC0) != 0x80)
+    start = np.flatnonzero(begin[:n])
+    stop = np.flatnonzero(np.append(kind == 0, True))
+    following = np.append(start[1:], n)
+    at = np.searchsorted(offs, start, "right")
+    return start, np.minimum(np.minimum(following, offs[np.minimum(at, len(offs) - 1)]), stop[np.searchsorted(stop, start)])
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian uint32 bytes, with those of a chunk kept for its next occurrence.
+    """Ids of whole texts, with those of a word kept by its hash for its next occurrence.
 
-    The tokenizer cuts a text into words, none of them across white space, before it merges, so the
-    ids of a text are those of its chunks between white space, in order. Texts with other than plain Latin characters, and those that could hold a
-    special token's name, go through the tokenizer as a whole.
+    Where the file says that the tokenizer cuts a text into words before it merges, the ids of a text are those of
+    its words, in order. Texts with other than plain Latin characters, those that could hold a
+    special token's name, and all texts under other files go through the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Look the new chunks' new words up in a few calls, as one text, and put the chunks together."""
-        cut = [(c, _SPLIT.findall(c)) for c in chunks]
-        words = [*set(chain.from_iterable(c[1] for c in cut)).difference(self.known)]
-        for low in range(0, len(words), 4096):
-            some = words[low : low + 4096]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            raw = np.array(got.ids, dtype="<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(some))) * 4
-            at = 0
-            for word, end in zip(some, ends.tolist(), strict=True):
-                self.known[word] = raw[at:end]
-                at = end
-        get = self.known.__getitem__
-        for chunk, parts in cut:
-            if len(parts) > 1:
-                self.known[chunk] = b"".join(map(get, parts))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "<|" in t or _OTHER.search(t) else t.lower().split() for t in texts]
-        needed = set(chain.from_iterable(c for c in cut if c is not None))
-        new = needed.difference(self.known)
-        if len(self.known) + len(new) > _CACHE_CHUNKS:
-            self.known = {c: self.known[c] for c in needed - new}
-        self._learn(new)
-        get = self.known.__getitem__
-        return [self._ids(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = cuts_words(json.load(f))
+        vocabulary = self.tokenizer.get_vocab() if self.by_word else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        # Of each word known: its hash (sorted), when it was last used, and where its ids stand.
+        self.hash, self.known, self.clock = np.zeros(0, np.uint64), np.zeros(0, "<u4"), 0
+        self.used, self.first, self.size = (np.zeros(0, np.int64) for _ in range(3))
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learnt(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after the other, and how many each has: several words are one text, and a word's last id marks its end."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for low in range(0, len(found), 4096):
+            some = found[low : low + 4096]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[got]) + 1
+            if len(ends) == len(some):
+                sizes.append(np.diff(ends, prepend=0))
+            else:  # a letter whose lower case isn't one
+                each = [self.whole(word) for word in some]
+                got = np.concatenate(each)
+                sizes.append(np.array([len(e) for e in each], dtype=np.int64))
+            ids.append(got)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _look_up(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word stand in ``known``, and how many there are."""
+        distinct, one, which = np.unique(words.hash_spans(low, start, end), return_index=True, return_inverse=True)
+        self.clock += 1
+        place = np.searchsorted(self.hash, distinct)
+        new = np.append(self.hash, ~words.U64(0))[place] != distinct
+        self.used[place[~new]] = self.clock
+        if new.any():
+            raw = low.tobytes()
+            ids, size = self._learnt([raw[s:e].decode() for s, e in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+            stay = np.arange(len(self.hash))
+            if len(stay) + len(size) > _CACHE_WORDS:  # of the others, only what was used last
+                stay = np.sort(np.argsort(-self.used, kind="stable")[: max(_CACHE_WORDS // 2, int((self.used == self.clock).sum()))])
+                kept = self.size[stay]
+                self.known, self.first = self.known[_runs(self.first[stay], kept)], np.cumsum(kept) - kept
+            else:
+                self.first = self.first[stay]
+            merged = np.concatenate([self.hash[stay], distinct[new]])
+            order = np.argsort(merged, kind="stable")
+            first = np.concatenate([self.first, len(self.known) + np.cumsum(size) - size])
+            self.hash, self.first, self.known = merged[order], first[order], np.concatenate([self.known, ids])
+            self.size = np.concatenate([self.size[stay], size])[order]
+            self.used = np.concatenate([self.used[stay], np.full(len(size), self.clock)])[order]
+            place = np.searchsorted(self.hash, distinct)
+        return self.first[place][which], self.size[place][which]
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a piece."""
+        low = words.LOWER[data]
+        kind = kinds(low)
+        odd = np.flatnonzero(kind == _OTHER)
+        named = np.flatnonzero((low[:-1] == 0x3C) & (low[1:] == 0x7C))
+        plain = np.full(len(offs) - 1, self.by_word)
+        plain[np.searchsorted(offs, np.concatenate([odd, named]), "right") - 1] = False
+        start, end = word_spans(low, offs, kind) if plain.any() else (np.zeros(0, np.int64),) * 2
+        text = np.searchsorted(offs, start, "right") - 1
+        start, end, text = start[plain[text]], end[plain[text]], text[plain[text]]
+        first, size = self._look_up(low, start, end) if len(start) else (start, start)
+        ids = self.known[_runs(first, size)]
+        cuts = np.append(0, np.cumsum(size))[np.searchsorted(text, np.arange(len(offs)))]
+        raw = data.tobytes() if not plain.all() else b""
+        return [ids[cuts[d] : cuts[d + 1]] if plain[d] else self.whole(raw[offs[d] : offs[d + 1]].decode()) for d in range(len(plain))]
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of runs that begin at ``first``, one run after the other."""
+    return np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -82,12 +185,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     tokens = _tokens.setdefault(path, WordTokens(path)) if path not in _tokens else _tokens[path]
     end, seen, step = np.uint32(end_id).tobytes(), {}, 4 * capacity
     for batch in batches:
-        ids = batch.column(0)
-        for low in range(0, batch.num_rows, 256):
+        for low, high, data, offs in words.pieces(batch.column(1), _PIECE_BYTES):
             rows, starts, lengths, crcs, numbers, ranks, raws = [], [], [], [], [], [], []
-            texts = [t or "" for t in batch.column(1).slice(low, 256).to_pylist()]
-            for r, got in enumerate(tokens.ids(texts), low):
-                raw = got + end
+            for r, got in enumerate(tokens.ids(data, offs)):
+                raw = got.tobytes() + end
                 for number, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     n = len(part) // 4
@@ -95,6 +196,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
                     rows.append(r), starts.append(at // 4), lengths.append(n), crcs.append(zlib.crc32(part)), numbers.append(number), ranks.append(rank)
                     if keep_ids:
                         raws.append(part)
+            ids = batch.column(0).slice(low, high - low)
             columns = [ids.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32())] + [pa.array(c, pa.int64()) for c in (starts, lengths, crcs, ranks)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "chunk_rank"]
             if keep_ids:
