@@ -18,37 +18,50 @@ def sessions(prices: DataFrame) -> DataFrame:
     return rows.withColumn("session_no", F.row_number().over(Window.partitionBy("ticker").orderBy("day")))
 
 
-def around(announcements: DataFrame, prices: DataFrame) -> DataFrame:
-    """Each announcement with the last price before and the first after it: an as-of join by one window.
+def around(announcements: DataFrame, prices: DataFrame, span: str = "month") -> DataFrame:
+    """Each announcement with the last price before and the first after it, all its columns kept: an as-of join in linear time.
 
-    Both series are one, sorted by ticker and time; nothing is joined pair by pair.
+    Both series are one, sorted by time within a ticker's ``span`` of time, so that a ticker of very many prices is dealt over several
+    tasks; the last and first prices of the spans, a row each, are carried over their edges. A price at the very
+    instant is neither before nor after.
     """
-    a = announcements.select("ticker", F.col("announced_at").alias("ts"), "announcement_id", F.lit(None).cast("double").alias("price"), F.lit(1).alias("kind"))
-    p = prices.select("ticker", "ts", F.lit(None).cast("bigint").alias("announcement_id"), F.col("price").cast("double"), F.lit(0).alias("kind"))
-    # A price at the very instant is neither before nor after, so ranges by time end short of it.
-    both = a.union(p).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    by = Window.partitionBy("ticker").orderBy("us")
+    mine = F.struct(*announcements.columns)
+    a = announcements.select("ticker", F.col("announced_at").alias("ts"), mine.alias("row"), F.lit(None).cast("double").alias("price"))
+    p = prices.select("ticker", "ts", F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.col("price").cast("double"))
+    both = a.union(p).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("part", F.date_trunc(span, "ts"))
+    up, down = (Window.partitionBy("ticker", "part").orderBy(o) for o in (F.col("us"), F.desc("us")))
     rows = both.withColumns({
-        "before": F.last("price", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, -1)),
-        "after": F.first("price", ignorenulls=True).over(by.rangeBetween(1, Window.unboundedFollowing)),
+        "before": F.last("price", ignorenulls=True).over(up.rangeBetween(Window.unboundedPreceding, -1)),
+        "after": F.last("price", ignorenulls=True).over(down.rangeBetween(Window.unboundedPreceding, -1)),
     })
-    return rows.filter("kind = 1").select("ticker", "announcement_id", F.col("ts").alias("announced_at"), "before", "after")
+    parts = both.groupBy("ticker", "part").agg(F.max_by("price", F.when(F.col("price").isNotNull(), F.col("us"))).alias("last"), F.min_by("price", F.when(F.col("price").isNotNull(), F.col("us"))).alias("first"))
+    on, back = (Window.partitionBy("ticker").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("part"), F.desc("part")))
+    edges = parts.select("ticker", "part", F.last("last", ignorenulls=True).over(on).alias("edge_before"), F.last("first", ignorenulls=True).over(back).alias("edge_after"))
+    found = rows.filter("row is not null").join(edges, ["ticker", "part"])
+    return found.select("row.*", F.coalesce("before", "edge_before").alias("before"), F.coalesce("after", "edge_after").alias("after"))
 
 
 def milestones(announcements: DataFrame, prices: DataFrame) -> DataFrame:
-    """Per announcement: prices before and after it, the close of the next session and of the fifth after it.
+    """Per announcement (ticker, announcement_id, announced_at, session, corporate_action): ``pre_close``, ``reference``, ``immediate``, and the
+    closes of the next session and of the fifth after it.
 
-    The n-th later session is found by number: the count of sessions up to the announcement's day, plus n.
+    Inside a session the reference is the last price before the announcement, else the close before it. After the close the
+    immediate price is the next session's opening one. The n-th later session is found by number: the count of sessions up to the announcement's day, plus n.
     """
     s = sessions(prices)
     days = announcements.select("ticker", F.to_date("announced_at").alias("day"), F.lit(0).alias("is_session")).distinct()
     marks = days.unionByName(s.select("ticker", "day", F.lit(1).alias("is_session"))).groupBy("ticker", "day").agg(F.max("is_session").alias("is_session"))
-    upto = marks.withColumn("passed", F.sum("is_session").over(Window.partitionBy("ticker").orderBy("day"))).select("ticker", "day", "passed")
+    upto = marks.withColumn("passed", F.sum("is_session").over(Window.partitionBy("ticker").orderBy("day"))).select("ticker", "day", "passed", "is_session")
     rows = around(announcements, prices).withColumn("day", F.to_date("announced_at")).join(upto, ["ticker", "day"])
-    for name, n in (("next_close", 1), ("fifth_close", 5)):
-        later = s.select("ticker", (F.col("session_no") - n).alias("passed"), F.col("close").alias(name))
+    late = F.col("session") == "after_close"
+    rows = rows.withColumn("pre_no", F.when(late, F.col("passed")).otherwise(F.col("passed") - F.col("is_session")))
+    rows = rows.join(s.select("ticker", F.col("session_no").alias("pre_no"), F.col("close").alias("pre_close")), ["ticker", "pre_no"], "left")
+    for name, n, also in (("next_close", 1, ["open"]), ("fifth_close", 5, [])):
+        later = s.select("ticker", (F.col("session_no") - n).alias("passed"), F.col("close").alias(name), *[F.col(c).alias(f"next_{c}") for c in also])
         rows = rows.join(later, ["ticker", "passed"], "left")
-    return rows.withColumnRenamed("after", "immediate").select("ticker", "announcement_id", "announced_at", "before", *STAGES)
+    rows = rows.withColumn("reference", F.when(F.col("session") == "intraday", F.col("before")).otherwise(F.col("pre_close")))
+    rows = rows.withColumn("immediate", F.when(late, F.col("next_open")).otherwise(F.col("after")))
+    return rows.select(*announcements.columns, "pre_close", "reference", *STAGES)
 
 
 def return_pct(value: Column, base: Column) -> Column:
@@ -60,12 +73,60 @@ def direction(pct: Column, tolerance: float = TOLERANCE) -> Column:
 
 
 def reactions(rows: DataFrame) -> DataFrame:
-    """Milestones with returns against the price before, directions and the reaction's path."""
-    comparable = F.col("before").isNotNull() & (F.col("before") > 0)
+    """Milestones with returns, directions, the reaction's path, and the tracking's ``status`` and ``next_stage``.
+
+    The first move is measured from the reference, the later closes from the close before. With a corporate action that isn't
+    settled nothing is comparable; what has no price yet is pending.
+    """
+    comparable = ~F.coalesce(F.col("corporate_action"), F.lit(False))
     for s in STAGES:
-        rows = rows.withColumn(f"{s}_pct", return_pct(F.col(s), F.col("before")))
+        rows = rows.withColumn(f"{s}_pct", F.when(comparable, return_pct(F.col(s), F.col("reference" if s == "immediate" else "pre_close"))))
         rows = rows.withColumn(f"{s}_dir", F.when(~comparable, "not_comparable").otherwise(direction(F.col(f"{s}_pct"))))
-    return rows.withColumn("path", path(*[F.col(f"{s}_dir") for s in STAGES], F.col("immediate_pct"), F.col("fifth_close_pct")))
+    rows = rows.withColumn("path", path(*[F.col(f"{s}_dir") for s in STAGES], F.col("immediate_pct"), F.col("fifth_close_pct")))
+    whole = F.col("pre_close").isNotNull()
+    for s in STAGES:
+        whole = whole & F.col(f"{s}_pct").isNotNull()
+    # The states of a tracking and what comes next.
+    status = F.when(~comparable, "not_comparable").when(whole, "complete").otherwise("tracking")
+    stage = F.when(~comparable, "manual_review_required").when(whole, "ready_for_post_event_validation").otherwise("awaiting_price_milestones")
+    return rows.withColumn("status", status).withColumn("next_stage", stage)
+
+
+# The roles of milestones.
+ROLES = {"pre_event_close": "pre_close", "immediate_post_announcement": "immediate", "next_business_day_close": "next_close", "fifth_business_day_close": "fifth_close"}
+
+
+def milestone_rows(rows: DataFrame) -> DataFrame:
+    """A row per announcement and role: price, ``status`` and the return from the close before."""
+    comparable = ~F.coalesce(F.col("corporate_action"), F.lit(False))
+    cells = []
+    for role, price in ROLES.items():
+        known = F.col(price).isNotNull() & (F.lit(True) if role == "pre_event_close" else F.col("pre_close").isNotNull() | ~comparable)
+        status = F.when(F.col(price).isNull(), "pending").when(~comparable, "not_comparable").when(known, "observed").otherwise("pending")
+        pct = F.lit(None).cast("double") if role == "pre_event_close" else F.when(comparable, return_pct(F.col(price), F.col("pre_close")))
+        cells.append(F.struct(F.lit(role).alias("role"), F.col(price).alias("price"), status.alias("status"), pct.alias("return_pct")))
+    return rows.select("announcement_id", F.inline(F.array(*cells)))
+
+
+def dataset_context(bundles: DataFrame, events: DataFrame, statuses: DataFrame, companies: DataFrame, prices: DataFrame) -> DataFrame:
+    """Bundles that don't agree with the dataset: exactly one event and company, one occurred status which is current, and its session, ticker, time and currency.
+
+    ``bundles``: row_number, bundle_id, event_id, ticker, session, announced_at; ``prices``: bundle_id, currency.
+    """
+    event = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("__events"), F.min("company_id").alias("__company"), F.min("session").alias("__session"))
+    company = companies.groupBy(F.col("company_id").alias("__company")).agg(F.count(F.lit(1)).alias("__companies"), F.min("ticker").alias("__ticker"), F.min("currency").alias("__currency"))
+    occurred = statuses.filter("status = 'occurred'").groupBy("event_id").agg(F.count(F.lit(1)).alias("__occurred"), F.min("occurred_at").alias("__at"), F.min("status_id").alias("__status"))
+    used = statuses.select(F.col("supersedes").alias("__status"), F.lit(True).alias("__superseded")).filter("__status is not null").distinct()
+    paid = prices.groupBy("bundle_id").agg(F.min("currency").alias("__least"), F.max("currency").alias("__most"))
+    rows = bundles.join(event, "event_id", "left").join(company, "__company", "left").join(occurred, "event_id", "left").join(used, "__status", "left").join(paid, "bundle_id", "left")
+    known = F.col("__currency")
+    return check(
+        rows, "bundle",
+        [("event_id", "not_one_event", ~F.col("__events").eqNullSafe(1)), ("company_id", "not_one_company", ~F.col("__companies").eqNullSafe(1)),
+         ("event_id", "not_one_occurrence", ~F.col("__occurred").eqNullSafe(1) | F.col("__at").isNull()), ("event_id", "occurrence_superseded", F.col("__superseded")),
+         ("session", "other_session", F.col("session") != F.col("__session")), ("ticker", "other_ticker", F.col("ticker") != F.col("__ticker")), ("announced_at", "other_time", F.col("announced_at") != F.col("__at")),
+         ("currency", "other_currency", known.isNull() | ~F.col("__least").eqNullSafe(known) | ~F.col("__most").eqNullSafe(known))],
+    )
 
 
 def path(immediate: Column, middle: Column, fifth: Column, first_pct: Column, last_pct: Column) -> Column:

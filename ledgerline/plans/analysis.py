@@ -9,6 +9,7 @@ from ..operators import documents as docs, evaluation as ev, reaction, review
 from ..sources.tables import new_folder
 from ..streaming import monitor_stream
 from . import records
+from .validation import rules_sql
 from .views import view, with_views
 
 QUERIES: dict = {}
@@ -186,13 +187,14 @@ def overall_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- market reaction
 
-_MS = """s AS (SELECT ticker, ts::DATE AS day, arg_max(price, ts) AS close FROM price WHERE isodow(ts) < 6 GROUP BY 1, 2), sn AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS no FROM s),
- b AS (SELECT a.*, p.price AS before FROM announcement a ASOF LEFT JOIN price p ON a.ticker = p.ticker AND a.announced_at > p.ts), c AS (SELECT b.*, p.price AS immediate FROM b ASOF LEFT JOIN price p ON b.ticker = p.ticker AND b.announced_at < p.ts),
- n AS (SELECT c.ticker, c.announcement_id, c.before, c.immediate, (SELECT count(*) FROM sn WHERE sn.ticker = c.ticker AND sn.day <= c.announced_at::DATE) AS passed, announced_at FROM c),
- ms AS (SELECT n.ticker, announcement_id, before, immediate, x.close AS next_close, y.close AS fifth_close, announced_at FROM n LEFT JOIN sn x ON x.ticker = n.ticker AND x.no = passed + 1 LEFT JOIN sn y ON y.ticker = n.ticker AND y.no = passed + 5)"""
+_MS = """s AS (SELECT ticker, ts::DATE AS day, arg_min(price, ts) AS open, arg_max(price, ts) AS close FROM price WHERE isodow(ts) < 6 GROUP BY 1, 2), sn AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS no FROM s),
+ b AS (SELECT a.*, p.price AS before FROM announcement a ASOF LEFT JOIN price p ON a.ticker = p.ticker AND a.announced_at > p.ts), c AS (SELECT b.*, p.price AS after FROM b ASOF LEFT JOIN price p ON b.ticker = p.ticker AND b.announced_at < p.ts),
+ n AS (SELECT c.*, (SELECT count(*) FROM sn WHERE sn.ticker = c.ticker AND sn.day <= c.announced_at::DATE) AS passed, (SELECT count(*) FROM sn WHERE sn.ticker = c.ticker AND sn.day < c.announced_at::DATE) AS earlier FROM c),
+ ms AS (SELECT n.ticker, announcement_id, corporate_action, z.close AS pre_close, CASE WHEN session = 'intraday' THEN before ELSE z.close END AS reference, CASE WHEN session = 'after_close' THEN x.open ELSE after END AS immediate, x.close AS next_close, y.close AS fifth_close, announced_at
+   FROM n LEFT JOIN sn x ON x.ticker = n.ticker AND x.no = passed + 1 LEFT JOIN sn y ON y.ticker = n.ticker AND y.no = passed + 5 LEFT JOIN sn z ON z.ticker = n.ticker AND z.no = CASE WHEN session = 'after_close' THEN passed ELSE earlier END)"""
 _STAGES = reaction.STAGES
-_RX = _MS + ", rp AS (SELECT *, " + ", ".join(f"CASE WHEN before <> 0 THEN round(({s} / before - 1) * 100, 4) END AS {s}_pct" for s in _STAGES) + " FROM ms), rd AS (SELECT *, " + ", ".join(
-    f"CASE WHEN before IS NULL OR before <= 0 THEN 'not_comparable' WHEN {s}_pct IS NULL THEN 'pending' WHEN {s}_pct > 0.5 THEN 'positive' WHEN {s}_pct < -0.5 THEN 'negative' ELSE 'muted' END AS {s}_dir" for s in _STAGES) + """ FROM rp),
+_RX = _MS + ", rp AS (SELECT *, " + ", ".join(f"CASE WHEN NOT corporate_action AND {r} <> 0 THEN round(({s} / {r} - 1) * 100, 4) END AS {s}_pct" for s, r in zip(_STAGES, ("reference", "pre_close", "pre_close"), strict=True)) + " FROM ms), rd AS (SELECT *, " + ", ".join(
+    f"CASE WHEN corporate_action THEN 'not_comparable' WHEN {s}_pct IS NULL THEN 'pending' WHEN {s}_pct > 0.5 THEN 'positive' WHEN {s}_pct < -0.5 THEN 'negative' ELSE 'muted' END AS {s}_dir" for s in _STAGES) + """ FROM rp),
  rx AS (SELECT *, CASE WHEN 'not_comparable' IN (immediate_dir, next_close_dir, fifth_close_dir) THEN 'not_comparable' WHEN 'pending' IN (immediate_dir, next_close_dir, fifth_close_dir) THEN 'pending' WHEN immediate_dir = 'muted' AND next_close_dir = 'muted' AND fifth_close_dir = 'muted' THEN 'muted'
    WHEN immediate_dir IN ('positive', 'negative') AND fifth_close_dir <> immediate_dir AND fifth_close_dir <> 'muted' THEN 'reversed' WHEN immediate_dir IN ('positive', 'negative') AND fifth_close_dir = immediate_dir THEN CASE WHEN abs(fifth_close_pct) > abs(immediate_pct) THEN 'extended' ELSE 'sustained' END ELSE 'mixed' END AS path FROM rd)"""
 
@@ -205,9 +207,35 @@ def _reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reaction.reactions(_milestones(spark, sf_dir))
 
 
-@query(f"WITH {_MS} SELECT ticker, announcement_id, before, immediate, next_close, fifth_close FROM ms", "price", "announcement")
+@query(f"WITH {_MS} SELECT ticker, announcement_id, pre_close, reference, immediate, next_close, fifth_close FROM ms", "price", "announcement")
 def milestones_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _milestones(spark, sf_dir).drop("announced_at")
+    return _milestones(spark, sf_dir).drop("announced_at", "session", "corporate_action")
+
+
+@query(f"WITH {_MS} " + " UNION ALL ".join(f"SELECT announcement_id, '{role}' AS role, {c} AS price, CASE WHEN {c} IS NULL THEN 'pending' WHEN corporate_action THEN 'not_comparable' WHEN pre_close IS NULL THEN 'pending' ELSE 'observed' END AS status, " + ("CAST(NULL AS DOUBLE)" if c == "pre_close" else f"CASE WHEN NOT corporate_action AND pre_close <> 0 THEN round(({c} / pre_close - 1) * 100, 4) END") + " AS return_pct FROM ms" for role, c in reaction.ROLES.items()), "price", "announcement")
+def milestone_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reaction.milestone_rows(_milestones(spark, sf_dir))
+
+
+@query(f"WITH {_RX}, tr AS (SELECT announcement_id, corporate_action, pre_close IS NOT NULL AND immediate_pct IS NOT NULL AND next_close_pct IS NOT NULL AND fifth_close_pct IS NOT NULL AS whole FROM rx) SELECT announcement_id, CASE WHEN corporate_action THEN 'not_comparable' WHEN whole THEN 'complete' ELSE 'tracking' END AS status, CASE WHEN corporate_action THEN 'manual_review_required' WHEN whole THEN 'ready_for_post_event_validation' ELSE 'awaiting_price_milestones' END AS next_stage FROM tr", "price", "announcement")
+def reaction_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reactions(spark, sf_dir).select("announcement_id", "status", "next_stage")
+
+
+_CONTEXT = "SELECT k AS row_number, 'BU-' || CAST(k AS STRING) AS bundle_id, event_id, lpad(CAST(o_custkey + CASE WHEN k % 37 = 0 THEN 1 ELSE 0 END AS STRING), 4, '0') AS ticker, CASE WHEN k % 31 = 0 THEN 'holiday' ELSE session END AS session, scheduled_at + CASE WHEN k % 29 = 0 THEN INTERVAL '6' MINUTE ELSE INTERVAL '5' MINUTE END AS announced_at FROM {event}"
+_PAID = "SELECT 'BU-' || CAST(l_orderkey AS STRING) AS bundle_id, CASE WHEN l_partkey % 41 = 0 THEN 'USD' ELSE 'JPY' END AS currency FROM {lineitem}"
+_CONTEXT_RULES = [
+    ("event_id", "not_one_occurrence", "coalesce(n_oc, 0) <> 1 OR oat IS NULL"), ("event_id", "occurrence_superseded", "sid IN (SELECT supersedes FROM status WHERE supersedes IS NOT NULL)"), ("session", "other_session", "session <> es"),
+    ("ticker", "other_ticker", "ticker <> ct"), ("announced_at", "other_time", "announced_at <> oat"), ("currency", "other_currency", "lc IS NULL OR lc <> 'JPY' OR mc <> 'JPY'"),
+]
+
+
+@query(f"WITH bu AS ({_CONTEXT.format(event='event')}), pd AS (SELECT bundle_id, min(currency) AS lc, max(currency) AS mc FROM ({_PAID.format(lineitem='lineitem')}) GROUP BY 1), oc AS (SELECT event_id, count(*) AS n_oc, min(occurred_at) AS oat, min(status_id) AS sid FROM status WHERE status = 'occurred' GROUP BY 1), "
+  "j AS (SELECT bu.*, lc, mc, n_oc, oat, sid, e.session AS es, c.ticker AS ct FROM bu JOIN event e USING (event_id) JOIN company c ON c.company_id = e.company_id LEFT JOIN oc USING (event_id) LEFT JOIN pd USING (bundle_id)) " + rules_sql("bundle", "j", _CONTEXT_RULES), "company", "event", "status")
+def bundle_dataset_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, companies = view(spark, sf_dir, "event"), view(spark, sf_dir, "company").withColumn("currency", F.lit("JPY"))
+    prices = spark.sql(_PAID, lineitem=view(spark, sf_dir, "lineitem"))
+    return reaction.dataset_context(spark.sql(_CONTEXT, event=events), events, view(spark, sf_dir, "status"), companies, prices)
 
 
 @query(f"WITH {_RX} SELECT announcement_id, immediate_pct, next_close_pct, fifth_close_pct FROM rx", "price", "announcement")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, gates, monitor_rules, records, validation
+from . import analysis, gates, monitor_rules, records, releases, validation
 
-_MODULES = (validation, records, monitor_rules, gates, analysis)
+_MODULES = (validation, records, monitor_rules, gates, releases, analysis)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

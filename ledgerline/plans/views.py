@@ -60,7 +60,7 @@ VIEWS: dict[str, str] = {
     "run": """SELECT event_id AS run_no, user_id AS target, ts, event_type, value, props, event_type <> 'error' AS succeeded,
           CASE WHEN event_type <> 'error' THEN sha2(event_type, 256) END AS fingerprint, 'E' || CAST(CAST(floor(value) AS BIGINT) % 2 AS STRING) AS error_code FROM events""",
     "price": "SELECT user_id AS ticker, event_id AS price_id, ts, CAST(value AS DOUBLE) AS price FROM events",
-    "announcement": "SELECT user_id AS ticker, event_id AS announcement_id, ts AS announced_at FROM events WHERE event_type = 'purchase'",
+    "announcement": "SELECT user_id AS ticker, event_id AS announcement_id, ts AS announced_at, CASE WHEN hour(ts) < 9 THEN 'before_open' WHEN hour(ts) < 15 THEN 'intraday' ELSE 'after_close' END AS session, event_id % 29 = 0 AS corporate_action FROM events WHERE event_type = 'purchase'",
     "hypothesis": "SELECT conv_id * 1000 + turn AS row_number, conv_id, turn, 'H-' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS hypothesis_id, CASE WHEN turn > 0 THEN 'H-' || CAST(conv_id AS STRING) || '-' || CAST(turn - CASE WHEN conv_id % 7 = 3 THEN 2 ELSE 1 END AS STRING) END AS parent_id, role, text FROM conversations",
 }
 #: What each view reads: tables and earlier views.
