@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import words
-from .common import picked, staged
+from .common import integral, picked, staged
 from .components import connected
 
 NGRAM = 5
@@ -370,7 +370,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     compared. The sample doesn't change the result.
     """
     spark = docs.sparkSession
-    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull())
+    rows = picked(docs, doc_id=id_col, text=text_col).select(integral(docs, id_col).alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * docs.rdd.getNumPartitions())
 
     def met(groups: DataFrame | None, part: int) -> DataFrame:

@@ -1,13 +1,12 @@
 """Compression classifier of text quality.
 
-Two zstandard dictionaries hold good and bad labelled text. A text that resembles good
+Two zstandard dictionaries are trained on good and bad labelled text. A text that resembles good
 text compresses better with the good one; the difference of the two sizes, divided by
-their sum, becomes a probability by a logistic calibration on other labelled rows.
+their sum, becomes a probability by a logistic calibration on other labelled rows. Nothing else enters the score.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,12 +15,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import picked
+from .common import picked, staged
 
-#: The most labelled rows of each class that are read to fit, and the most dictionary bytes kept of each.
+#: The most labelled rows of each class that are read to fit, and the bytes of each that go into training, from all over its text.
 SAMPLE_ROWS = 1500
-DICTIONARY_BYTES = 192 << 10
+SAMPLE_BYTES = 2048
+DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+BLOCK_BYTES = 128
+#: Length of the pieces that dictionaries are made of, and of their common parts, in bytes.
+SEGMENT, PART = 64, 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -31,34 +34,33 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Dictionaries of bad (0) and good (1) text, and the calibration's weights."""
+    """Dictionaries of bad (0) and good (1) text, and the calibration of the normalised size difference."""
 
-    dictionaries: tuple[bytes, bytes] = (b"", b"")
-    weights: np.ndarray | None = None
-    centre: np.ndarray | None = None
-    scale: np.ndarray | None = None
-    prior: float = 0.5
+    dictionaries: tuple[bytes, bytes] | None = None
+    intercept: float = 0.0
+    slope: float = 0.0
     _tools: list = field(default_factory=list, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_tools": []}
 
-    def features(self, raw: bytes) -> list[float]:
-        """Normalised size difference, and how far the text compresses at all, which tells mere repetition."""
+    def difference(self, raw: bytes) -> float:
+        """How much smaller a text gets with the good dictionary than with the bad one, divided by both sizes' sum.
+
+        Blocks of the whole text are compressed each on its own, so that what repeats inside it doesn't hide what it resembles.
+        """
         if not self._tools:
             for content in self.dictionaries:
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(content)
                 d.precompute_compress(LEVEL)
-                self._tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False))
-        bad, good = (len(t.compress(raw)) for t in self._tools)
-        ratio = math.log((min(bad, good) + 8) / (len(raw) + 8))
-        return [(bad - good) / (bad + good), ratio, ratio * ratio, math.log(len(raw) + 8)]
+                self._tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+        parts = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)] or [b""]
+        bad, good = (sum(map(len, map(t.compress, parts))) for t in self._tools)
+        return (bad - good) / (bad + good)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if self.weights is None:
-            return np.full(len(texts), self.prior)
-        x = (np.array([self.features(t) for t in texts]).reshape(-1, 4) - self.centre) / self.scale
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
+        x = np.array([self.difference(t) for t in texts]) if self.dictionaries else np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(x * self.slope + self.intercept, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -85,43 +87,66 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[list[tuple[int, bytes]], tuple[int, int]]:
-    """The classes' label counts, and (label, text) of at most ``rows`` rows of each class, picked by a hash of the id among those not held out.
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[DataFrame, tuple[int, int]]:
+    """(doc_id, label, half, text) of at most ``rows`` rows of each class, picked by a hash of the id among those not held out, and the classes' label counts.
 
-    The ids are picked in ``labels`` alone; ids with no label or with contradictory ones aren't used.
+    The ids are picked in ``labels`` alone; ids with no label or with contradictory ones aren't used. Of rows that
+    repeat an id, the least text counts.
     """
     known = picked(labels, doc_id=id_col, label=label_col).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter(F.col("label") == F.col("most")).drop("most")
     counts = {int(r["label"]): r["count"] for r in one.groupBy("label").count().collect()}  # two rows
     some = [one.filter(F.col("label") == k).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(rows) for k in (0, 1)]
     texts = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(some[0].union(some[1])), "doc_id")  # at most 2 * rows ids
-    found = texts.select("doc_id", "label", F.coalesce(F.col("text"), F.lit("")).alias("text")).dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: (hash_order(r["doc_id"]), str(r["doc_id"])))
-    return [(int(r["label"]), r["text"].encode()) for r in found], (counts.get(0, 0), counts.get(1, 0))
-
-
-def hash_order(value: object) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(str(value))
-
-
-def fit(rows: list[tuple[int, bytes]], counts: tuple[int, int] = (1, 1)) -> Model:
-    """Every other row of a class feeds its dictionary, the rest calibrate; classes weigh as their label counts."""
-    by = [[t for y, t in rows if y == k] for k in (0, 1)]
-    if min(map(len, by)) < 4:
-        return Model(prior=(counts[1] + 1) / (sum(counts) + 2))
-    contents = []
-    for texts in by:
-        share = max(512, DICTIONARY_BYTES // max(1, len(texts[::2])))
-        contents.append(b"\n".join(spread(t, share) for t in texts[::2])[:DICTIONARY_BYTES] or b"\n")
-    model = Model((contents[0].ljust(16), contents[1].ljust(16)))
-    held = [(y, t) for y, texts in enumerate(by) for t in texts[1::2]]
-    x, y = np.array([model.features(t) for _, t in held]), np.array([float(y) for y, _ in held])
-    share = np.array(counts) / np.maximum(np.bincount(y.astype(int), minlength=2), 1)
-    share *= len(y) / share[y.astype(int)].sum()
-    model.centre, model.scale = x.mean(0), x.std(0) + 1e-9
-    model.weights = logistic((x - model.centre) / model.scale, y, share[y.astype(int)])
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    found = texts.groupBy("doc_id", "label").agg(F.min(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    return found.select("doc_id", F.col("label").cast("int").alias("label"), half.alias("half"), "text"), (counts.get(0, 0), counts.get(1, 0))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cut = [spread(t.encode(), SAMPLE_BYTES) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["label", "piece"])
+
+
+def trained(pieces: list[bytes]) -> bytes:
+    """A dictionary of what the pieces have in common; so few that nothing can be trained are the dictionary themselves."""
+    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // 4)
+    try:
+        return zstandard.train_dictionary(size, pieces, k=SEGMENT, d=PART, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"\n".join(pieces).ljust(16)[-DICTIONARY_BYTES:]
+
+
+def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
+    """One half of the sampled rows trains the dictionaries, the other calibrates, weighted by the classes' label counts.
+
+    Only pieces of ``SAMPLE_BYTES`` and, of whole texts, differences come to the driver.
+    """
+    sample, counts = labelled(docs, labels, **options)
+    sample = staged(sample, "labelled")
+    share = (counts[1] + 1) / (sum(counts) + 2)
+    plain = Model(intercept=float(np.log(share / (1 - share))))
+    pieces = sample.filter("half = 0").orderBy("doc_id").select("label", "text").mapInArrow(_pieces, "label int, piece binary").collect()
+    by = [[bytes(r["piece"]) for r in pieces if r["label"] == k and r["piece"]] for k in (0, 1)]
+    if min(map(len, by)) < 2:
+        return plain
+    model = Model((trained(by[0]), trained(by[1])))
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.difference(t.encode()) for t in batch.column(1).to_pylist()], pa.float64())], ["label", "x"])
+
+    found = sample.filter("half = 1").orderBy("doc_id").select("label", "text").mapInArrow(differences, "label int, x double").collect()
+    y, x = (np.array([float(r[c]) for r in found]) for c in ("label", "x"))
+    if min((y == 0).sum(), (y == 1).sum()) < 2:
+        return plain
+    weight = np.array(counts) / np.maximum(np.bincount(y.astype(int), minlength=2), 1)
+    weight *= len(y) / weight[y.astype(int)].sum()
+    centre, scale = x.mean(), x.std() + 1e-9
+    w = logistic(((x - centre) / scale)[:, None], y, weight[y.astype(int)])
+    model.slope = float(w[1] / scale)
+    model.intercept = float(w[0] - model.slope * centre)
     return model
 
 
@@ -145,18 +170,19 @@ def quality_scores(
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``held_out``, ``score`` (0 to 1, higher is better) and ``predicted``.
 
-    Whole texts are compressed; null counts as empty. With fewer than four labelled rows of a class
-    every score is the share of good ones. Ids and other columns never enter a score.
+    Whole texts are compressed; null counts as empty. With too few labelled rows of a class (two in each half)
+    every score is the share of good ones. Ids and other columns never enter a score. Repeated rows are scored each, rows with a null id too; an
+    empty table gives no rows.
     """
-    model = model or fit(*labelled(docs, labels, id_col, text_col, label_col, sample_rows))
+    model = model or fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=sample_rows)
     rows = picked(docs, doc_id=id_col, text=text_col)
     scored = _scored(rows.select(F.struct("doc_id").alias("row"), "text"), model, threshold)
     return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` without those that score below the threshold; all columns stay."""
-    model = fit(*labelled(docs, labels, id_col, text_col, label_col, sample_rows))
+    """``docs`` without those that score below the threshold; all columns stay. Nulls, repeated rows and empty tables as in ``quality_scores``."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=sample_rows)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     return _scored(rows, model, threshold).filter("predicted = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

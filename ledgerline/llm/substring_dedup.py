@@ -2,15 +2,16 @@
 
 1. Each window of ``window`` words has an anchor, the phrase of a few words with the least
    hash in it; equal windows have equal anchors. Anchors of more than one document are
-   recurring phrases.
-2. Documents with recurring phrases are dealt into shards of some MB. Each shard compiles its
-   phrases into an Aho-Corasick automaton over word numbers, and all its documents stream
-   through it: every occurrence is located, and with it the windows that may recur.
+   recurring phrases; of each, a document knows the place where it first saw it.
+2. Documents with recurring phrases are dealt into shards of some MB (no other can hold a recurring
+   window). Each shard compiles the words at those places into an Aho-Corasick automaton, and all its
+   documents stream through it: it alone locates the other occurrences, and with them the windows that may recur.
 3. Windows meet by hash, each shard sending one entry for equal ones, and each shard learns
    which of its windows start in a smaller document elsewhere.
 4. The words these windows cover go.
 
-Shards grow in number, not in size, and a document goes to one shard only.
+Shards grow in number, not in size, and a document goes to one shard only. What shards ask each other is a row for each shard and bucket
+of hashes, and never more than one for each of the shard's windows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .common import picked, staged
+from .common import integral, picked, staged
 
 WINDOW = 50
 PHRASE = 8
@@ -56,7 +57,7 @@ def _joined(w: words.Words, raw: bytes, d: int, keep: np.ndarray | None = None)
 
 
 def _survey(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Iterator[pa.RecordBatch]:
-    """Per document: words, digest of all of them joined, and its distinct anchors."""
+    """Per document: words, digest of all of them joined, and its anchors with the word at which each begins."""
     for batch in batches:
         for low, high, data, offs in words.pieces(batch.column(2)):
             w, raw = words.Words(data, offs, words.SPACED), data.tobytes()
@@ -67,21 +68,28 @@ def _survey(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Iter
             doc = text[at]
             fresh = np.ones(len(at), dtype=bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+            place = _anchor_places(_phrases(w, phrase), at[fresh], window - phrase + 1) - w.first[doc[fresh]]
             ends = np.searchsorted(doc[fresh], np.arange(len(w.count) + 1)).astype(np.int32)
             shas = [hashlib.sha256(_joined(w, raw, d)).hexdigest() for d in range(len(w.count))]
             part = batch.slice(low, high - low)
-            anchors = pa.ListArray.from_arrays(pa.array(ends), pa.array(anchor[fresh].view(np.int64)))
+            pairs = pa.StructArray.from_arrays([pa.array(anchor[fresh].view(np.int64)), pa.array(place.astype(np.int32))], ["anchor", "place"])
+            anchors = pa.ListArray.from_arrays(pa.array(ends), pairs)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(w.count.astype(np.int64)), pa.array(shas), anchors], ["doc_id", "text_key", "n_words", "sha256", "anchors"])
 
 
-def _located(ids: np.ndarray, w: words.Words, phrases: list[np.ndarray], window: int, phrase: int) -> np.ndarray:
-    """Starts of the windows that hold a phrase, found by an automaton of the shard's phrases."""
-    wanted = np.unique(np.concatenate(phrases)) if phrases else np.zeros(0, np.uint64)
-    grams = _phrases(w, phrase)
-    spots = np.flatnonzero(np.isin(grams, wanted))
-    _, one = np.unique(grams[spots], return_index=True)
+def _anchor_places(grams: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of the ``width`` hashes from each start stands."""
+    out = np.zeros(len(starts), dtype=np.int64)
+    for low in range(0, len(starts), 1 << 14):
+        some = starts[low : low + (1 << 14)]
+        out[low : low + len(some)] = some + grams[some[:, None] + np.arange(width)].argmin(1)
+    return out
+
+
+def _located(ids: np.ndarray, w: words.Words, places: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """Starts of the windows that hold one of the phrases at ``places``, all of whose occurrences an automaton of their words locates."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for s in spots[one].tolist():
+    for s in places.tolist():
         automaton.add_word(tuple(ids[s : s + phrase].tolist()))
     if not len(automaton):
         return np.zeros(0, np.int64)
@@ -108,7 +116,9 @@ def _shards(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Iter
             w = words.Words(data, offs, words.SPACED)
             _, ids = np.unique(w.hash, return_inverse=True)
             lists = batch.column(3).slice(low, high - low)
-            starts = _located(ids, w, [lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)], window, phrase)
+            held = np.array([len(x) for x in lists.to_pylist()], dtype=np.int64)
+            places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(w.first[:-1], held)
+            starts = _located(ids, w, places, window, phrase)
             hashes = words.mix(words.chained(w.hash, window))[starts] if len(starts) else np.zeros(0, np.uint64)
             part = batch.slice(low, high - low)
             row = {
@@ -196,11 +206,11 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     input. Null or shorter texts lose nothing, nor do rows with a null id, which are no one's earlier document; rows with
     equal ids are one document. An empty table gives no rows; extra columns are ignored.
     """
-    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    survey = staged(rows.mapInArrow(lambda it: _survey(it, window, phrase), "doc_id bigint, text_key bigint, n_words bigint, sha256 string, anchors array<bigint>"), "survey")
-    anchors = survey.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select(integral(docs, id_col).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    survey = staged(rows.mapInArrow(lambda it: _survey(it, window, phrase), "doc_id bigint, text_key bigint, n_words bigint, sha256 string, anchors array<struct<anchor:bigint,place:int>>"), "survey")
+    anchors = survey.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.inline("anchors"))
     recurring = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("anchor")
-    marked = anchors.join(recurring, "anchor", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("phrases"))
+    marked = anchors.join(recurring, "anchor", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("phrases"))
     dealt = rows.join(marked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "phrases")
     shard_type = "shard string, doc_ids array<bigint>, text_keys array<bigint>, offsets binary, texts binary, starts binary, hashes binary, windows bigint"
     shards = staged(dealt.mapInArrow(lambda it: _shards(it, window, phrase), shard_type), "shards")
