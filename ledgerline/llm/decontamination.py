@@ -3,8 +3,9 @@
 The documents of a piece of some MB are one shard. Its suffix array holds the suffixes
 that begin with the first words of some benchmark suffix (no other can match), ordered by
 their words. Every benchmark suffix is binary-searched in every shard; the longest
-verbatim match at each place follows from the order. Benchmarks go out in blocks of a
-fixed size, so that none is ever broadcast beyond that size.
+verbatim match at each place follows from the order. Items of fewer words than a lead are looked
+up whole. Benchmarks go out in blocks of a fixed size, one at a time, so that neither the driver nor a
+broadcast ever holds more than one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import words
-from .common import picked
+from .common import picked, staged
 
 WINDOW = 10
 LEAD = 3
@@ -41,10 +42,11 @@ class Block:
     hashes: np.ndarray
     first: np.ndarray
     window: int
-    lead: int
     leads: np.ndarray
     lead_at: np.ndarray
     seen: np.ndarray
+    #: Of items with so many words, fewer than a lead: hashes of all their words, sorted, and which items they are.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
     def of(rows: list[tuple[str, str]], window: int = WINDOW) -> Block | None:
@@ -55,12 +57,22 @@ class Block:
         some = np.flatnonzero(w.count)
         if not len(some):
             return None
-        lead = int(min(LEAD, window, w.count[some].min()))
+        lead = min(LEAD, window)
         at, key = w.windows(lead)
         order = np.argsort(key, kind="stable")
+        short = {}
+        for n in range(1, lead):
+            mine = np.flatnonzero(w.count[some] == n)
+            whole = words.mix(words.chained(w.hash, n))[w.first[some[mine]]] if len(mine) else np.zeros(0, np.uint64)
+            by = np.argsort(whole, kind="stable")
+            short[n] = (whole[by], mine[by])
         seen = np.zeros(1 << 20, dtype=bool)
         seen[(key & words.U64((1 << 20) - 1)).astype(np.int64)] = True
-        return Block([rows[i][0] for i in some], w.hash, np.append(w.first[some], len(w)), window, lead, key[order], at[order], seen)
+        return Block([rows[i][0] for i in some], w.hash, np.append(w.first[some], len(w)), window, key[order], at[order], seen, short)
+
+    @property
+    def lead(self) -> int:
+        return min(LEAD, self.window)
 
     def item_of(self, at: int) -> int:
         return int(np.searchsorted(self.first, at, "right")) - 1
@@ -69,6 +81,16 @@ class Block:
 def shard_matches(w: words.Words, block: Block) -> list[list[tuple[str, int, int, int]]]:
     """Per document of a shard: (item, first word there, first word here, words) of its maximal matches."""
     out: list[list[tuple[str, int, int, int]]] = [[] for _ in w.count]
+    for n, (whole, which) in block.short.items():
+        if not len(whole):
+            continue
+        at, key = w.windows(n)
+        low, high = np.searchsorted(whole, key, "left"), np.searchsorted(whole, key, "right")
+        for k in np.flatnonzero(high > low).tolist():
+            d = int(np.searchsorted(w.first, at[k], "right")) - 1
+            out[d] += [(block.items[i], 0, int(at[k] - w.first[d]), n) for i in which[low[k] : high[k]].tolist()]
+    if not len(block.leads):
+        return out
     at, key = w.windows(block.lead)
     maybe = block.seen[(key & words.U64((1 << 20) - 1)).astype(np.int64)]
     at, key = at[maybe], key[maybe]
@@ -104,44 +126,58 @@ def shard_matches(w: words.Words, block: Block) -> list[list[tuple[str, int, int
     return out
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The benchmark in blocks of about ``block_bytes`` of text; only one is on the driver at a time."""
+def blocks(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[Block | None]]:
+    """How many blocks of about ``block_bytes`` of text the benchmark has, and the blocks, of which only one is on the driver at a time."""
     rows = picked(benchmark, item=item_col, text=text_col).filter(F.col("text").isNotNull()).select(F.col("item").cast("string"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = -(-size // block_bytes)
-    for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else rows
-        block = Block.of([(r["item"] or "", r["text"]) for r in part.collect()], window)
-        if block:
-            yield block
+
+    def each() -> Iterator[Block | None]:
+        for k in range(n):
+            part = rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else rows
+            yield Block.of([(r["item"] or "", r["text"]) for r in part.collect()], window)
+
+    return n, each()
+
+
+def _scanned(rows: DataFrame, block: Block | None) -> DataFrame:
+    """``rows`` (row, text) with ``n_words`` and ``matches`` in place of the text."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)  # about BLOCK_BYTES of text
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offs in words.pieces(batch.column(1)):
+                w = words.Words(words.LOWER[data], offs, words.ALNUM)
+                found = shard_matches(w, shared.value) if shared.value is not None else [[] for _ in w.count]
+                out = pa.array([[dict(zip(("item", "item_start", "start", "length"), m, strict=True)) for m in ms] for ms in found], pa.list_(_MATCH))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(w.count.astype(np.int64)), out], ["row", "n_words", "matches"])
+
+    match = T.StructType().add("item", "string").add("item_start", "long").add("start", "long").add("length", "long")
+    return rows.mapInArrow(scan, T.StructType([rows.schema["row"]]).add("n_words", "long").add("matches", T.ArrayType(match)))
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``row`` (all columns of ``docs``), ``n_words`` and ``matches``: the longest matches of at least a window.
 
     A window is ``window`` consecutive words of an item, or all of a shorter item. Null or empty texts
-    and items have no words. Repeated rows are each judged.
+    and items have no words; items with a null id have a blank one. Repeated rows are each judged; an empty table gives no rows.
     """
-    context = docs.sparkSession.sparkContext
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    match = T.StructType().add("item", "string").add("item_start", "long").add("start", "long").add("length", "long")
-    kind = T.StructType([state.schema["row"]]).add("text", "string").add("n_words", "long").add("matches", T.ArrayType(match))
-    for block in [*blocks(benchmark, window, item_col, item_text_col, block_bytes)] or [None]:
-        shared = context.broadcast(block)  # about BLOCK_BYTES of text
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for low, high, data, offs in words.pieces(batch.column(1)):
-                    part = batch.slice(low, high - low)
-                    w = words.Words(words.LOWER[data], offs, words.ALNUM)
-                    found = shard_matches(w, shared.value) if shared.value is not None else [[] for _ in w.count]
-                    if part.num_columns > 2:
-                        found = [[tuple(m.values()) for m in old] + new for old, new in zip(part.column(3).to_pylist(), found, strict=True)]
-                    rows = pa.array([[dict(zip(("item", "item_start", "start", "length"), m, strict=True)) for m in ms] for ms in found], pa.list_(_MATCH))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(w.count.astype(np.int64)), rows], ["row", "text", "n_words", "matches"])
-
-        state = state.mapInArrow(scan, kind)
-    return state.drop("text")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.col(f"`{text_col}`").alias("text")
+    n, each = blocks(benchmark, window, item_col, item_text_col, block_bytes)
+    if n <= 1:
+        return _scanned(docs.select(whole.alias("row"), text), next(each, None))
+    # Rows get a number once, and each block's matches are written before the next block is made.
+    numbered = staged(docs.select(whole.alias("row"), text, F.monotonically_increasing_id().alias("no")), "numbered")
+    keyed, found, counts = numbered.select(F.col("no").alias("row"), "text"), None, None
+    for block in each:
+        part = staged(_scanned(keyed, block), "block_matches")
+        counts = counts if counts is not None else part.select(F.col("row").alias("no"), "n_words")
+        some = part.filter(F.size("matches") > 0).select(F.col("row").alias("no"), "matches")
+        found = some if found is None else found.union(some)
+    merged = found.groupBy("no").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    empty = F.array().cast(merged.schema["matches"].dataType)
+    return numbered.drop("text").join(counts, "no").join(merged, "no", "left").select("row", "n_words", F.coalesce("matches", empty).alias("matches"))
 
 
 def hit_words() -> Column:
@@ -161,5 +197,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those in which a window of the benchmark occurs; all columns stay."""
+    """``docs`` without those in which a window of the benchmark occurs; all columns stay. Nulls, repeated rows and empty tables as in ``with_matches``."""
     return with_matches(docs, benchmark, **options).filter(F.size("matches") == 0).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

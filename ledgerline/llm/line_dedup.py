@@ -1,12 +1,13 @@
 """Fuzzy line dedup in DataFrame functions alone.
 
-A line's set are the shingles of ``SHINGLE`` characters at all its positions. Its MinHash
-values are the first hashes at or after fixed points of the ring of 64-bit hashes, all found
-in one sort. Bands of two values bring alike lines together; each is compared exactly with
-the least line of each of its bands, then with every other line of its bands that these links
-don't join to it yet; union-find joins the links, and the first line of each component stays.
-
-Equal lines are one from the start: only a hash, a place and the bands of a line are shuffled.
+A line's set are the shingles of ``SHINGLE`` characters at all its positions, in lower case. Its MinHash
+values are the least hashes of ``BINS`` equal parts of the ring of hashes, an empty part taking the
+next one's; they are aggregates over the exploded positions, which Spark compiles. Bands of two
+values bring alike lines together; every pair of a band is compared exactly (first the least line of each band
+with the others, then all pairs that these links don't join yet), union-find joins
+the links, and the first line of each component stays.
+
+Equal lines are one from the start. Texts are shuffled only of lines that share a band.
 """
 
 from __future__ import annotations
@@ -20,20 +21,42 @@ SHINGLE = 9
 SIMILARITY = 0.75
 #: Where callers don't say otherwise, lines of fewer words aren't judged; op5 and the pipeline judge all that aren't blank (1).
 MIN_WORDS = 3
-#: Pairs of sixteenths of the ring at whose beginnings the two values of each band are read.
-BANDS = ((-8, 1), (-5, 4), (-2, 7), (-6, 2), (0, 5), (-4, 3))
+BINS = 16
+#: Pairs of parts of the ring whose values make a band.
+BANDS = ((0, 9), (3, 12), (6, 15), (2, 8), (5, 13), (4, 11))
+#: Hashes of a part that are looked at in a line without repetition: its least ones. Empty parts from which a line is read again.
+DEPTH, EMPTY = 5, 4
+#: Of ``BINS`` values, those that lines must have in common to be compared, once they have ``FILLED`` shingles: a pair of
+#: similarity 0.75 falls short with a probability of 0.027, one of 0.8 with 0.007, one of 0.85 with 0.001.
+AGREEING, FILLED = 9, 64
 BROADCAST_ROWS = 1_000_000
 #: Lines of a bucket that meet in one task.
 BLOCK = 256
-#: Longs of a line's parities, a power of two.
-SKETCH = 4
+#: Share of all lines from which an equal line counts as hot; there are at most as many hot ones.
+HOT_SHARE = 1e-4
+
+
+def _wide(line: Column) -> Column:
+    """A line in lower case with two bytes a character (one beyond the basic plane counts as two)."""
+    return F.encode(F.lower(line), "UTF-16BE")
+
+
+def _positions(wide: str) -> Column:
+    return F.greatest(F.expr(f"octet_length({wide}) div 2 - {SHINGLE - 1}"), F.lit(1))
 
 
-def shingle_hashes(line: Column) -> Column:
-    """Hashes of the ``SHINGLE`` characters at each position, in lower case; a shorter line is its own one shingle."""
-    low = F.lower(line)
-    found = F.when(F.length(low) < SHINGLE, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{SHINGLE}}})).")))
-    return F.transform(found, lambda x: F.xxhash64(x))
+def _offsets(n: Column) -> Column:
+    """Where the shingles of a column of two bytes a character begin, in bytes from 1."""
+    return F.sequence(F.lit(1), (2 * n - 1).cast("int"), F.lit(2))
+
+
+def shingle_hashes(wide: str) -> Column:
+    """Hashes of the ``SHINGLE`` characters at each position of a column of two bytes a character; a shorter line is its own one shingle.
+
+    The bytes are an element of an array, since a lambda would copy a column's at each position.
+    """
+    found = F.transform(F.array(wide), lambda w: F.transform(_offsets(_positions(wide)), lambda at: F.xxhash64(F.substring(w, at, F.lit(2 * SHINGLE)))))
+    return F.get(found, F.lit(0))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,72 +64,102 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def judged_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line of at least ``min_words`` words: ``doc_id``, ``line_no``, ``line`` and its shingles' hashes, sorted."""
+    """Every line of at least ``min_words`` words: ``doc_id``, ``line_no``, ``line`` and its hash ``h``."""
     lines = _rows(docs, id_col, text_col).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.filter(F.col("line").rlike(rf"^\s*+(?:\S++\s++){{{max(min_words, 1) - 1}}}\S")).withColumn("grams", F.sort_array(shingle_hashes(F.col("line"))))
-
+    pattern = r"\S" if min_words <= 1 else rf"^\s*+(?:\S++\s++){{{min_words - 1}}}\S"
+    return lines.filter(F.col("line").rlike(pattern)).withColumn("h", F.xxhash64("line"))
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """``doc_id``, ``line_no``, the line's hash and its bands."""
-    first = F.filter("grams", lambda x, i: (i == 0) | (F.shiftright(x, 60) != F.shiftright(F.get(F.col("grams"), i - 1), 60)))
-    least = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), first.alias("first"))
 
-    def value(point: int) -> Column:
-        ahead = F.coalesce(F.get(F.filter("first", lambda x: F.shiftright(x, 60) >= point), F.lit(0)), F.get("first", F.lit(0)))
-        return F.when(F.size("first") == 16, F.get("first", F.lit(point + 8))).otherwise(ahead)  # with all sixteenths filled, the place is known
+def _values(lines: DataFrame, depth: int | None) -> DataFrame:
+    """Per line: ``h``, its number of positions ``n``, and the least hash of each part, null where there is none (below the bound).
 
-    return least.select("doc_id", "line_no", "h", *[F.xxhash64(F.lit(k), value(a), value(b)).alias(f"band{k}") for k, (a, b) in enumerate(BANDS)])
+    Aggregates of longs over exploded positions, in compiled code from the text to the partial aggregate. With a ``depth``
+    only hashes below a bound are aggregated, as many of a part as that if all shingles differ; the first position
+    keeps every line in the result.
+    """
+    wide = lines.select("h", _wide(F.col("line")).alias("wide")).select("h", "wide", _positions("wide").alias("n"))
+    at = wide.select("h", "wide", "n", F.explode(_offsets(F.col("n"))).alias("at"))
+    hashed = at.select("h", "n", "at", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(2 * SHINGLE))).alias("g"))
+    part, low = F.shiftright("g", 60) + BINS // 2, F.lit(True)
+    if depth:
+        bound = float(depth * BINS << 60) / F.col("n")
+        low = (F.col("n") <= depth * BINS) | (F.col("g").bitwiseAND((1 << 60) - 1) < bound.cast("bigint"))
+        hashed = hashed.filter(low | (F.col("at") == 1))
+    return hashed.groupBy("h").agg(F.max("n").alias("n"), *[F.min(F.when((part == k) & low, F.col("g"))).alias(f"m{k}") for k in range(BINS)])
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """Per distinct line: ``h``, ``n``, a digest of its values (``low``, ``high``) and its bands; an empty part takes the next one's value.
+
+    Lines that repeat themselves so much that several parts stay empty below the bound are aggregated again without one; few
+    others are (a part is empty by chance with a probability of exp(-DEPTH)).
+    """
+    bounded = staged(_digested(_values(lines, DEPTH)), "signatures")
+    again = bounded.filter((F.col("n") > DEPTH * BINS) & (F.col("empty") > EMPTY)).select("h")
+    whole = _digested(_values(lines.join(_small(again), "h"), None))
+    return bounded.join(_small(again), "h", "left_anti").unionByName(whole).drop("empty")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _digested(values: DataFrame) -> DataFrame:
+    """``h``, ``n``, the number of empty parts, a byte of each value in two longs, and the bands."""
+    empty = sum((F.col(f"m{k}").isNull().cast("int") for k in range(BINS)), F.lit(0))
+    full = values.select("h", "n", empty.alias("empty"), *[F.coalesce(*[F.col(f"m{(k + j) % BINS}") for j in range(BINS)], F.lit(0)).alias(f"m{k}") for k in range(BINS)])
+    bands = [F.xxhash64(F.lit(k), f"m{a}", f"m{b}").alias(f"band{k}") for k, (a, b) in enumerate(BANDS)]
+    return full.select("h", "n", "empty", _digest(range(8)).alias("low"), _digest(range(8, 16)).alias("high"), *bands)
 
 
-def _sketched(lines: DataFrame) -> DataFrame:
-    """``lines`` with their sets' sizes and parities: bit k of all ``SKETCH`` longs tells whether an odd number of hashes falls on k."""
-    sets = lines.withColumn("grams", F.array_distinct(shingle_hashes(F.col("line"))))
+def _digest(part: range) -> Column:
+    """A byte of each of eight values, in one long."""
+    out = F.lit(0).cast("bigint")
+    for j, k in enumerate(part):
+        out = out.bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(255), 8 * j))
+    return out
 
-    def parity(k: int) -> Column:
-        mine = F.filter("grams", lambda x: F.shiftright(x, 6).bitwiseAND(SKETCH - 1) == k)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
 
-    return sets.select("h", "line", F.size("grams").alias("n"), *[parity(k).alias(f"parity{k}") for k in range(SKETCH)])
+def _alike() -> Column:
+    """Whether lines ``x`` and ``y`` have enough values in common, or so few shingles that values don't tell."""
+    same = F.lit(0)
+    for name in ("low", "high"):
+        apart = F.col(f"x.{name}").bitwiseXOR(F.col(f"y.{name}"))
+        for j in range(8):
+            same = same + F.when(F.shiftrightunsigned(apart, 8 * j).bitwiseAND(255) == 0, 1).otherwise(0)
+    return (F.least("x.n", "y.n") < FILLED) | (same >= AGREEING)
 
 
-def _alike(similarity: float) -> Column:
-    """False only for lines ``x`` and ``y`` that are less alike: each differing parity needs a hash that just one of them has."""
-    apart = sum((F.bit_count(F.col(f"x.parity{k}").bitwiseXOR(F.col(f"y.parity{k}"))) for k in range(SKETCH)), F.lit(0))
-    return F.greatest(apart, F.abs(F.col("x.n") - F.col("y.n"))) * (1 + similarity) <= (F.col("x.n") + F.col("y.n")) * (1 - similarity) + 1e-6
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose lines' sets have at least the Jaccard ``similarity``."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    sets = both.select("a", "b", F.array_distinct(shingle_hashes(F.col("line_a"))).alias("x"), F.array_distinct(shingle_hashes(F.col("line_b"))).alias("y"))
-    sized = sets.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return sized.filter(F.col("common") >= F.lit(similarity) * (F.col("n") - F.col("common"))).select("a", "b")
+    both = both.select("a", "b", _wide(F.col("line_a")).alias("wide_a"), _wide(F.col("line_b")).alias("wide_b"))
+    hashes = both.select("a", "b", shingle_hashes("wide_a").alias("x"), shingle_hashes("wide_b").alias("y"))
+    # Written before they are judged, so that the optimiser doesn't make the sets anew for each place of the condition.
+    sized = staged(hashes.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size(F.array_union("x", "y")).alias("all")), "compared_lines")
+    return sized.filter(F.col("common") >= similarity * F.col("all") - 1e-6).select("a", "b")
 
 
-def _stars(buckets: DataFrame, similarity: float) -> DataFrame:
+def _stars(buckets: DataFrame) -> DataFrame:
     """Pairs (a, b) of the least line of a bucket and every other one."""
     x, y = buckets.filter("h = rep").alias("x"), buckets.filter("h <> rep").alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & _alike(similarity))
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & _alike())
     return staged(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line_stars")
 
 
-def _rest(buckets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+def _rest(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     """Every pair (a, b) that shares a bucket, has no part in its star and isn't joined by ``groups`` yet.
 
     Large buckets are dealt into blocks of about ``BLOCK`` lines; each two blocks meet under a key of their own.
     """
     held = buckets.filter("h <> rep").drop("rep").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
     held = staged(held, "held_lines")
-    several = held.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("h") / BLOCK).alias("blocks")).filter("low <> high").select("band", "blocks")
+    several = held.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.ceil(F.count("h") / BLOCK).alias("blocks")).filter("first <> last").select("band", "blocks")
     dealt = held.join(several, "band").withColumn("block", F.pmod("h", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("band", "i", "j")]
     fresh = F.expr("x.h < y.h and x.c <> y.c and (x.i = x.j or x.block <> y.block)")
-    met = dealt.alias("x").join(dealt.alias("y"), same[0] & same[1] & same[2] & fresh & _alike(similarity))
+    met = dealt.alias("x").join(dealt.alias("y"), same[0] & same[1] & same[2] & fresh & _alike())
     return staged(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line_rest")
 
 
@@ -115,47 +168,59 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The line with the least (doc_id, line_no) stays. Links are exact, candidates are those that MinHash bands find (a pair
     of similarity s shares a band with probability 1 - (1 - s*s)**6). Null or empty texts have no judged
-    lines; rows with a null id aren't judged; rows that repeat an id are one document. An empty table gives
+    lines; rows with a null id aren't judged; rows that repeat an id give their lines under the same places. An empty table gives
     no rows; extra columns are ignored.
     """
+    return _placed(docs, id_col, text_col, similarity, min_words).drop("h")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: float, min_words: int) -> DataFrame:
     lines = judged_lines(docs, id_col, text_col, min_words)
-    flat = staged(_bands(lines), "lines")
-    distinct = staged(
-        flat.groupBy("h").agg(F.min("doc_id").alias("first_doc"), *[F.min(f"band{k}").alias(f"band{k}") for k in range(len(BANDS))]), "distinct_lines"
-    )
-    keys = distinct.select("h", F.explode(F.array(*[f"band{k}" for k in range(len(BANDS))])).alias("band"))
+    flat = staged(lines.select("doc_id", "line_no", "h"), "lines")
+    firsts = staged(flat.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n_equal")), "distinct_lines")
+    signed = signatures(lines)
+    # Dealt by band once: the least line of each bucket and its members are found in the same partitions.
+    keys = signed.select("h", F.explode(F.array(*[f"band{k}" for k in range(len(BANDS))])).alias("band")).repartition("band")
     met = keys.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("most")).filter("rep <> most").select("band", "rep")
     shared = staged(keys.join(met, "band").select("band", "h", "rep"), "shared_bands")
-    wanted = staged(shared.select("h").distinct().join(distinct.select("h", F.col("first_doc").alias("doc_id")), "h"), "wanted_lines")
+    wanted = staged(shared.select("h").distinct().join(firsts, "h").select("h", F.col("first.doc_id").alias("doc_id")), "wanted_lines")
     # Only the lines that are compared are read again, each from the first document that has it.
-    again = _rows(docs, id_col, text_col).select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).withColumn("h", F.xxhash64("line"))
-    texts = staged(_sketched(again.join(_small(wanted), ["doc_id", "h"]).select("h", "line")), "line_texts")
-    buckets = staged(shared.join(_small(texts.drop("line")), "h"), "line_buckets")
-    links = staged(_linked(_stars(buckets, similarity), texts, similarity), "line_links")
-    rest = _linked(_rest(buckets, connected(links), similarity), texts, similarity)
+    texts = staged(lines.join(_small(wanted), ["doc_id", "h"]).groupBy("h").agg(F.min("line").alias("line")), "line_texts")
+    buckets = staged(shared.join(signed.select("h", "n", "low", "high"), "h"), "line_buckets")
+    links = staged(_linked(_stars(buckets), texts, similarity), "line_links")
+    rest = _linked(_rest(buckets, connected(links)), texts, similarity)
     groups = connected(links.union(rest))
-    placed = flat.select("doc_id", "line_no", "h").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h"))
-    placed = staged(placed.select("doc_id", "line_no", "c"), "placed_lines")
-    first_doc = placed.groupBy("c").agg(F.min("doc_id").alias("first_doc_id"))
-    in_first = placed.join(first_doc, "c").filter(F.col("doc_id") == F.col("first_doc_id"))
-    first = in_first.groupBy("c").agg(F.min("doc_id").alias("first_doc_id"), F.min("line_no").alias("first_line_no"))
-    kept = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
-    return placed.join(first, "c").select("doc_id", "line_no", "first_doc_id", "first_line_no", kept.alias("kept"))
+    return _first_of_each(flat, firsts, groups)
+
+
+def _first_of_each(flat: DataFrame, firsts: DataFrame, groups: DataFrame) -> DataFrame:
+    """``flat`` with the first place of each line's component and ``kept``. Lines that very many documents share meet a broadcast."""
+    members = groups.withColumnRenamed("node", "h").join(firsts, "h")
+    heads = members.groupBy("component").agg(F.min("first").alias("head"))
+    own = firsts.join(groups.withColumnRenamed("node", "h").join(heads, "component").select("h", "head"), "h", "left")
+    own = staged(own.select("h", "n_equal", F.coalesce("head", "first").alias("head")), "line_heads")
+    total = flat.count()
+    hot = own.filter(F.col("n_equal") > max(1000, int(HOT_SHARE * total))).select("h", "head")  # at most 1 / HOT_SHARE lines
+    often = flat.join(F.broadcast(hot), "h")
+    seldom = flat.join(F.broadcast(hot.select("h")), "h", "left_anti").join(own.select("h", "head"), "h")
+    kept = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))
+    return often.unionByName(seldom).select("h", "doc_id", "line_no", F.col("head.doc_id").alias("first_doc_id"), F.col("head.line_no").alias("first_line_no"), kept.alias("kept"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
-    """``docs`` without the lines that go, and without documents of which nothing is left; all columns stay.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the lines that go, and without documents of which nothing but blanks is left; all columns stay.
 
-    Documents that lose no line stay as they are, empty ones too. ``length_col`` takes the new
-    number of characters.
+    Documents that lose no line stay as they are, empty ones and those with a null text or id too. ``length_col`` takes the new
+    number of characters. Rows that repeat an id each lose their own lines.
     """
-    gone = duplicate_lines(docs, id_col, text_col, **options).filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    place = lambda i, h: F.xxhash64(i, h)
+    gone = _placed(docs, id_col, text_col, similarity, min_words).filter(~F.col("kept")).groupBy("doc_id").agg(F.collect_set(place(F.col("line_no"), F.col("h"))).alias("gone"))
     joined = docs.alias("d").join(gone.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.doc_id"), "left")
     mine = {c: F.col(f"d.`{c}`") for c in docs.columns}
-    left = F.filter(F.split(mine[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col("g.gone"), i))
+    left = F.filter(F.split(mine[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col("g.gone"), place(i, F.xxhash64(x))))
     text = F.when(F.col("g.gone").isNull(), mine[text_col]).otherwise(F.array_join(left, "\n"))
     out = joined.select(*[(text if c == text_col else e).alias(c) for c, e in mine.items()], F.col("g.gone").isNotNull().alias("__cut"))
-    out = out.filter(~F.col("__cut") | (F.length(F.trim(F.col(f"`{text_col}`"))) > 0))
+    out = out.filter(~F.col("__cut") | F.col(f"`{text_col}`").rlike(r"\S"))
     if length_col:
         out = out.withColumn(length_col, F.when(F.col("__cut"), F.length(F.col(f"`{text_col}`")).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
