@@ -19,6 +19,8 @@ from .common import picked, staged
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _BLANKS = b" \t\n\x0b\x0c\r"
+#: The prior's weight, in documents, where hosts don't differ beyond chance.
+NO_SPREAD = 1e9
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -68,9 +70,9 @@ def base_failed(min_words: int, max_repeat_pct: int) -> Column:
 def host_rates(per_doc: DataFrame) -> DataFrame:
     """Per host: documents, failures by rule, and the failure rate shrunk by the empirical beta prior.
 
-    The prior's mean is that of the hosts' rates and its weight follows from their variance; with
-    no spread between hosts (or one host) the weight is that of one document. A null host is a
-    host of its own.
+    The prior's mean is that of the hosts' rates and its weight follows from their variance, less the part that counts of
+    so few documents have by chance; the weight is that of one document at least, and with no spread beyond chance (or one
+    host) all hosts have the mean. A null host is a host of its own.
     """
     hosts = staged(
         per_doc.groupBy("host").agg(
@@ -82,9 +84,10 @@ def host_rates(per_doc: DataFrame) -> DataFrame:
         "hosts",
     )
     rate = F.col("failed") / F.col("docs")
-    spread = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()  # one row
-    mean, var = spread["m"] or 0.0, spread["v"] or 0.0
-    weight = max(1.0, mean * (1 - mean) / var - 1) if var > 0 else 1.0
+    spread = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("docs")).alias("few")).first()  # one row
+    mean = spread["m"] or 0.0
+    var = (spread["v"] or 0.0) - mean * (1 - mean) * (spread["few"] or 0.0)
+    weight = max(1.0, mean * (1 - mean) / var - 1) if var > 0 else NO_SPREAD
     return hosts.withColumn("host_rate", (F.col("failed") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight)))
 
 

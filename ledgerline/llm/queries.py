@@ -82,8 +82,8 @@ m AS (SELECT d.doc_id, d.source, len(ws)::BIGINT AS n_words, coalesce(list_sum(l
       FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY 1),
-p AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS v FROM h),
-q AS (SELECT source, (f + mean * k) / (n + k) AS rate FROM h, (SELECT mean, CASE WHEN v > 0 THEN greatest(1, mean * (1 - mean) / v - 1) ELSE 1 END AS k FROM p))
+p AS (SELECT avg(f / n) AS mean, var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS v FROM h),
+q AS (SELECT source, (f + mean * k) / (n + k) AS rate FROM h, (SELECT mean, CASE WHEN v > 0 THEN greatest(1, mean * (1 - mean) / v - 1) ELSE 1e9 END AS k FROM p))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
 FROM b JOIN q ON b.source IS NOT DISTINCT FROM q.source""",
     "op2_repeated_passages": rf"""

@@ -8,6 +8,8 @@ the minimum and maximum of any dimension.
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -50,15 +52,25 @@ def _curve(cells: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack(cells.to_numpy())))
 
 
-def cell(df: DataFrame, column: str, bits: int = BITS) -> Column:
-    """Quantised value, 0 for null: numbers by approximate quantiles (at most 2**bits - 1 cuts), others by hash."""
+def _ordinal(df: DataFrame, column: str) -> Column:
+    """A number in the order of the column's values: numbers are their own, of others six bytes after what the least and the greatest begin with alike."""
     kind = df.schema[column].dataType.typeName()
     if kind in ("byte", "short", "integer", "long", "float", "double", "decimal"):
-        steps = (1 << bits) - 1
-        cuts = df.approxQuantile(column, [i / steps for i in range(1, steps)], 0.005) if df.take(1) else []
-        above = [F.when(F.col(column) > c, 1).otherwise(0) for c in sorted(set(cuts))]
-        return F.when(F.col(column).isNull(), 0).otherwise(sum(above, F.lit(1)) if above else F.lit(1)).cast("int")
-    return F.when(F.col(column).isNull(), 0).otherwise(F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit((1 << bits) - 1)) + 1).cast("int")
+        return F.col(column)
+    text = F.col(column).cast("string")
+    ends = df.agg(F.min(text).alias("low"), F.max(text).alias("high")).first()  # one row
+    same = len(commonprefix([ends["low"] or "", ends["high"] or ""]).encode())
+    rest = F.hex(F.substring(text.cast("binary"), same + 1, 6))
+    return F.when(text.isNotNull(), F.conv(F.rpad(rest, 12, "0"), 16, 10).cast("long"))
+
+
+def cell(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """Quantised value by approximate quantiles (at most 2**bits - 1 cuts), in the order of the values; 0 for null."""
+    steps, ordinal = (1 << bits) - 1, _ordinal(df, column)
+    one = df.select(ordinal.cast("double").alias("x"))
+    cuts = one.approxQuantile("x", [i / steps for i in range(1, steps)], 0.005) if df.take(1) else []
+    above = [F.when(ordinal > c, 1).otherwise(0) for c in sorted(set(cuts))]
+    return F.when(ordinal.isNull(), 0).otherwise(sum(above, F.lit(1)) if above else F.lit(1)).cast("int")
 
 
 def ranked(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
