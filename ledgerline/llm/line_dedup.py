@@ -3,9 +3,8 @@
 A line's set are the shingles of ``SHINGLE`` characters at all its positions, in lower case. Its MinHash
 values are the least hashes of ``BINS`` equal parts of the ring of hashes, an empty part taking the
 next one's; they are aggregates over the exploded positions, which Spark compiles. Bands of two
-values bring alike lines together; every pair of a band is compared exactly (first the least line of each band
-with the others, then all pairs that these links don't join yet), union-find joins
-the links, and the first line of each component stays.
+values bring alike lines together; every pair of a band is compared exactly (first, in rounds, one line of each band with those of other
+components, then all pairs that these links don't join yet), union-find joins the links, and the first line of each component stays.
 
 Equal lines are one from the start. Texts are shuffled only of lines that share a band.
 """
@@ -30,6 +29,7 @@ DEPTH, EMPTY = 5, 4
 #: similarity 0.75 falls short with a probability of 0.027, one of 0.8 with 0.007, one of 0.85 with 0.001.
 AGREEING, FILLED = 9, 64
 BROADCAST_ROWS = 1_000_000
+STAR_ROUNDS = 2
 #: Lines of a bucket that meet in one task.
 BLOCK = 256
 #: Share of all lines from which an equal line counts as hot; there are at most as many hot ones.
@@ -140,27 +140,54 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return sized.filter(F.col("common") >= similarity * F.col("all") - 1e-6).select("a", "b")
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the least line of a bucket and every other one."""
-    x, y = buckets.filter("h = rep").alias("x"), buckets.filter("h <> rep").alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & _alike())
-    return staged(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line_stars")
+def _grouped(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The buckets' lines with the component ``c`` that links join them to so far."""
+    if groups is None:
+        return buckets.withColumn("c", F.col("h"))
+    joined = buckets.join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
+    return staged(joined, "grouped_lines")
 
 
-def _rest(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Every pair (a, b) that shares a bucket, has no part in its star and isn't joined by ``groups`` yet.
+def _fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Each of the pairs (a, b) once, the lesser line first, without those that were compared before."""
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return once if tried is None else once.join(tried, ["a", "b"], "left_anti")
+
+
+def _stars(grouped: DataFrame, tried: DataFrame | None, last: bool) -> DataFrame:
+    """Pairs (a, b) of one line of each bucket, that of the first or last component, and all lines of other components: as many as the bucket has lines."""
+    pick = F.max_by if last else F.min_by
+    chosen = grouped.groupBy("band").agg(pick("h", F.struct("c", "h")).alias("rep"), F.min("c").alias("first"), F.max("c").alias("last")).filter("first <> last").select("band", "rep")
+    x = grouped.join(chosen, "band").filter("h = rep").alias("x")
+    met = x.join(grouped.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & _alike())
+    return staged(_fresh(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")), tried), "line_stars")
+
+
+def _rest(grouped: DataFrame, tried: DataFrame) -> DataFrame:
+    """Every pair (a, b) that shares a bucket and isn't joined by links yet.
 
     Large buckets are dealt into blocks of about ``BLOCK`` lines; each two blocks meet under a key of their own.
     """
-    held = buckets.filter("h <> rep").drop("rep").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
-    held = staged(held, "held_lines")
-    several = held.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.ceil(F.count("h") / BLOCK).alias("blocks")).filter("first <> last").select("band", "blocks")
-    dealt = held.join(several, "band").withColumn("block", F.pmod("h", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    several = grouped.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.ceil(F.count("h") / BLOCK).alias("blocks")).filter("first <> last").select("band", "blocks")
+    dealt = grouped.join(several, "band").withColumn("block", F.pmod("h", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("band", "i", "j")]
     fresh = F.expr("x.h < y.h and x.c <> y.c and (x.i = x.j or x.block <> y.block)")
     met = dealt.alias("x").join(dealt.alias("y"), same[0] & same[1] & same[2] & fresh & _alike())
-    return staged(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line_rest")
+    return staged(_fresh(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")), tried), "line_rest")
+
+
+def _components(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the lines that links join: stars first, which settle large groups at the cost of their size, then all pairs that are left."""
+    links = tried = groups = None
+    for k in range(STAR_ROUNDS):
+        pairs = _stars(_grouped(buckets, groups), tried, last=k % 2 == 1)
+        tried = pairs if tried is None else tried.union(pairs)
+        found = staged(_linked(pairs, texts, similarity), "line_links")
+        links = found if links is None else links.union(found)
+        groups = staged(connected(links), "groups")
+    found = _linked(_rest(_grouped(buckets, groups), tried), texts, similarity)
+    return staged(connected(links.union(found)), "groups")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
@@ -181,15 +208,13 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: float, min_
     signed = signatures(lines)
     # Dealt by band once: the least line of each bucket and its members are found in the same partitions.
     keys = signed.select("h", F.explode(F.array(*[f"band{k}" for k in range(len(BANDS))])).alias("band")).repartition("band")
-    met = keys.groupBy("band").agg(F.min("h").alias("rep"), F.max("h").alias("most")).filter("rep <> most").select("band", "rep")
-    shared = staged(keys.join(met, "band").select("band", "h", "rep"), "shared_bands")
+    met = keys.groupBy("band").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("band")
+    shared = staged(keys.join(met, "band").select("band", "h"), "shared_bands")
     wanted = staged(shared.select("h").distinct().join(firsts, "h").select("h", F.col("first.doc_id").alias("doc_id")), "wanted_lines")
     # Only the lines that are compared are read again, each from the first document that has it.
     texts = staged(lines.join(_small(wanted), ["doc_id", "h"]).groupBy("h").agg(F.min("line").alias("line")), "line_texts")
     buckets = staged(shared.join(signed.select("h", "n", "low", "high"), "h"), "line_buckets")
-    links = staged(_linked(_stars(buckets), texts, similarity), "line_links")
-    rest = _linked(_rest(buckets, connected(links)), texts, similarity)
-    groups = connected(links.union(rest))
+    groups = _components(buckets, texts, similarity)
     return _first_of_each(flat, firsts, groups)
 
 
