@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, gates, lifecycle, monitor_rules, records, releases, validation
+from . import analysis, gates, lifecycle, monitor_rules, records, releases, storage, validation, verification
 
-_MODULES = (validation, lifecycle, records, monitor_rules, gates, releases, analysis)
+_MODULES = (validation, lifecycle, records, monitor_rules, gates, releases, verification, storage, analysis)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
