@@ -56,14 +56,14 @@ def segment_rollup(segments: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.withColumn("result", F.when(F.col("profit") > 0, "profit").when(F.col("profit") < 0, "loss").otherwise("even"))
 
 
-def hypothesis_links(hypotheses: DataFrame, findings: DataFrame, on: str | None = None) -> DataFrame:
-    """(hypothesis_id, finding_id) of those that share a token; tokens are arrays without stop words.
+def hypothesis_links(hypotheses: DataFrame, findings: DataFrame, on: str) -> DataFrame:
+    """(hypothesis_id, finding_id) of those of one ``on`` (the event) that share a token; tokens are arrays without stop words.
 
-    Equi-join on the exploded tokens, each pair once.
+    Equi-join on the exploded tokens, each pair once. Without the event a frequent token would pair all with all.
     """
-    left = hypotheses.select("hypothesis_id", *([on] if on else []), F.explode(F.array_distinct("tokens")).alias("token"))
-    right = findings.select("finding_id", *([on] if on else []), F.explode(F.array_distinct("tokens")).alias("token"))
-    return left.join(right, [*([on] if on else []), "token"]).select("hypothesis_id", "finding_id").distinct()
+    left = hypotheses.select("hypothesis_id", on, F.explode(F.array_distinct("tokens")).alias("token"))
+    right = findings.select("finding_id", on, F.explode(F.array_distinct("tokens")).alias("token"))
+    return left.join(right, [on, "token"]).select("hypothesis_id", "finding_id").distinct()
 
 
 def hypothesis_results(hypotheses: DataFrame, links: DataFrame, findings: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def _all_blank(columns: Iterable[str]) -> Column:
 def missing_references(df: DataFrame, table: str, columns: list[str], parents: DataFrame, ref_columns: list[str], nullable: bool = False) -> DataFrame:
     """Rows whose reference no parent has. A nullable one is let off only if all its parts are blank."""
     rows = df.filter(~_all_blank(columns)) if nullable else df
-    ids = parents.select(*[F.col(r).alias(f"__{i}") for i, r in enumerate(ref_columns)]).distinct()
+    ids = parents.select(*[F.col(r).alias(f"__{i}") for i, r in enumerate(ref_columns)])  # an anti join needs no distinct keys
     link = [rows[c].eqNullSafe(ids[f"__{i}"]) if not nullable else rows[c] == ids[f"__{i}"] for i, c in enumerate(columns)]
     lost = rows.join(ids, link, "left_anti")
     return lost.select(F.lit(table).alias("table"), F.col("row_number").cast("long"), F.lit(",".join(columns)).alias("column"), F.lit("missing_reference").alias("code"))
@@ -47,7 +47,7 @@ def entity_ids(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.distinct()
+    return out
 
 
 def missing_entities(df: DataFrame, table: str, type_col: str, id_col: str, entities: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from .keys import in_order
 
 def tails(df: DataFrame, id_col: str, supersedes_col: str) -> DataFrame:
     """Rows that no row supersedes."""
-    used = df.select(F.col(supersedes_col).alias(id_col)).filter(F.col(id_col).isNotNull()).distinct()
+    used = df.select(F.col(supersedes_col).alias(id_col)).filter(F.col(id_col).isNotNull())
     return df.join(used, id_col, "left_anti")
 
 

@@ -47,6 +47,9 @@ def test_append_only_keeps_what_is_there(spark, tmp_path):
     assert tables.append_only(spark.createDataFrame([(1, "a")], "k int, v string"), path, "k").count() == 0
     assert [tuple(r) for r in tables.append_only(spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), path, "k").collect()] == [(1, "b")]
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+    again = spark.createDataFrame([(3, "d"), (3, "e"), (4, "f")], "k int, v string")  # a key repeated inside the batch is no new row
+    assert sorted(tuple(r) for r in tables.append_only(again, path, "k").collect()) == [(3, "d"), (3, "e")]
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (4, "f")]
 
 
 def test_duplicate_keys_skip_blanks(spark):
@@ -140,7 +143,7 @@ def test_stream_rejects_late_rows():
 
     state = State()
     assert run(state, [("b", 2, True, "y", None), ("a", 1, True, "x", None)]) == [("a", "initialized", 1, 0, "healthy"), ("b", "change_detected", 2, 0, "pending_human_review")]
-    assert run(state, [("late", 1, True, "z", None), ("c", 3, False, None, "E0"), ("d", 4, False, None, "E0")]) == [("late", "rejected", 2, 0, "unchanged"), ("c", "error", 3, 1, "pending_human_review"), ("d", "error", 4, 2, "pending_human_review")]
+    assert run(state, [("late", 1, True, "z", None), ("c", 3, False, None, "timeout"), ("d", 4, False, None, "timeout"), ("e", 5, False, None, "state_unavailable")]) == [("late", "rejected", 2, 0, "unchanged"), ("c", "error", 3, 1, "pending_human_review"), ("d", "error", 4, 2, "pending_human_review"), ("e", "error", 5, 1, "stopped")]
 
 
 def test_version_chain_and_carryover(spark):
@@ -152,7 +155,7 @@ def test_version_chain_and_carryover(spark):
 def test_replacement_and_summary(spark):
     df = spark.createDataFrame([("a", "b", None, "c"), (None, "b", "c", "c")], "o1 string, n1 string, o2 string, n2 string")
     got = df.select(monitor.replacement_suspected([(F.col("o1"), F.col("n1"))]), monitor.change_summary([("one", F.col("o1"), F.col("n1")), ("two", F.col("o2"), F.col("n2"))])).collect()
-    assert [tuple(r) for r in got] == [(True, "one, two"), (False, "one")]
+    assert [tuple(r) for r in got] == [(True, "Changed metadata fields: one, two"), (False, "Changed metadata fields: one")]
 
 
 def test_validate_dataset_gates_cross_table_rules(spark):
@@ -186,3 +189,61 @@ def test_bundle_timing(spark):
         ("observation", 3, "no_verified_session"), ("observation", 3, "unexpected_date"), ("observation", 4, "outside_session"),
         ("observation", 5, "not_at_open"), ("observation", 5, "reference_not_intraday"),
     ]
+
+
+def test_schedule_dates_and_due_slots(spark):
+    schedule = "2026-08-13=first;2026-11-13=second | 2027-02-中旬=later; 2026-02-30=never"
+    df = spark.createDataFrame([(dt.date(2026, 8, 1),), (dt.date(2026, 8, 13),), (dt.date(2026, 8, 14),), (dt.date(2027, 1, 1),)], "d date").select(calendar.next_date(F.lit(schedule), F.col("d")).cast("string"))
+    assert [r[0] for r in df.collect()] == ["2026-08-13", "2026-08-13", "2026-11-13", None]
+    times = spark.createDataFrame([("2026-08-12 09:00:00", None), ("2026-08-12 12:00:00", None), ("2026-08-14 16:00:00", None), ("2026-08-12 01:00:00", dt.date(2026, 8, 13))], "t string, d date")
+    got = times.select(calendar.is_due(F.col("t").cast("timestamp"), F.col("d")))  # in UTC: 18:00 and 21:00 of a Wednesday in Tokyo, then a Saturday, then the day before an event
+    assert [r[0] for r in got.collect()] == [True, False, False, True]
+
+
+def test_fetch_status(spark):
+    df = spark.createDataFrame([(c,) for c in (200, 401, 403, 404, 408, 410, 429, 500, 599)], "c int").select(observe.status_error(F.col("c")), observe.is_retryable(F.col("c")))
+    assert [tuple(r) for r in df.collect()] == [
+        (None, False), ("authentication_required", False), ("authentication_required", False), ("source_unavailable", False), ("timeout", True), (None, False), ("rate_limited", True), ("source_unavailable", True), ("source_unavailable", True),
+    ]
+
+
+def test_review_reads_the_first_stage_alone(spark):
+    rows = [("positive", "negative"), ("negative", "positive"), ("positive", "positive"), ("positive", "pending"), ("inconclusive", "positive"), ("positive", "not_comparable")]
+    got = spark.createDataFrame(rows, "e string, i string").select(review.interpretation(F.col("e"), F.col("i"))).collect()
+    assert [r[0] for r in got] == ["possible_higher_hurdle_than_recorded", "possible_lower_hurdle_than_recorded", "earnings_and_market_aligned", "insufficient_evidence", "insufficient_evidence", "not_comparable"]
+
+
+def test_ambiguous_page_is_reported_once(spark):
+    rows = [(1, "f", "a", True, None), (2, "f", "b", True, None), (3, "f", "b", True, None), (4, "g", "b", True, None), (5, None, None, False, "state_unavailable")]
+    df = spark.createDataFrame([(1, n, f"r{n}", f, e, s, c) for n, f, e, s, c in rows], "target long, row_number long, run_id string, fingerprint string, etag string, succeeded boolean, error_code string")
+    got = [(r["result"], r["error"], r["error_count"], r["state"]) for r in monitor.transitions(df).orderBy("row_number").collect()]
+    assert got == [("initialized", None, 0, "healthy"), ("error", "content_ambiguous", 1, "degraded"), ("no_change", None, 0, "healthy"), ("change_detected", None, 0, "pending_human_review"), ("error", "state_unavailable", 1, "stopped")]
+
+
+def test_unit_named_once_in_a_unit_line(spark):
+    df = spark.createDataFrame([("売上高\n(単位:千円)\n1,200",), ("売上高\n千円\n1,200",), ("百万円 百万円",)], "text string")
+    assert [r[0] for r in df.select(documents.unit(F.col("text"), documents.MONEY_UNITS)).collect()] == ["千円", None, "百万円"]
+
+
+def test_rows_without_a_parent_are_never_the_last(spark):
+    df = spark.createDataFrame([(2, "e", "a", None), (3, "e", "b", "zz"), (4, "e", "c", "a"), (5, "e", "d", "a")], "row_number long, event_id string, id string, sup string")
+    assert [r["row_number"] for r in lineage.branches(df, "t", "event_id", "id", "sup").collect()] == [5]
+
+
+def test_reaction_measures_the_first_move_from_its_own_reference(spark):
+    day = lambda d, h: dt.datetime(2024, 5, d, h)
+    prices = [(1, day(8, 9), 90.0), (1, day(8, 15), 100.0), (1, day(9, 10), 110.0), (1, day(9, 13), 121.0), (1, day(9, 15), 120.0), (1, day(10, 9), 130.0), (1, day(10, 15), 105.0)]
+    p = spark.createDataFrame([(t, i, ts, v) for i, (t, ts, v) in enumerate(prices)], "ticker int, price_id long, ts timestamp, price double")
+    a = spark.createDataFrame([(1, 1, day(9, 12), "intraday", False), (1, 2, day(9, 16), "after_close", False), (1, 3, day(9, 8), "before_open", True)], "ticker int, announcement_id long, announced_at timestamp, session string, corporate_action boolean")
+    got = {r["announcement_id"]: r for r in reaction.reactions(reaction.milestones(a, p)).collect()}
+    assert (got[1]["pre_close"], got[1]["reference"], got[1]["immediate_pct"], got[1]["next_close_pct"]) == (100.0, 110.0, 10.0, 5.0)
+    assert (got[2]["pre_close"], got[2]["immediate"], got[2]["status"]) == (120.0, 130.0, "tracking")
+    assert got[3]["path"] == "not_comparable" and got[3]["next_stage"] == "manual_review_required"
+
+
+def test_titles_in_nfkc(spark):
+    import unicodedata
+
+    titles = ["２０２４年　３月期  決算短信", "ﾃｽﾄ①", " a\tb ", None, ""]
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select(text.canonical_title(F.col("t"))).collect()
+    assert [r[0] for r in got] == [None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()) for t in titles]
