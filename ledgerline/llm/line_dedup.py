@@ -22,12 +22,12 @@ SIMILARITY = 0.75
 MIN_WORDS = 3
 BINS = 16
 #: Pairs of parts of the ring whose values make a band.
-BANDS = ((0, 9), (3, 12), (6, 15), (2, 8), (5, 13), (4, 11))
+BANDS = ((0, 9), (3, 12), (6, 15), (2, 8), (5, 13), (4, 11), (1, 14), (7, 10))
 #: Hashes of a part that are looked at in a line without repetition: its least ones. Empty parts from which a line is read again.
 DEPTH, EMPTY = 5, 4
 #: Of ``BINS`` values, those that lines must have in common to be compared, once they have ``FILLED`` shingles: a pair of
-#: similarity 0.75 falls short with a probability of 0.027, one of 0.8 with 0.007, one of 0.85 with 0.001.
-AGREEING, FILLED = 9, 64
+#: similarity 0.75 falls short with a probability of 0.008, one of 0.8 with 0.0015.
+AGREEING, FILLED = 8, 64
 BROADCAST_ROWS = 1_000_000
 STAR_ROUNDS = 2
 #: Lines of a bucket that meet in one task.
@@ -194,7 +194,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per judged line: ``doc_id``, ``line_no`` (from 0), ``first_doc_id`` and ``first_line_no`` of its component, and ``kept``.
 
     The line with the least (doc_id, line_no) stays. Links are exact, candidates are those that MinHash bands find (a pair
-    of similarity s shares a band with probability 1 - (1 - s*s)**6). Null or empty texts have no judged
+    of similarity s shares a band with probability 1 - (1 - s*s)**8). Null or empty texts have no judged
     lines; rows with a null id aren't judged; rows that repeat an id give their lines under the same places. An empty table gives
     no rows; extra columns are ignored.
     """
