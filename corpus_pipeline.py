@@ -1,6 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each of them one operator of ``ledgerline.llm``.
 
-Each stage takes what its predecessor kept. All but the last return the columns of ``documents``.
+Each stage takes what its predecessor kept. All but the last return the columns of ``documents``, whatever other
+columns there are. An empty table stays empty in every stage. Null texts and texts without words count as empty; rows with a
+null id are scored, cut by no line, alike with nothing, and packed; rows that repeat an id are each judged by their own text, but for
+near duplicates, where they are one document; ties go to the least id, and within it to the first line.
 """
 
 from __future__ import annotations
