@@ -16,38 +16,15 @@ def page_title(html: Column) -> Column:
     return first_group(html, "<title>([^<]*)</title>")
 
 
-def page_meta(html: Column) -> Column:
-    """Map of ``<meta name=… content=…>``."""
-    names = F.regexp_extract_all(html, F.lit(r'<meta\s+name="([^"]*)"\s+content="([^"]*)"'), F.lit(1))
-    values = F.regexp_extract_all(html, F.lit(r'<meta\s+name="([^"]*)"\s+content="([^"]*)"'), F.lit(2))
-    return F.map_from_entries(F.array_distinct(F.arrays_zip(names.alias("k"), values.alias("v"))))
-
-
-def absolute(href: Column, base: Column) -> Column:
-    site, scheme = F.regexp_extract(base, "^([a-z]+://[^/?#]*)", 1), F.regexp_extract(base, "^([a-z]+):", 1)
-    return (
-        F.when(href.rlike("^[a-z]+://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(site, F.lit("/"), href))
-    )
-
-
-def page_links(pages: DataFrame) -> DataFrame:
-    """Distinct absolute links of each page with their first place and label."""
-    pattern = F.lit(r'<a\s+href="([^"]*)"[^>]*>([^<]*)</a>')
-    both = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("href"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("label"))
-    rows = pages.select("page_id", "url", F.posexplode(both).alias("pos", "a")).select("page_id", "pos", absolute(F.col("a.href"), F.col("url")).alias("link"), F.col("a.label").alias("label"))
-    return rows.groupBy("page_id", "link").agg(F.min("pos").cast("long").alias("pos"), F.min_by("label", "pos").alias("label"))
-
-
 def schedule_rows(pages: DataFrame, date: str = r"\d{4}-\d{2}-\d{2}", limit: int = 12) -> DataFrame:
-    """Dates in a page's visible text with the label in the same or the next text node; at most ``limit`` of a page."""
+    """Dates in a page's visible text with the label in the same or the next text node; ``plausible`` is false for all rows of a page with more than ``limit``."""
     visible = F.regexp_replace("html", r"(?s)<(script|style|head)\b.*?</\1>|<!--.*?-->", "")
     nodes = pages.select("page_id", F.posexplode(F.filter(F.transform(F.split(visible, r"<[^>]*>"), lambda t: F.trim(t)), lambda t: t != "")).alias("pos", "node"))
     by = Window.partitionBy("page_id").orderBy("pos")
     rows = nodes.withColumn("following", F.lead("node").over(by)).withColumn("day", first_group(F.col("node"), f"({date})")).filter("day is not null")
     rest = F.trim(F.regexp_replace("node", date, ""))
     rows = rows.withColumn("label", F.when(rest != "", rest).otherwise(F.col("following"))).withColumn("n", F.row_number().over(by))
-    return rows.filter(F.col("n") <= limit).select("page_id", "day", "label", "n")
+    return rows.select("page_id", "day", "label", "n", (F.count(F.lit(1)).over(Window.partitionBy("page_id")) <= limit).alias("plausible"))
 
 
 def json_fields(df: DataFrame, column: str, schema: str) -> DataFrame:

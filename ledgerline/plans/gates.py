@@ -77,6 +77,6 @@ def page_document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH v AS (SELECT page_id, regexp_replace(html, '(?s)<script\\b.*?</script>|<style\\b.*?</style>|<head\\b.*?</head>|<!--.*?-->', '', 'g') AS b FROM pages), s AS (SELECT page_id, list_filter(list_transform(string_split_regex(b, '<[^>]*>'), lambda x: trim(x)), lambda x: x <> '') AS a FROM v),
   n AS (SELECT page_id, unnest(a) AS node, generate_subscripts(a, 1) AS pos FROM s), f AS (SELECT *, lead(node) OVER (PARTITION BY page_id ORDER BY pos) AS following, nullif(regexp_extract(node, '([0-9]+)', 1), '') AS day FROM n),
-  r AS (SELECT page_id, day, CASE WHEN trim(regexp_replace(node, '[0-9]+', '', 'g')) <> '' THEN trim(regexp_replace(node, '[0-9]+', '', 'g')) ELSE following END AS label, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM f WHERE day IS NOT NULL) SELECT page_id, day, md5(label) AS label_md5, n FROM r WHERE n <= 12""")
+  r AS (SELECT page_id, day, CASE WHEN trim(regexp_replace(node, '[0-9]+', '', 'g')) <> '' THEN trim(regexp_replace(node, '[0-9]+', '', 'g')) ELSE following END AS label, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM f WHERE day IS NOT NULL) SELECT page_id, day, md5(label) AS label_md5, n, count(*) OVER (PARTITION BY page_id) <= 12 AS plausible FROM r""")
 def page_schedule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.schedule_rows(view(spark, sf_dir, "pages"), date="[0-9]+").select("page_id", "day", F.md5("label").alias("label_md5"), "n")
+    return observe.schedule_rows(view(spark, sf_dir, "pages"), date="[0-9]+").select("page_id", "day", F.md5("label").alias("label_md5"), "n", "plausible")

@@ -93,18 +93,6 @@ def canonical_title_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "pages").select("page_id", text.canonical_title(observe.page_title(F.col("html"))).alias("title"))
 
 
-@query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, regexp_extract_all(html, '<meta\\s+charset=\"([^\"]*)\"', 1)[1] AS charset, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS lang FROM pages")
-def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "pages").select("page_id", observe.page_title(F.col("html")).alias("title"), observe.first_group(F.col("html"), r'<meta\s+charset="([^"]*)"').alias("charset"), observe.first_group(F.col("html"), r'<html lang="([^"]*)"').alias("lang"))
-
-
-@query("""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s+href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a\\s+href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS ls FROM pages),
-  l AS (SELECT page_id, unnest(hs) AS href, unnest(ls) AS label, generate_subscripts(hs, 1) - 1 AS pos, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, regexp_extract(url, '^([a-z]+):', 1) AS scheme FROM a),
-  u AS (SELECT page_id, pos, label, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN href LIKE '//%' THEN scheme || ':' || href WHEN href LIKE '/%' THEN site || href ELSE site || '/' || href END AS link FROM l)
-  SELECT page_id, link, min(pos)::BIGINT AS pos, arg_min(label, pos) AS label FROM u GROUP BY 1, 2""")
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.page_links(view(spark, sf_dir, "pages"))
-
 
 _PROBLEM = """CASE WHEN u NOT LIKE '%://%' THEN 'malformed' WHEN lower(regexp_extract(u, '^([A-Za-z]+):', 1)) <> 'https' THEN 'not_https' WHEN regexp_extract(u, '://([^/?#]*)', 1) LIKE '%@%' THEN 'user_info'
   WHEN regexp_matches(regexp_extract(u, '://([^/?#]*)', 1), ':[0-9]+$') AND regexp_extract(u, '://([^/?#]*)', 1) NOT LIKE '%:443' THEN 'port' WHEN regexp_extract(u, '://([^/?#]*)', 1) LIKE '10.%' THEN 'private_host' WHEN regexp_matches(u, '[?&](token|key|secret|password)=') THEN 'secret_in_query' END"""

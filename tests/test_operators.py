@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import calendar, hashing, text
-from ledgerline.operators import documents, evaluation, keys, lineage, monitor, observe, reaction, review, rowchecks
+from ledgerline.operators import documents, evaluation, keys, lineage, monitor, observe, pages, reaction, review, rowchecks
 from ledgerline.sources import specs, tables
 
 SPEC = specs.parse_spec(
@@ -118,7 +118,7 @@ def test_schedule_rows_and_links(spark):
     html = "<html><head><title>t</title></head><body><script>2020-01-01</script><p>2024-05-09</p><b>Results</b><i>2024-06-01 Meeting</i><a href='x'></a><a href=\"/p\">P</a><a href=\"//h/q\">Q</a></body></html>"
     df = spark.createDataFrame([(1, "https://a.example/x/y", html)], "page_id long, url string, html string")
     assert [(r["day"], r["label"]) for r in observe.schedule_rows(df).orderBy("n").collect()] == [("2024-05-09", "Results"), ("2024-06-01", "Meeting")]
-    assert sorted(r["link"] for r in observe.page_links(df).collect()) == ["https://a.example/p", "https://h/q"]
+    assert sorted((r["link"], r["label"]) for r in pages.links(df).collect()) == [("https://a.example/p", "P"), ("https://a.example/x/x", ""), ("https://h/q", "Q")]
 
 
 def test_handoff_limit(spark):
