@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.issues import formatted
-from ..operators.validate import validate_table
+from ..operators.issues import formatted, report
+from ..operators.validate import reference_issues, validate_table
 from ..sources import tables
-from ..sources.specs import ColumnSpec, TableSpec
+from ..sources.specs import ColumnSpec, Reference, TableSpec
 from .views import view
 
 QUERIES: dict = {}
@@ -66,6 +66,50 @@ def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.replace(nested, path)
     tables.replace(nested, path)  # replaces, doesn't add
     lines = f"{path}-json"
-    spark.read.parquet(path).write.json(lines)
-    schema = T.StructType().add("id", "long").add("detail", T.StructType().add("priority", "string").add("customer", "long"))
-    return spark.read.schema(schema).json(lines).select("id", "detail.priority", "detail.customer")
+    spark.read.parquet(path).groupBy((F.col("id") % 64).alias("document")).agg(F.collect_list(F.struct("id", "detail")).alias("rows")).write.partitionBy("document").json(lines)  # a document for each of 64 groups
+    schema = T.StructType().add("rows", T.ArrayType(T.StructType().add("id", "long").add("detail", T.StructType().add("priority", "string").add("customer", "long"))))
+    return tables.scan_snapshots(spark, lines, schema).select(F.inline("rows")).select("id", "detail.priority", "detail.customer")
+
+
+_ORDERS = "SELECT o_orderkey AS id, o_custkey AS customer, coalesce(o_orderpriority, '') AS priority FROM {orders}"
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) + 1 AS row_number FROM orders")
+def csv_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of records over several files, none of them skipped; each file is written from a range of the ids."""
+    path = tables.new_folder(spark, "ordered")
+    rows = spark.sql(_ORDERS.format(orders="{o}"), o=view(spark, sf_dir, "orders"))
+    rows.repartitionByRange(5, "id").sortWithinPartitions("id").write.option("header", True).csv(path)
+    spec = TableSpec("orders", (ColumnSpec("id", "integer", required=True), ColumnSpec("priority")))
+    return tables.scan_csv(spark, path, spec).select(F.col("id").cast("long").alias("id"), "row_number")
+
+
+_PARENT = TableSpec("parents", (ColumnSpec("id", "integer", required=True), ColumnSpec("name")), primary_key=("id",))
+_CHILD = TableSpec("children", (ColumnSpec("id", "integer", required=True), ColumnSpec("parent", "integer"), ColumnSpec("region", "integer")), primary_key=("id",), references=(Reference(("parent",), "parents", ("id",)), Reference(("region",), "regions", ("id",))))
+_REGION = TableSpec("regions", (ColumnSpec("id", "integer", required=True),), primary_key=("id",))
+_WRITTEN = {
+    "parents": ("customer", "SELECT c_custkey AS id, c_name AS name FROM {customer} WHERE c_custkey % 10 <> 3"), "children": ("orders", "SELECT o_orderkey AS id, o_custkey AS parent, o_orderkey % 7 AS region FROM {orders}"),
+    "regions": ("region", "SELECT r_regionkey AS id FROM {region}"),
+}
+
+
+def _dataset(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, str]:
+    paths = {}
+    for name in names:
+        source, sql = _WRITTEN[name]
+        paths[name] = tables.new_folder(spark, name)
+        spark.sql(sql, **{source: view(spark, sf_dir, source)}).write.option("header", True).csv(paths[name])
+    return paths
+
+
+@query("""SELECT 'dataset' AS part, 'children' AS "table", 'parent' AS "column", 'missing_reference' AS code, count(*) AS n FROM orders WHERE o_custkey % 10 = 3 OR o_custkey NOT IN (SELECT c_custkey FROM customer) HAVING count(*) > 0
+  UNION ALL SELECT 'dataset', 'children', 'region', 'missing_reference', count(*) FROM orders WHERE o_orderkey % 7 NOT IN (SELECT r_regionkey FROM region) HAVING count(*) > 0
+  UNION ALL SELECT 'group', 'children', 'parent', 'missing_reference', count(*) FROM orders WHERE o_custkey % 10 = 3 OR o_custkey NOT IN (SELECT c_custkey FROM customer) HAVING count(*) > 0
+  UNION ALL SELECT 'files', 'notes', '', 'missing_table', 1 UNION ALL SELECT 'files', 'checks', '', 'missing_table', 1""")
+def dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset read from its files: tables that are missing, references over all of it, and those inside a group of its tables."""
+    specs = {s.table: s for s in (_PARENT, _CHILD, _REGION)} | {n: TableSpec(n, (ColumnSpec("id"),)) for n in ("notes", "checks", "drafts", "extra")}
+    read, missing = tables.scan_dataset(spark, _dataset(spark, sf_dir, "parents", "children", "regions"), specs, optional={"drafts"}, groups=(frozenset({"regions", "checks"}), frozenset({"extra"})))
+    assert not [n for n in ("parents", "children", "regions") if not tables.header_matches(read[n], specs[n])]
+    parts = [("files", missing), ("dataset", reference_issues(read, specs)), ("group", reference_issues(read, specs, ("parents", "children")))]
+    return report([p.withColumn("part", F.lit(name)) for name, p in parts]).groupBy("part", "table", "column", "code").agg(F.count(F.lit(1)).alias("n"))

@@ -2,28 +2,73 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.issues import SCHEMA
 from .specs import TableSpec
 
 
+#: Up to so many blocks of files their offsets are broadcast (about 200 bytes each).
+BROADCAST_BLOCKS = 100_000
+
+
+def _offsets(rows: DataFrame) -> DataFrame:
+    """A row for each block of a file: the rows before it (in the order of paths and blocks), its first row's id, and how many files began up to it."""
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
+    blocks = blocks.withColumn("begins", F.col("block") == F.min("block").over(Window.partitionBy("file")))
+    order = Window.orderBy("file", "block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocks.select("file", "block", "first_at", "begins", before.alias("before"), F.sum(F.col("begins").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("files"))
+
+
 def scan_csv(spark: SparkSession, path: str, spec: TableSpec, sequence: str | None = None) -> DataFrame:
-    """All cells as strings, blanks as nulls, and ``row_number`` from 2 (the header is line 1).
+    """All cells as strings, blanks as nulls, and ``row_number``: 1 is the header, the first record is 2, without gaps.
 
-    Rows have an order only within a file. With ``sequence`` that column gives the order of several files; else
-    Spark's row ids, which grow within a file and from file to file, stand for it.
+    Several files of one table count on in the order of their paths. With ``sequence`` that column gives the numbers instead. Lines are read
+    in blocks of files wherever no cell holds a line end; else a file is one task. Rows are written once with their block and place in
+    it; the blocks' counts give the offsets. Empty lines aren't records; cells beyond the header's go, missing ones are null, of a repeated
+    name the last column counts. Files with different headers are refused. Without any line there are no columns but ``row_number``.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    known = {c.name for c in spec.columns}
-    schema = T.StructType([T.StructField(h.lstrip("﻿"), T.StringType()) for h in header])
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).schema(schema).csv(path)
-    order = F.col(sequence).cast("long") if sequence else F.monotonically_increasing_id() + 2
-    cells = [F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")).alias(c) for c in schema.names if c in known]
-    return raw.select(order.alias("row_number"), *cells)
+    where = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = staged_rows(spark.read.text(path).select("value", *where).filter("value <> ''").withColumn("at", F.monotonically_increasing_id()))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    firsts = lines.groupBy("file", "block").agg(F.min_by("value", "at").alias("head"), F.max(odd).alias("odd")).groupBy("file").agg(F.min_by("head", "block").alias("head"), F.max("odd").alias("odd"), F.count(F.lit(1)).alias("blocks"))
+    bare = F.regexp_replace("head", "^\ufeff", "")
+    found = firsts.agg(F.min(bare).alias("head"), F.max(bare).alias("other"), F.max("odd").alias("odd"), F.sum("blocks").alias("blocks")).first()  # one row
+    if found["head"] is None:
+        return spark.range(0).select(F.col("id").alias("row_number"))
+    if found["head"] != found["other"]:
+        raise ValueError("files of one table have different headers")
+    split = not found["odd"]
+    if split:
+        header = next(csv.reader([found["head"]]))
+    else:
+        whole = spark.read.option("multiLine", True).option("escape", '"').option("header", True)
+        header = [h.lstrip("\ufeff") for h in whole.csv(path).columns]
+    names = [f"_c{i}" for i in range(len(header))]
+    schema = ", ".join(f"{c} string" for c in names)
+    if split:
+        rows = lines.select("file", "block", "at", F.from_csv("value", F.lit(schema), {"escape": '"'}).alias("r"))
+    else:
+        read = whole.option("enforceSchema", True).schema(schema).csv(path).select(F.struct(*names).alias("r"), *where)
+        rows = staged_rows(read.withColumn("at", F.monotonically_increasing_id()))
+    offsets = _offsets(rows.select("file", "block", "at"))
+    if found["blocks"] <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
+    placed = rows.join(offsets, ["file", "block"])
+    inside = F.col("at") - F.col("first_at")
+    number = F.col("before") + inside + 2
+    if split:
+        placed, number = placed.filter(~F.col("begins") | (inside > 0)), number - F.col("files")
+    last = {h: f"r.{c}" for h, c in zip(header, names, strict=True)}
+    order = F.col(last[sequence]).cast("long") if sequence else number
+    cells = [F.when(F.trim(F.col(last[c.name])) != "", F.col(last[c.name])).alias(c.name) for c in spec.columns if c.name in last]
+    return placed.select(order.alias("row_number"), *cells)
 
 
 def missing_headers(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -84,8 +129,8 @@ def append_only(df: DataFrame, path: str, key: str) -> DataFrame:
     df = df.join(once, key, "left_semi").select(*df.columns)
     try:
         held = spark.read.parquet(path).select(key)
-    except Exception as missing:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:  # nothing written yet
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         df.write.parquet(path)
         return repeated
