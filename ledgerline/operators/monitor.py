@@ -16,20 +16,50 @@ INDICATORS = ("etag", "last_modified", "content_length")
 CHANGE_FIELDS = ("document_id", "title", "published_at")
 
 
-def _before(key: str = "target", order: str = "row_number") -> Window:
-    return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+#: A target's rows are read in blocks of so many row numbers, each by itself; what came before a block is carried into it.
+BLOCK = 1_000_000
 
 
-def run_lineage(runs: DataFrame) -> DataFrame:
+def in_blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``df`` with ``block``. Row numbers are those of a table, so that no target has more than ``size`` rows in a block."""
+    return df.withColumn("block", F.floor(F.col("row_number") / size).cast("long"))
+
+
+def carried(rows: DataFrame, summary: list[Column], carry: dict[str, Column], first: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` (target, block, …) with the columns of ``carry`` in ``__before``: what the target's earlier blocks sum up to.
+
+    ``summary``: aggregates of a block, map-side first. ``carry``: columns over the summaries of the blocks before; ``first``
+    adds columns to the summaries beforehand, such as ones that look at the block before. A hot target has one summary for each block, not row.
+    """
+    blocks = rows.groupBy("target", "block").agg(*summary)
+    for name, column in (first or {}).items():
+        blocks = blocks.withColumn(name, column)
+    before = blocks.select(F.col("target").alias("__target"), F.col("block").alias("__block"), F.struct(*[c.alias(n) for n, c in carry.items()]).alias("__before"))
+    return rows.join(before, F.col("target").eqNullSafe(F.col("__target")) & (F.col("block") == F.col("__block"))).drop("__target", "__block")
+
+
+def _windows() -> tuple:
+    """Over the blocks of a target, those before one; over the rows of a block, those before one, and up to one."""
+    blocks, inside = Window.partitionBy("target").orderBy("block"), Window.partitionBy("target", "block").orderBy("row_number")
+    return blocks, blocks.rowsBetween(Window.unboundedPreceding, -1), inside, inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def run_lineage(runs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Previous ids, times, fingerprints and versions must continue those of the runs before, per target.
 
-    One exchange on the target serves all window rules.
+    Windows are by target and block; a block begins with what the blocks before it end with.
     """
-    w, by = _before(), Window.partitionBy("target").orderBy("row_number")
-    rows = runs.withColumns({
-        "__id": F.lag("run_id").over(by), "__end": F.lag("finished_at").over(by),
-        "__fp": F.last(F.when(F.col("succeeded"), F.col("fingerprint_after")), ignorenulls=True).over(w),
-        "__version": F.coalesce(F.last(F.when(F.col("committed"), F.col("version_after")), ignorenulls=True).over(w), F.lit(0)),
+    _, earlier, inside, until, _ = _windows()
+    good, done = F.when(F.col("succeeded"), F.col("fingerprint_after")), F.when(F.col("committed"), F.col("version_after"))
+    latest = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("row_number")))
+    rows = carried(
+        in_blocks(runs, block), [F.max_by(F.struct("run_id", "finished_at"), "row_number").alias("last"), latest(good).alias("fp"), latest(done).alias("version")],
+        {n: F.last(n, ignorenulls=True).over(earlier) for n in ("last", "fp", "version")},
+    )
+    begins = F.row_number().over(inside) == 1
+    rows = rows.withColumns({
+        "__id": F.when(begins, F.col("__before.last.run_id")).otherwise(F.lag("run_id").over(inside)), "__end": F.when(begins, F.col("__before.last.finished_at")).otherwise(F.lag("finished_at").over(inside)),
+        "__fp": F.coalesce(F.last(good, ignorenulls=True).over(until), "__before.fp"), "__version": F.coalesce(F.last(done, ignorenulls=True).over(until), "__before.version", F.lit(0)),
     })
     return check(
         rows, "monitor_run",
@@ -86,18 +116,25 @@ def error_episodes(runs: DataFrame) -> DataFrame:
     return tail.groupBy("target", "code").agg(F.count(F.lit(1)).alias("length"), F.min_by("run_id", "row_number").alias("episode_id"))
 
 
-def transitions(observations: DataFrame) -> DataFrame:
+def transitions(observations: DataFrame, block: int = BLOCK) -> DataFrame:
     """The batch twin of the stream: each observation's result, version, error and its count, state, indicators' level and change summary.
 
     ``succeeded`` says that the page was read. The page before is the last that was, whether it was ambiguous or not: a
     success and a reported ambiguity both leave their indicators for the next comparison, so each ambiguity is reported once.
-    All windows share one exchange on the target. Columns of ``INDICATORS`` and ``CHANGE_FIELDS`` that aren't given don't count;
-    with ``autonomous`` true a change waits for no one.
+    Columns of ``INDICATORS`` and ``CHANGE_FIELDS`` that aren't given don't count; with ``autonomous`` true a change waits for no one.
+
+    A target's rows are read in blocks. Two rounds of summaries carry the page before and the count of rows into a block, then the
+    error that it begins with, where that error's island began, and whether a change is pending.
     """
-    by, w = Window.partitionBy("target").orderBy("row_number"), _before()
+    blocks, earlier, inside, until, upto = _windows()
     marks, fields = ([c for c in names if c in observations.columns] for names in (INDICATORS, CHANGE_FIELDS))
-    rows = observations.withColumn("__old", F.last(F.when(F.col("succeeded"), F.struct("fingerprint", *marks, *fields)), ignorenulls=True).over(w))
-    rows = rows.withColumn("fingerprint_before", F.col("__old.fingerprint")).withColumn("version_after", F.row_number().over(by).cast("long"))
+    page = F.when(F.col("succeeded"), F.struct("fingerprint", *marks, *fields))
+    rows = carried(
+        in_blocks(observations, block), [F.max_by(page, F.when(F.col("succeeded"), F.col("row_number"))).alias("old"), F.count(F.lit(1)).alias("n")],
+        {"old": F.last("old", ignorenulls=True).over(earlier), "n": F.coalesce(F.sum("n").over(earlier), F.lit(0))},
+    )
+    rows = rows.withColumn("__old", F.coalesce(F.last(page, ignorenulls=True).over(until), "__before.old"))
+    rows = rows.withColumn("fingerprint_before", F.col("__old.fingerprint")).withColumn("version_after", (F.col("__before.n") + F.row_number().over(inside)).cast("long")).drop("__before")
     same = F.col("fingerprint_before") == F.col("fingerprint")
     moved = replacement_suspected([(F.col(f"__old.{m}"), F.col(m)) for m in marks])
     result = (
@@ -107,14 +144,21 @@ def transitions(observations: DataFrame) -> DataFrame:
     rows = rows.withColumn("result", result).withColumn("error", F.when(~F.col("succeeded"), F.col("error_code")).when(F.col("result") == "error", AMBIGUOUS))
     summary = change_summary([(f, F.col(f"__old.{f}"), F.col(f)) for f in fields])
     rows = rows.withColumn("summary", F.when(F.col("result") == "change_detected", summary)).withColumn("replacement_detection", replacement_detection([F.col(m) for m in marks]))
-    # Islands of one error: the count begins anew where the row before had another one.
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    fresh = ~F.col("error").eqNullSafe(F.lag("error").over(by))
-    rows = rows.withColumn("__start", F.when(fresh, F.col("version_after"))).withColumn("__start", F.max("__start").over(upto))
-    rows = rows.withColumn("error_count", F.when(F.col("error").isNull(), 0).otherwise(F.col("version_after") - F.coalesce("__start", F.lit(1)) + 1).cast("long"))
     waits = (F.col("result") == "change_detected") & ~(F.col("autonomous") if "autonomous" in observations.columns else F.lit(False))
-    rows = rows.withColumn("__pending", F.max(waits.cast("int")).over(upto))
-    return rows.withColumn("state", error_state(F.col("error"), F.col("__pending") == 1)).drop("__old", "__start", "__pending")
+    # Islands of one error: the count begins anew where the row before had another one.
+    begins = F.row_number().over(inside) == 1
+    rows = rows.withColumn("__waits", waits.cast("int")).withColumn("__inside", F.when(~begins & ~F.col("error").eqNullSafe(F.lag("error").over(inside)), F.col("version_after")))
+    own = F.struct(F.coalesce("error", F.lit("")).alias("error"), "version_after")
+    first, last = F.col("first_row"), F.lag("last_row").over(blocks)
+    rows = carried(
+        rows, [F.min_by(own, "row_number").alias("first_row"), F.max_by(own, "row_number").alias("last_row"), F.max("__inside").alias("inside"), F.max("__waits").alias("waits")],
+        {"start": F.last("start", ignorenulls=True).over(earlier), "opening": F.col("opening"), "waits": F.max("waits").over(earlier)},
+        {"opening": F.when(last.isNull() | (last["error"] != first["error"]), first["version_after"]), "start": F.coalesce("inside", "opening")},
+    )
+    start = F.coalesce(F.max("__inside").over(upto), "__before.opening", "__before.start", F.lit(1))
+    rows = rows.withColumn("error_count", F.when(F.col("error").isNull(), 0).otherwise(F.col("version_after") - start + 1).cast("long"))
+    rows = rows.withColumn("__pending", F.greatest(F.max("__waits").over(upto), "__before.waits"))
+    return rows.withColumn("state", error_state(F.col("error"), F.col("__pending") == 1)).drop("__old", "__inside", "__waits", "__before", "__pending", "block")
 
 
 def error_state(error: Column, pending: Column, fatal: tuple[str, ...] = FATAL) -> Column:
