@@ -65,3 +65,22 @@ def next_date(schedule: Column, on_or_after: Column) -> Column:
     dates = F.transform(F.split(schedule, "[;|]"), lambda e: F.trim(F.split_part(e, F.lit("="), F.lit(1))))
     found = F.transform(F.filter(dates, lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$")), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
     return F.array_min(F.filter(found, lambda d: d.isNotNull() & (d >= on_or_after)))
+
+
+def stale_from(last_success: Column, event_date: Column, required: Column) -> Column:
+    """Milliseconds of the epoch after which a source is stale if no success follows: the first instant at which ``is_stale`` holds, less one.
+
+    A week of days is looked at, each with the threshold of its own window: a threshold may be passed within a weekday, or at a midnight that brings a stricter one.
+    """
+    at = F.date_trunc("second", last_success.cast("timestamp"))
+
+    def passed(k: Column) -> Column:
+        day = F.date_add(at.cast("date"), k)
+        begin = F.when(k == 0, at).otherwise(day.cast("timestamp"))
+        window = stale_window(day, event_date, required)
+        limit = F.when(window == "event_day", STALE_HOURS["event_day"]).when(window == "event_window", STALE_HOURS["event_window"]).otherwise(STALE_HOURS["normal"]) * 3600
+        elapsed, left = business_seconds(at, begin), F.unix_timestamp(F.date_add(day, 1).cast("timestamp")) - F.unix_timestamp(begin)
+        within = (F.weekday(day) < 5) & (elapsed + left > limit) & (elapsed <= limit)
+        return F.when((k > 0) & (elapsed > limit), F.unix_millis(begin) - 1).when(within, F.unix_millis(begin) + (limit - elapsed) * 1000)
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(7)), passed))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, gates, lifecycle, monitor_rules, pages, records, releases, storage, validation, verification
+from . import analysis, gates, lifecycle, monitor_rules, pages, records, releases, storage, validation, verification, watch
 
-_MODULES = (validation, lifecycle, records, pages, monitor_rules, gates, releases, verification, storage, analysis)
+_MODULES = (validation, lifecycle, records, pages, monitor_rules, gates, releases, verification, storage, analysis, watch)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
