@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import html
-from ..operators import pages
+from ..operators import disclosure, pages
 from .views import view
 
 QUERIES: dict = {}
@@ -134,3 +134,32 @@ SELECT page_id, CASE WHEN code IS NULL THEN exact END AS exact, CASE WHEN code I
 def page_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pages.calendar(spark.sql(_DATED, pages=view(spark, sf_dir, "pages")))
     return out.select("page_id", F.array_join("exact", ";").alias("exact"), F.array_join("approximate", ";").alias("approximate"), "code")
+
+
+_INDEX = """concat('{"items": [', CASE page_id % 9 WHEN 0 THEN '' WHEN 1 THEN '{"title": "--"}, ' ELSE concat('{"title": " Results  ', CAST(page_id AS STRING), ' ", "id": ', CAST(page_id AS STRING), ', "pubdate": "',
+    CASE page_id % 9 WHEN 2 THEN '2026/05/08 10:00:00' WHEN 3 THEN '2026-05-08 15:05:01' ELSE '2026-05-07 10:00:00' END, '", "document_url": "', CASE page_id % 9 WHEN 4 THEN url WHEN 5 THEN '' ELSE concat('https', substr(url, strpos(url, ':'))) END,
+    '", "update_history": "', CASE WHEN page_id % 2 = 0 THEN 'corrected' ELSE '-' END, '"}, ') END, '{"title": "older"}]', CASE page_id % 9 WHEN 6 THEN ', "total_count": "many"' WHEN 7 THEN ', "total_count": 40' ELSE '' END, '}')"""
+_STRPOS = _INDEX.replace("strpos(url, ':')", "instr(url, ':')")
+
+
+@query(f"""WITH j AS (SELECT page_id, {_INDEX} AS j FROM pages),
+f AS (SELECT page_id, trim(regexp_replace(json_extract_string(j, '$.items[0].title'), '\\s+', ' ', 'g')) AS title, json_extract_string(j, '$.items[0].id') AS id, TRY_CAST(CASE WHEN json_extract_string(j, '$.items[0].pubdate') LIKE '____-__-__ %' THEN json_extract_string(j, '$.items[0].pubdate') END AS TIMESTAMP) - INTERVAL '9' HOUR AS t,
+  nullif(json_extract_string(j, '$.items[0].document_url'), '') AS u, regexp_matches(coalesce(json_extract_string(j, '$.items[0].update_history'), ''), '[a-z]') AS r, json_array_length(j, '$.items') AS n, json_extract_string(j, '$.total_count') AS c FROM j),
+k AS (SELECT *, CASE WHEN NOT regexp_matches(title, '[A-Za-z0-9]') THEN 'invalid_title' WHEN id IS NULL THEN 'invalid_id' WHEN t IS NULL OR t > TIMESTAMP '2026-05-08 06:05:00' THEN 'invalid_time' WHEN u IS NULL THEN 'missing_url' WHEN u NOT LIKE 'https://%' THEN 'invalid_url' WHEN c IS NOT NULL AND TRY_CAST(c AS BIGINT) IS NULL THEN 'invalid_count' END AS code FROM f)
+SELECT page_id, CASE WHEN code IS NULL THEN title END AS title, CASE WHEN code IS NULL THEN id END AS document_id, CASE WHEN code IS NULL THEN t END AS published_at, CASE WHEN code IS NULL THEN u END AS document_url, CASE WHEN code IS NULL THEN r END AS replacement_suspected, CASE WHEN code IS NULL THEN coalesce(CAST(c AS BIGINT), n::BIGINT) END AS item_count, code FROM k""")
+def disclosure_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as an index of two items, or one, some of them faulty."""
+    given = view(spark, sf_dir, "pages").selectExpr("page_id", f"{_STRPOS} AS body", "TIMESTAMP '2026-05-08 06:00:00' AS observed_at")
+    return disclosure.newest(given, "page_id")
+
+
+_GENERIC = """concat(CASE WHEN page_id % 10 = 0 THEN '[' ELSE '' END, '{"', CASE page_id % 10 WHEN 1 THEN 'name' ELSE 'title' END, '": "', CASE page_id % 10 WHEN 2 THEN '--' ELSE concat('Page  ', CAST(page_id AS STRING)) END, '"', CASE page_id % 10 WHEN 3 THEN ', "published_at": "2026-01-02T03:04:05"' WHEN 4 THEN ', "published_at": "2026-01-02T03:04:05+09:00"' ELSE '' END,
+    ', "', CASE page_id % 10 WHEN 1 THEN 'values' ELSE 'stable_metadata' END, '": ', CASE page_id % 10 WHEN 5 THEN '[1]' WHEN 6 THEN '{"period": {"a": 1}}' ELSE concat('{"Category": " c', CAST(page_id % 3 AS STRING), ' ", "language": ', CAST(page_id % 7 AS STRING), ', "else": [1]}') END, '}', CASE WHEN page_id % 10 = 0 THEN ']' ELSE '' END)"""
+
+
+@query(f"""WITH j AS (SELECT page_id, {_GENERIC} AS j FROM pages), f AS (SELECT page_id, page_id % 10 AS m, json_extract_string(j, '$.title') AS title, json_extract_string(j, '$.published_at') AS t, json_extract_string(j, '$.stable_metadata.Category') AS c, json_extract_string(j, '$.stable_metadata.language') AS l FROM j),
+k AS (SELECT *, CASE m WHEN 0 THEN 'not_object' WHEN 1 THEN 'unrecognised' WHEN 2 THEN 'invalid_title' WHEN 3 THEN 'invalid_time' WHEN 5 THEN 'metadata_not_object' WHEN 6 THEN 'not_scalar' END AS code FROM f)
+SELECT page_id, CASE WHEN code IS NULL THEN regexp_replace(title, '\\s+', ' ', 'g') END AS title, CASE WHEN code IS NULL THEN CAST(CAST(t AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP) END AS published_at, CASE WHEN code IS NULL THEN 'category=' || trim(c) || ';language=' || l END AS stable, code FROM k""")
+def json_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = disclosure.generic(view(spark, sf_dir, "pages").selectExpr("page_id", f"{_GENERIC} AS body"), "page_id")
+    return out.select("page_id", "title", "published_at", F.array_join(F.transform(F.array_sort(F.map_entries("stable_metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("stable"), "code")
