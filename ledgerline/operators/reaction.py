@@ -198,3 +198,37 @@ def price_checks(rows: DataFrame) -> DataFrame:
     bundles = rows.groupBy("bundle_id").agg(F.countDistinct("currency").alias("currencies"), F.count("role").alias("n"), F.countDistinct("role").alias("roles"))
     joined = rows.join(bundles, "bundle_id")
     return check(joined, "observation", [("currency", "several_currencies", F.col("currencies") > 1), ("role", "repeated_role", F.col("n") > F.col("roles")), ("price", "not_positive", F.col("price") <= 0), ("adjusted", "adjusted_price", F.col("adjusted"))])
+
+
+#: Trading times are given with this offset.
+OFFSET = "+09:00"
+
+
+def session_cover(bundles: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows (bundle_id, day, code): what is wrong with a bundle's dates and its verified sessions, and how they cover the days that its milestones need.
+
+    ``bundles``: bundle_id, announced_at (text with offset), pre_event_close_date, next_dates (array of dates). ``sessions``: bundle_id, pos, trading_date, open_at,
+    close_at (texts with offset). The days needed are the close before, the announcement's and the five next ones; the difference both ways is one
+    anti join each. ``day`` is null where a code is about the whole bundle. A bundle without sessions misses them all; sessions of no bundle are surplus.
+    """
+    announced = F.to_date(F.substring("announced_at", 1, 10))
+    ascending = lambda days: days == F.array_sort(F.array_distinct(days))
+    codes = F.array_compact(F.array(
+        F.when(~F.col("announced_at").endswith(OFFSET), "announcement_zone"), F.when((F.size("next_dates") != 5) | ~ascending(F.col("next_dates")), "next_dates_order"),
+        F.when(F.array_min("next_dates") <= announced, "next_date_not_after"),
+    ))
+    whole = bundles.select("bundle_id", F.lit(None).cast("date").alias("day"), F.explode(codes).alias("code"))
+    day = F.col("trading_date")
+    own = F.array_compact(F.array(
+        F.when(F.weekday(day) > 4, "weekend"), F.when(~F.col("open_at").endswith(OFFSET) | ~F.col("close_at").endswith(OFFSET), "session_zone"),
+        F.when((F.substring("open_at", 1, 10) != day.cast("string")) | (F.substring("close_at", 1, 10) != day.cast("string")), "other_date"),
+        F.when(F.col("open_at").try_cast("timestamp") >= F.col("close_at").try_cast("timestamp"), "not_before_close"),
+    ))
+    each = sessions.select("bundle_id", day.alias("day"), F.explode(own).alias("code"))
+    last = F.lag("trading_date").over(Window.partitionBy("bundle_id").orderBy("pos"))  # a bundle has a few sessions
+    order = sessions.withColumn("last", last).filter("trading_date <= last").select("bundle_id", day.alias("day"), F.lit("not_ascending").alias("code"))
+    needed = bundles.select("bundle_id", F.explode(F.array_distinct(F.concat(F.array("pre_event_close_date", announced), "next_dates"))).alias("day")).filter("day is not null")
+    there = sessions.select("bundle_id", day.alias("day")).distinct()
+    missing = needed.join(there, ["bundle_id", "day"], "left_anti").withColumn("code", F.lit("missing_session"))
+    surplus = there.join(needed, ["bundle_id", "day"], "left_anti").withColumn("code", F.lit("surplus_session"))
+    return whole.unionByName(each).unionByName(order).unionByName(missing).unionByName(surplus)
