@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def canonical(cell: Column, kind: str) -> Column:
-    """A cell's canonical text: UTC times with ``Z``, plain decimals without trailing zeros, lower booleans."""
+    """A cell's canonical text: UTC times with ``Z``, with microseconds where there are any, plain decimals with all digits but trailing zeros, lower booleans."""
     if kind in ("datetime", "aware_datetime"):
-        return F.date_format(F.to_utc_timestamp(cell.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        utc = F.to_utc_timestamp(cell.cast("timestamp"), F.current_timezone())
+        whole = F.unix_micros(cell.cast("timestamp")) % 1_000_000 == 0
+        return F.when(whole, F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     if kind == "decimal":
-        plain = F.regexp_replace(cell.cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1")
-        plain = F.regexp_replace(plain, r"\.$", "")
-        return F.when(plain == "-0", "0").otherwise(plain)
+        text, form = F.trim(cell.cast("string")), r"^([+-]?)0*(\d*)(?:\.(\d*?)0*)?$"
+        text = F.when(text.rlike(form), text).otherwise(cell.try_cast("decimal(38,18)").cast("string"))  # what is written with an exponent
+        sign, front, rest = (F.regexp_extract(text, form, i) for i in (1, 2, 3))
+        plain = F.concat(F.when(front == "", "0").otherwise(front), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+        return F.when((sign == "-") & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain)
     if kind == "integer":
         return cell.cast("bigint").cast("string")
     if kind == "boolean":
@@ -20,10 +24,18 @@ def canonical(cell: Column, kind: str) -> Column:
     return cell.cast("string")
 
 
+def compact_json(value: Column) -> Column:
+    """Compact JSON in which control characters are escaped with lower hex digits."""
+    text = F.to_json(value)
+    for code in (*range(0x0A, 0x10), *range(0x1A, 0x20)):
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u00{code:02X}", rf"$1\\u00{code:02x}")
+    return text
+
+
 def record_hash(fields: list[tuple[str, Column]]) -> Column:
     """SHA-256 of the compact JSON of ordered [field, value] pairs; a null value is blank."""
     pairs = [F.array(F.lit(name), F.coalesce(value, F.lit(""))) for name, value in fields]
-    return F.sha2(F.to_json(F.array(*pairs)), 256)
+    return F.sha2(compact_json(F.array(*pairs)), 256)
 
 
 def _sorted(value: Column, kind: T.DataType) -> Column:
@@ -48,10 +60,10 @@ def short_id(prefix: str, parts: list[Column], digits: int = 16) -> Column:
 def metadata_fingerprint(url: Column, title: Column, document: Column, published: Column, metadata: Column) -> Column:
     """SHA-256 of five ordered [name, value] pairs; null differs from empty, the map goes in key order."""
     entries = F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.array(e["key"], e["value"]))
-    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("null"))
-    names = ("canonical_url", "title", "document_id", "published_at")
+    quoted = lambda c: F.regexp_replace(compact_json(F.array(c)), r"^\[|\]$", "")
+    names = ("source_url", "title", "document_id", "published_at")
     parts = [F.concat(F.lit(f'["{n}",'), quoted(c), F.lit("]")) for n, c in zip(names, (url, title, document, published), strict=True)]
-    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit(',["stable_metadata",'), F.coalesce(F.to_json(entries), F.lit("[]")), F.lit("]]")), 256)
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit(',["stable_metadata",'), F.coalesce(compact_json(entries), F.lit("[]")), F.lit("]]")), 256)
 
 
 def manifest(tables: dict[str, DataFrame], key: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.hashing import short_id
+
 
 def eligible_baselines(baselines: DataFrame) -> DataFrame:
     """Locked baselines with a lock time that don't use later data."""
@@ -51,9 +53,9 @@ def consensus_comparison(expected: DataFrame, actual: DataFrame, keys: list[str]
 
 
 def segment_rollup(segments: DataFrame, by: list[str], order: str) -> DataFrame:
-    """First revenue and first profit of each category, with the profit's sign."""
+    """First revenue and first profit of each category, with the profit's sign; a category without a profit is only reported."""
     rows = segments.groupBy(*by).agg(F.min_by("revenue", F.when(F.col("revenue").isNotNull(), F.col(order))).alias("revenue"), F.min_by("profit", F.when(F.col("profit").isNotNull(), F.col(order))).alias("profit"))
-    return rows.withColumn("result", F.when(F.col("profit") > 0, "profit").when(F.col("profit") < 0, "loss").otherwise("even"))
+    return rows.withColumn("result", F.when(F.col("profit").isNull(), "reported_only").when(F.col("profit") > 0, "profit").when(F.col("profit") < 0, "loss").otherwise("even"))
 
 
 def hypothesis_links(hypotheses: DataFrame, findings: DataFrame, on: str) -> DataFrame:
@@ -90,3 +92,55 @@ def overall(events: DataFrame, dimensions: DataFrame) -> DataFrame:
     sums = dimensions.groupBy("event_id").agg(F.sum("sign").alias("s"), F.max(F.abs("sign")).alias("any"))
     word = F.when(F.col("s").isNull(), "inconclusive").when(F.col("s") > 0, "positive").when(F.col("s") < 0, "negative").when(F.col("any") > 0, "mixed").otherwise("in_line")
     return events.select("event_id").distinct().join(sums, "event_id", "left").select("event_id", word.alias("overall"))
+
+
+# The scope of a company's forecast, and what follows an evaluation.
+FULL_YEAR = "full_year"
+NEXT = {True: "ready_for_market_reaction_tracking", False: "evaluation_not_available"}
+
+
+def metric_rows(events: DataFrame, expected: DataFrame, reported: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """A row for each event and expected metric: its comparison with the consensus, the guidance's revision, the progress, and the limitations (codes) that kept one of them out.
+
+    ``events``: event_id, expected_scope. ``expected``: event_id, pos, metric, unit, consensus, guidance. ``reported``: event_id, metric, kind ('actual' or 'forecast'), pos,
+    value, unit, scope, of which the last of a kind counts. An actual in another unit is no actual; one of another period is only compared with the forecast. A forecast
+    that isn't the full year's, or in another unit, is none.
+    """
+    last = last_metrics(reported, ["event_id", "metric", "kind"])
+    of = lambda kind, p: last.filter(F.col("kind") == kind).select("event_id", "metric", *[F.col(c).alias(f"{p}_{c}") for c in ("value", "unit", "scope")])
+    rows = expected.join(events.select("event_id", "expected_scope"), "event_id").join(of("actual", "a"), ["event_id", "metric"], "left").join(of("forecast", "f"), ["event_id", "metric"], "left")
+    right = lambda p: F.col(f"{p}_unit").eqNullSafe(F.col("unit"))
+    actual, fits = F.when(right("a"), F.col("a_value")), F.col("a_scope").eqNullSafe(F.col("expected_scope"))
+    forecast = F.when(right("f") & (F.col("f_scope") == FULL_YEAR), F.col("f_value"))
+    rows = rows.withColumns({"actual": actual, "forecast": forecast})
+    compared = F.col("actual").isNotNull() & F.col("consensus").isNotNull()
+    pct, change = pct_change(F.col("actual"), F.col("consensus")), pct_change(F.col("forecast"), F.col("guidance"))
+    limits = F.array_compact(F.array(
+        F.when(F.col("a_value").isNotNull() & ~right("a"), F.concat("metric", F.lit(":actual_unit"))), F.when(compared & ~fits, F.concat("metric", F.lit(":period"))),
+        F.when(F.col("f_value").isNotNull() & F.col("forecast").isNull(), F.concat("metric", F.lit(":forecast"))),
+    ))
+    return rows.select(
+        "event_id", "pos", "metric", F.when(compared & fits, pct).alias("difference_pct"), F.when(compared & fits, band(pct, tolerance)).alias("result"), F.when(F.col("forecast").isNotNull() & F.col("guidance").isNotNull(), change).alias("revision_pct"),
+        F.when(F.col("forecast").isNotNull() & F.col("guidance").isNotNull(), revision(F.col("forecast"), F.col("guidance"), tolerance)).alias("revision"), F.when(F.col("actual").isNotNull(), progress(F.col("actual"), F.col("forecast"))).alias("progress_pct"), limits.alias("limitations"),
+    )
+
+
+def evaluations(events: DataFrame, metrics: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+    """One row for each event: evaluation_id, counts, dimensions, overall, status, limitations (each once, in the metrics' order) and what comes next.
+
+    ``metrics``: the result of ``metric_rows``; they vote as 'market_expectation' and 'company_guidance'. ``votes`` (event_id, dimension, vote) adds other dimensions, such as
+    explanations and hypotheses. An event without any vote is evaluated as insufficient data.
+    """
+    sign = lambda c, up, down: F.when(F.col(c) == up, 1).when(F.col(c) == down, -1).when(F.col(c).isNotNull(), 0)
+    own = metrics.select("event_id", F.inline(F.array(F.struct(F.lit("market_expectation").alias("dimension"), sign("result", "above", "below").alias("vote")), F.struct(F.lit("company_guidance").alias("dimension"), sign("revision", "up", "down").alias("vote"))))).filter("vote is not null")
+    signs = dimension_votes(own if votes is None else own.unionByName(votes.select("event_id", "dimension", "vote")))
+    named = signs.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("dimension", "sign"))).alias("dimensions"))  # a few of each event
+    ordered = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "metric", "limitations"))), lambda m: m["limitations"])))
+    counts = metrics.groupBy("event_id").agg(F.count("result").alias("n_comparisons"), F.count("revision").alias("n_guidance"), F.count("progress_pct").alias("n_progress"), ordered.alias("limitations"))
+    rows = events.join(overall(events, signs), "event_id").join(named, "event_id", "left").join(counts, "event_id", "left")
+    evaluated = F.col("overall") != "inconclusive"
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_comparisons", "n_guidance", "n_progress")}
+    return rows.withColumns(zero).select(
+        "event_id", short_id("EE-", [F.col("baseline_id"), F.col("analysis_id")]).alias("evaluation_id"), *zero, F.coalesce("dimensions", F.array().cast("array<struct<dimension:string,sign:int>>")).alias("dimensions"), "overall",
+        F.when(evaluated, "evaluated").otherwise("insufficient_data").alias("status"), F.coalesce("limitations", F.array().cast("array<string>")).alias("limitations"), F.when(evaluated, NEXT[True]).otherwise(NEXT[False]).alias("next_stage"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .issues import check, first_failure
+from .issues import check
 from .keys import in_order
 
 
@@ -33,15 +33,15 @@ def with_parent(df: DataFrame, id_col: str, supersedes_col: str, columns: list[s
 
 
 def check_lineage(df: DataFrame, table: str, key: str, id_col: str, supersedes_col: str) -> DataFrame:
-    """Superseded rows must exist, be another row, stand earlier and share the key; the first failure counts."""
+    """Superseded rows must exist and be another row; those that do must stand earlier and share the key, each an issue of its own."""
     rows = with_parent(df, id_col, supersedes_col, ["row_number", key]).filter(F.col(supersedes_col).isNotNull())
-    return first_failure(
+    itself, there = F.col(supersedes_col) == F.col(id_col), F.col("parent_row_number").isNotNull()
+    return check(
         rows, table,
         [
-            (supersedes_col, "supersedes_itself", F.col(supersedes_col) == F.col(id_col)),
-            (supersedes_col, "missing_parent", F.col("parent_row_number").isNull()),
-            (supersedes_col, "later_parent", F.col("parent_row_number") >= F.col("row_number")),
-            (supersedes_col, "other_key", ~F.col(f"parent_{key}").eqNullSafe(F.col(key))),
+            (supersedes_col, "supersedes_itself", itself), (supersedes_col, "missing_parent", ~itself & ~there),
+            (supersedes_col, "later_parent", ~itself & there & (F.col("parent_row_number") >= F.col("row_number"))),
+            (supersedes_col, "other_key", ~itself & there & ~F.col(f"parent_{key}").eqNullSafe(F.col(key))),
         ],
     )
 

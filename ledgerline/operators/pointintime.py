@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .issues import check, first_failure
-from .lineage import current, tails
+from .issues import check
+from .lineage import current
 
 
 def effective_times(events: DataFrame, statuses: DataFrame, key: str = "event_id") -> DataFrame:
@@ -138,26 +138,19 @@ def without_status(required: DataFrame, statuses: DataFrame) -> DataFrame:
     return required.join(current(statuses, "event_id", "status_id", "supersedes").select("event_id"), "event_id", "left_anti")
 
 
-def review_gate(reviews: DataFrame, statuses: DataFrame, baselines: DataFrame) -> DataFrame:
-    """A review needs an event that occurred, a locked baseline, and to be recorded after the confirmation."""
-    now = current(statuses, "event_id", "status_id", "supersedes").select("event_id", "status", F.col("recorded_at").alias("confirmed_at"))
-    rows = reviews.join(now, "event_id", "left").join(baselines.select("baseline_id", "baseline_status"), "baseline_id", "left")
+def review_gate(reviews: DataFrame, statuses: DataFrame, baselines: DataFrame, required: DataFrame, returns: tuple[str, ...] = ()) -> DataFrame:
+    """Reviews of events that need a lifecycle (``required``: event_id): the event must have occurred, and without that no return be given;
+    where it has, the baseline, if there is one, must be locked, and the review come after the confirmation."""
+    now = current(statuses, "event_id", "status_id", "supersedes").select("event_id", F.col("status").alias("__status"), F.col("recorded_at").alias("__confirmed_at"))
+    rows = reviews.join(required.select("event_id").distinct(), "event_id", "left_semi").join(now, "event_id", "left").join(baselines.select("baseline_id", "baseline_status"), "baseline_id", "left")
+    status, returned = F.coalesce("__status", F.lit("")), F.lit(False)
+    for c in returns:
+        returned = returned | F.col(c).isNotNull()
+    occurred = status == "occurred"
     return check(
         rows, "post_earnings_review",
-        [("event_id", "event_cancelled", F.col("status") == "cancelled"), ("event_id", "not_occurred", F.col("status").isNull() | ~F.col("status").isin("occurred", "cancelled")),
-         ("baseline_id", "baseline_not_locked", F.coalesce(F.col("baseline_status"), F.lit("")) != "locked"), ("recorded_at", "before_confirmation", F.col("recorded_at") < F.col("confirmed_at"))],
-    )
-
-
-def postponement_gate(statuses: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Of events that are postponed now: exactly one current baseline, locked, approved and locked before the new schedule."""
-    postponed = current(statuses, "event_id", "status_id", "supersedes").filter("status = 'postponed'")
-    ends = tails(baselines, "baseline_id", "supersedes").groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("baseline_status").alias("bs"), F.min("review_status").alias("rs"), F.max("locked_at").alias("locked_at"))
-    rows = postponed.join(ends, "event_id", "left")
-    return first_failure(
-        rows, "event_status_history",
-        [("event_id", "no_baseline", F.col("n").isNull()), ("event_id", "several_baselines", F.col("n") > 1), ("event_id", "baseline_unlocked", F.col("bs") != "locked"),
-         ("event_id", "baseline_unapproved", F.col("rs") != "approved"), ("scheduled_at", "locked_too_late", F.col("locked_at") >= F.col("scheduled_at"))],
+        [("event_id", "event_cancelled", status == "cancelled"), ("event_id", "not_occurred", ~status.isin("occurred", "cancelled")), ("event_id", "return_without_occurrence", ~occurred & returned),
+         ("baseline_id", "baseline_not_locked", occurred & (F.col("baseline_status") != "locked")), ("recorded_at", "before_confirmation", occurred & (F.col("recorded_at") < F.col("__confirmed_at")))],
     )
 
 

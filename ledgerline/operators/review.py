@@ -19,11 +19,12 @@ def review_state(directions: list[Column]) -> Column:
     return F.when(some("not_comparable"), "blocked").when(some("pending"), "provisional").otherwise("complete")
 
 
-def forecast_result(verified: DataFrame, key: str) -> DataFrame:
-    """``success``, ``failure``, ``partial_success`` or ``pending`` by what the hypotheses (key, result) came to."""
+def forecast_result(verified: DataFrame, key: str, reviews: DataFrame | None = None) -> DataFrame:
+    """``success``, ``failure``, ``partial_success`` or ``pending`` by what the hypotheses (key, result) came to; of ``reviews`` (key) those without any are pending too."""
     sets = verified.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("result") == r).cast("int")).alias(r) for r in ("supported", "invalidated", "pending")])
     word = F.when(F.col("n") == F.col("pending"), "pending").when(F.col("n") == F.col("supported"), "success").when(F.col("n") == F.col("invalidated"), "failure").otherwise("partial_success")
-    return sets.select(key, word.alias("forecast_result"))
+    out = sets.select(key, word.alias("forecast_result"))
+    return out if reviews is None else reviews.select(key).distinct().join(out, key, "left").select(key, F.coalesce("forecast_result", F.lit("pending")).alias("forecast_result"))
 
 
 # The words of reviews.
@@ -94,7 +95,8 @@ def learning_reviews(reviews: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def aggregate_divergences(reviews: DataFrame, by: list[str]) -> DataFrame:
-    return reviews.groupBy(*by).agg(F.countDistinct("review_id").alias("n_reviews"), F.countDistinct("event_id").alias("n_events"))
+    """Reviews and events of each combination, of those alone whose market parted from the earnings; ``learning.divergences`` has their lists."""
+    return reviews.filter(F.col("interpretation").isin(HIGHER, LOWER)).groupBy(*by).agg(F.countDistinct("review_id").alias("n_reviews"), F.countDistinct("event_id").alias("n_events"))
 
 
 def carryover_gates(reviews: DataFrame, prepared_at: Column) -> DataFrame:

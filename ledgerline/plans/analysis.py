@@ -110,7 +110,7 @@ def forecast_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT l_orderkey AS event_id, l_returnflag AS category, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pos, CASE WHEN l_partkey % 3 <> 0 THEN l_extendedprice END AS revenue, CASE WHEN l_suppkey % 4 <> 0 THEN l_extendedprice * (l_discount - l_tax) END AS profit FROM lineitem),
   g AS (SELECT event_id, category, arg_min(revenue, pos) FILTER (revenue IS NOT NULL) AS revenue, arg_min(profit, pos) FILTER (profit IS NOT NULL) AS profit FROM s GROUP BY 1, 2)
-  SELECT event_id, category, revenue, CASE WHEN profit > 0 THEN 'profit' WHEN profit < 0 THEN 'loss' ELSE 'even' END AS result FROM g""")
+  SELECT event_id, category, revenue, CASE WHEN profit IS NULL THEN 'reported_only' WHEN profit > 0 THEN 'profit' WHEN profit < 0 THEN 'loss' ELSE 'even' END AS result FROM g""")
 def segment_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS event_id", "l_returnflag AS category", "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pos", "CASE WHEN l_partkey % 3 <> 0 THEN l_extendedprice END AS revenue", "CASE WHEN l_suppkey % 4 <> 0 THEN l_extendedprice * (l_discount - l_tax) END AS profit")
     return ev.segment_rollup(rows, ["event_id", "category"], "pos").select("event_id", "category", "revenue", "result")
@@ -323,10 +323,12 @@ def reason_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reviews(spark, sf_dir).select("announcement_id", "state", "interpretation", "transition")
 
 
-@query(f"WITH {_HF} {_RESULT}, c AS (SELECT CAST(split_part(hypothesis_id, '-', 2) AS BIGINT) AS conv_id, * FROM hr) SELECT conv_id, CASE WHEN count(*) = sum((result = 'pending')::INT) THEN 'pending' WHEN count(*) = sum((result = 'supported')::INT) THEN 'success' WHEN count(*) = sum((result = 'invalidated')::INT) THEN 'failure' ELSE 'partial_success' END AS forecast_result, coalesce(string_agg(CASE WHEN result = 'supported' THEN hypothesis_id END, ',' ORDER BY hypothesis_id), '') AS supported, coalesce(string_agg(CASE WHEN result = 'pending' THEN hypothesis_id END, ',' ORDER BY hypothesis_id), '') AS pending FROM c GROUP BY 1")
+@query(f"WITH {_HF} {_RESULT}, c AS (SELECT CAST(split_part(hypothesis_id, '-', 2) AS BIGINT) AS conv_id, * FROM hr) SELECT conv_id, CASE WHEN count(*) = sum((result = 'pending')::INT) THEN 'pending' WHEN count(*) = sum((result = 'supported')::INT) THEN 'success' WHEN count(*) = sum((result = 'invalidated')::INT) THEN 'failure' ELSE 'partial_success' END AS forecast_result, coalesce(string_agg(CASE WHEN result = 'supported' THEN hypothesis_id END, ',' ORDER BY hypothesis_id), '') AS supported, coalesce(string_agg(CASE WHEN result = 'pending' THEN hypothesis_id END, ',' ORDER BY hypothesis_id), '') AS pending FROM c GROUP BY 1 UNION ALL SELECT DISTINCT conv_id + 1000000, 'pending', '', '' FROM conversations WHERE conv_id % 5 = 0")
 def forecast_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _results(spark, sf_dir).withColumn("conv_id", F.split_part("hypothesis_id", F.lit("-"), F.lit(2)).cast("long"))
-    return review.forecast_result(rows, "conv_id").join(review.ids_by_result(rows, "conv_id"), "conv_id").select("conv_id", "forecast_result", F.concat_ws(",", "supported_ids").alias("supported"), F.concat_ws(",", "pending_ids").alias("pending"))
+    reviews = view(spark, sf_dir, "conversations").select("conv_id").distinct()
+    reviews = rows.select("conv_id").union(reviews.filter("conv_id % 5 = 0").select(F.col("conv_id") + 1_000_000)).distinct()  # the latter have no hypotheses
+    return review.forecast_result(rows, "conv_id", reviews).join(review.ids_by_result(rows, "conv_id"), "conv_id", "left").select("conv_id", "forecast_result", F.concat_ws(",", "supported_ids").alias("supported"), F.concat_ws(",", "pending_ids").alias("pending"))
 
 
 
@@ -358,7 +360,7 @@ def carryover_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.aggregate_learning(rows, ["worked", "failed"]).select("field", "text", "n_reviews", "first_review_id")
 
 
-@query(f"WITH {_REVIEW} SELECT earnings, interpretation, transition, count(DISTINCT announcement_id) AS n_reviews, count(DISTINCT ticker) AS n_events FROM rv GROUP BY 1, 2, 3", "price", "announcement")
+@query(f"WITH {_REVIEW} SELECT earnings, interpretation, transition, count(DISTINCT announcement_id) AS n_reviews, count(DISTINCT ticker) AS n_events FROM rv WHERE interpretation LIKE 'possible_%_hurdle_than_recorded' GROUP BY 1, 2, 3", "price", "announcement")
 def carryover_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _reviews(spark, sf_dir).withColumnsRenamed({"announcement_id": "review_id", "ticker": "event_id"})
     return review.aggregate_divergences(rows, ["earnings", "interpretation", "transition"])

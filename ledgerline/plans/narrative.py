@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import narrative, reaction
+from ..operators import evaluation, narrative, reaction
 from .views import view, with_views
 
 QUERIES: dict = {}
@@ -102,3 +102,43 @@ def session_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     clock = lambda day, hour: F.concat(day.cast("string"), F.lit("T"), hour, F.expr("CASE WHEN m = 7 THEN '+08:00' ELSE '+09:00' END"))
     sessions = s.select(F.col("id").alias("bundle_id"), F.expr("CASE WHEN m = 5 THEN -pos ELSE pos END").alias("pos"), F.col("day").alias("trading_date"), clock(F.expr("CASE WHEN m = 8 THEN date_add(day, -1) ELSE day END"), F.lit("09:00:00")).alias("open_at"), clock(F.col("day"), F.expr("CASE WHEN m = 9 THEN '09:00:00' ELSE '15:30:00' END")).alias("close_at"))
     return reaction.session_cover(bundles, sessions).withColumn("day", F.col("day").cast("string"))
+
+
+# ---- evaluations: metrics of each event's first baseline against its results, with units, scopes and repeated figures planted.
+_EXPECTED = """SELECT k AS event_id, 0 AS pos, 'revenue' AS metric, 'JPY' AS unit, CAST(consensus_revenue AS DOUBLE) AS consensus, CAST(guidance_revenue AS DOUBLE) AS guidance FROM {baseline} WHERE v = 1
+  UNION ALL SELECT k, 1, 'profit', 'JPY', CASE WHEN k % 3 <> 0 THEN CAST(consensus_revenue AS DOUBLE) / 2 END, CAST(guidance_revenue AS DOUBLE) / 2 FROM {baseline} WHERE v = 1"""
+_REPORTED = """SELECT k AS event_id, 'revenue' AS metric, 'actual' AS kind, 0 AS pos, CAST(revenue AS DOUBLE) AS value, CASE WHEN k % 11 = 1 THEN 'unknown' ELSE 'JPY' END AS unit, CASE WHEN k % 7 = 2 THEN 'q1' ELSE 'full_year' END AS scope FROM {actual} WHERE k % 13 <> 4
+  UNION ALL SELECT k, 'profit', 'actual', 1, CAST(profit AS DOUBLE), 'JPY', 'full_year' FROM {actual} UNION ALL SELECT k, 'profit', 'actual', 0, 1.0, 'unknown', 'q1' FROM {actual}
+  UNION ALL SELECT k, 'revenue', 'forecast', 2, CAST(revenue AS DOUBLE) * 1.05, 'JPY', CASE WHEN k % 5 = 3 THEN 'half_year' ELSE 'full_year' END FROM {actual} WHERE k % 2 = 0 AND k % 13 <> 4
+  UNION ALL SELECT k, 'profit', 'forecast', 3, CAST(profit AS DOUBLE), CASE WHEN k % 9 = 5 THEN 'unknown' ELSE 'JPY' END, 'full_year' FROM {actual} WHERE k % 4 = 1"""
+_EVENTS = "SELECT k AS event_id, baseline_id, concat('DA-', CAST(k AS STRING)) AS analysis_id, 'full_year' AS expected_scope FROM {baseline} WHERE v = 1"
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    baseline, actual = view(spark, sf_dir, "baseline"), view(spark, sf_dir, "actual")
+    events = spark.sql(_EVENTS, baseline=baseline)
+    return events, evaluation.metric_rows(events, spark.sql(_EXPECTED, baseline=baseline), spark.sql(_REPORTED, actual=actual))
+
+
+_WITHIN = "CASE WHEN {e} = 0 OR abs(({a} - {e}) / abs({e}) * 100) <= 1 THEN '{same}' WHEN {a} > {e} THEN '{up}' ELSE '{down}' END"
+_METRICS_SQL = f"""WITH e AS ({_EXPECTED.format(baseline='baseline')}), p AS ({_REPORTED.format(actual='actual')}), l AS (SELECT event_id, metric, kind, arg_max(struct_pack(value := value, unit := unit, scope := scope), pos) AS x FROM p GROUP BY 1, 2, 3),
+j AS (SELECT e.*, a.x.value AS av, a.x.unit AS au, a.x.scope AS asc_, f.x.value AS fv, f.x.unit AS fu, f.x.scope AS fs FROM e LEFT JOIN l a ON a.event_id = e.event_id AND a.metric = e.metric AND a.kind = 'actual' LEFT JOIN l f ON f.event_id = e.event_id AND f.metric = e.metric AND f.kind = 'forecast'),
+w AS (SELECT *, CASE WHEN au = 'JPY' THEN av END AS act, CASE WHEN fu = 'JPY' AND fs = 'full_year' THEN fv END AS fc FROM j),
+mr AS (SELECT event_id, pos, metric, CASE WHEN asc_ = 'full_year' AND consensus <> 0 THEN (act - consensus) / abs(consensus) * 100 END AS difference_pct, CASE WHEN asc_ = 'full_year' AND act IS NOT NULL AND consensus IS NOT NULL THEN {_WITHIN.format(a='act', e='consensus', same='in_line', up='above', down='below')} END AS result,
+  CASE WHEN guidance <> 0 THEN (fc - guidance) / abs(guidance) * 100 END AS revision_pct, CASE WHEN fc IS NOT NULL THEN {_WITHIN.format(a='fc', e='guidance', same='unchanged', up='up', down='down')} END AS revision, CASE WHEN fc <> 0 THEN act / abs(fc) * 100 END AS progress_pct,
+  list_filter([CASE WHEN au <> 'JPY' THEN metric || ':actual_unit' END, CASE WHEN act IS NOT NULL AND consensus IS NOT NULL AND asc_ <> 'full_year' THEN metric || ':period' END, CASE WHEN fv IS NOT NULL AND fc IS NULL THEN metric || ':forecast' END], lambda x: x IS NOT NULL) AS lims FROM w)"""
+
+
+@query(f"{_METRICS_SQL} SELECT event_id, pos, metric, difference_pct, result, revision_pct, revision, progress_pct, array_to_string(lims, ',') AS limitations FROM mr", "event", "baseline", "actual")
+def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir)[1].withColumn("limitations", F.array_join("limitations", ","))
+
+
+@query(f"""{_METRICS_SQL}, vt AS (SELECT event_id, 'market_expectation' AS d, CASE result WHEN 'above' THEN 1 WHEN 'below' THEN -1 ELSE 0 END AS v FROM mr WHERE result IS NOT NULL UNION ALL SELECT event_id, 'company_guidance', CASE revision WHEN 'up' THEN 1 WHEN 'down' THEN -1 ELSE 0 END FROM mr WHERE revision IS NOT NULL),
+ds AS (SELECT event_id, d, sign(sum(v))::INT AS s FROM vt GROUP BY 1, 2), dd AS (SELECT event_id, sum(s) AS t, max(abs(s)) AS m, string_agg(d || '=' || s, ',' ORDER BY d) AS dims FROM ds GROUP BY 1),
+c AS (SELECT event_id, count(result) AS n_comparisons, count(revision) AS n_guidance, count(progress_pct) AS n_progress, array_to_string(flatten(list(lims ORDER BY pos)), ',') AS limitations FROM mr GROUP BY 1), ee AS ({_EVENTS.format(baseline='baseline')}),
+o AS (SELECT ee.*, n_comparisons, n_guidance, n_progress, limitations, coalesce(dims, '') AS dimensions, CASE WHEN t IS NULL THEN 'inconclusive' WHEN t > 0 THEN 'positive' WHEN t < 0 THEN 'negative' WHEN m > 0 THEN 'mixed' ELSE 'in_line' END AS overall FROM ee JOIN c USING (event_id) LEFT JOIN dd USING (event_id))
+SELECT event_id, 'EE-' || left(sha256(baseline_id || '|' || analysis_id), 16) AS evaluation_id, n_comparisons, n_guidance, n_progress, dimensions, overall, CASE overall WHEN 'inconclusive' THEN 'insufficient_data' ELSE 'evaluated' END AS status, limitations, CASE overall WHEN 'inconclusive' THEN 'evaluation_not_available' ELSE 'ready_for_market_reaction_tracking' END AS next_stage FROM o""", "event", "baseline", "actual")
+def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.evaluations(*_evaluated(spark, sf_dir))
+    return out.withColumns({"limitations": F.array_join("limitations", ","), "dimensions": F.array_join(F.transform("dimensions", lambda d: F.concat(d["dimension"], F.lit("="), d["sign"].cast("string"))), ",")})

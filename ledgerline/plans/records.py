@@ -81,7 +81,7 @@ def canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(f"""SELECT page_id, sha256('[["canonical_url",' || to_json({_CANON}) || '],["title",' || coalesce(to_json(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '')), 'null') || '],["document_id",' || to_json(CAST(page_id AS VARCHAR)) || '],["published_at",null],["stable_metadata",[["lang",' || to_json(regexp_extract(html, 'lang="([a-z]*)"', 1)) || '],["size","' || CAST(length(html) % 97 AS VARCHAR) || '"]]]]') AS fingerprint FROM pages""")
+@query(f"""SELECT page_id, sha256('[["source_url",' || to_json({_CANON}) || '],["title",' || coalesce(to_json(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '')), 'null') || '],["document_id",' || to_json(CAST(page_id AS VARCHAR)) || '],["published_at",null],["stable_metadata",[["lang",' || to_json(regexp_extract(html, 'lang="([a-z]*)"', 1)) || '],["size","' || CAST(length(html) % 97 AS VARCHAR) || '"]]]]') AS fingerprint FROM pages""")
 def metadata_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = view(spark, sf_dir, "pages")
     meta = F.create_map(F.lit("size"), (F.length("html") % 97).cast("string"), F.lit("lang"), F.regexp_extract("html", 'lang="([a-z]*)"', 1))

@@ -228,20 +228,12 @@ def lifecycle_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pit.without_status(pit.lifecycle_required(triggers), view(spark, sf_dir, "status"))
 
 
-@query(f"WITH {_CURRENT}, j AS (SELECT r.*, cur.status, cur.recorded_at AS confirmed_at, baseline_status FROM review r LEFT JOIN cur ON r.event_id = cur.event_id LEFT JOIN baseline b ON r.baseline_id = b.baseline_id) "
-       + rules_sql("post_earnings_review", "j", [("event_id", "event_cancelled", "status = 'cancelled'"), ("event_id", "not_occurred", "status IS NULL OR status NOT IN ('occurred', 'cancelled')"),
-           ("baseline_id", "baseline_not_locked", "coalesce(baseline_status, '') <> 'locked'"), ("recorded_at", "before_confirmation", "recorded_at < confirmed_at")]), "event", "status", "baseline", "review")
+@query(f"WITH {_CURRENT}, req AS (SELECT event_id FROM baseline UNION SELECT event_id FROM event WHERE o_totalprice > 400000), j AS (SELECT r.*, coalesce(cur.status, '') AS status, cur.recorded_at AS confirmed_at, baseline_status FROM review r JOIN req ON r.event_id = req.event_id LEFT JOIN cur ON r.event_id = cur.event_id LEFT JOIN baseline b ON r.baseline_id = b.baseline_id) "
+       + rules_sql("post_earnings_review", "j", [("event_id", "event_cancelled", "status = 'cancelled'"), ("event_id", "not_occurred", "status NOT IN ('occurred', 'cancelled')"), ("event_id", "return_without_occurrence", "status <> 'occurred' AND (return_1d IS NOT NULL OR return_5d IS NOT NULL)"),
+           ("baseline_id", "baseline_not_locked", "status = 'occurred' AND baseline_status <> 'locked'"), ("recorded_at", "before_confirmation", "status = 'occurred' AND recorded_at < confirmed_at")]), "event", "status", "baseline", "review")
 def lifecycle_review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pit.review_gate(view(spark, sf_dir, "review"), view(spark, sf_dir, "status"), view(spark, sf_dir, "baseline"))
-
-
-# The event that is postponed now is one whose last record says so: occurrences are left out of this history.
-@query("""WITH st AS (SELECT * FROM status WHERE status <> 'occurred'), tails AS (SELECT * FROM st s WHERE NOT EXISTS (SELECT 1 FROM st t WHERE t.supersedes = s.status_id)), cur AS (SELECT * FROM tails WHERE event_id IN (SELECT event_id FROM tails GROUP BY 1 HAVING count(*) = 1)),
-  bt AS (SELECT event_id, count(*) AS n, min(baseline_status) AS bs, min(review_status) AS rs, max(locked_at) AS locked_at FROM baseline b WHERE NOT EXISTS (SELECT 1 FROM baseline c WHERE c.supersedes = b.baseline_id) GROUP BY 1),
-  j AS (SELECT cur.row_number, CASE WHEN n IS NULL THEN 'no_baseline' WHEN n > 1 THEN 'several_baselines' WHEN bs <> 'locked' THEN 'baseline_unlocked' WHEN rs <> 'approved' THEN 'baseline_unapproved' WHEN bt.locked_at >= cur.scheduled_at THEN 'locked_too_late' END AS code FROM cur LEFT JOIN bt ON cur.event_id = bt.event_id WHERE status = 'postponed')
-  SELECT 'event_status_history' AS "table", row_number, CASE code WHEN 'locked_too_late' THEN 'scheduled_at' ELSE 'event_id' END AS "column", code FROM j WHERE code IS NOT NULL""", "event", "status", "baseline")
-def postponement_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pit.postponement_gate(view(spark, sf_dir, "status").filter("status <> 'occurred'"), view(spark, sf_dir, "baseline"))
+    required = pit.lifecycle_required([view(spark, sf_dir, "baseline"), view(spark, sf_dir, "event").filter("o_totalprice > 400000")])
+    return pit.review_gate(view(spark, sf_dir, "review"), view(spark, sf_dir, "status"), view(spark, sf_dir, "baseline"), required, ("return_1d", "return_5d"))
 
 
 # ---- lineage
@@ -260,7 +252,7 @@ def multi_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARENT = "p AS (SELECT s.*, t.row_number AS pr, t.event_id AS pe, t.status AS ps, t.recorded_at AS prec, t.scheduled_at AS psch FROM status s LEFT JOIN status t ON s.supersedes = t.status_id)"
 
 
-@query(f"""WITH {_PARENT} SELECT 'event_status_history' AS "table", row_number, 'supersedes' AS "column", code FROM (SELECT row_number, CASE WHEN supersedes = status_id THEN 'supersedes_itself' WHEN pr IS NULL THEN 'missing_parent' WHEN pr >= row_number THEN 'later_parent' WHEN pe <> event_id THEN 'other_key' END AS code FROM p WHERE supersedes IS NOT NULL) WHERE code IS NOT NULL""", "event", "status")
+@query(f"WITH {_PARENT}, o AS (SELECT * FROM p WHERE supersedes IS NOT NULL AND supersedes <> status_id) SELECT 'event_status_history' AS \"table\", row_number, 'supersedes' AS \"column\", 'supersedes_itself' AS code FROM p WHERE supersedes = status_id UNION ALL SELECT 'event_status_history', row_number, 'supersedes', 'missing_parent' FROM o WHERE pr IS NULL UNION ALL SELECT 'event_status_history', row_number, 'supersedes', 'later_parent' FROM o WHERE pr >= row_number UNION ALL SELECT 'event_status_history', row_number, 'supersedes', 'other_key' FROM o WHERE pe <> event_id", "event", "status")
 def lineage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.check_lineage(view(spark, sf_dir, "status"), "event_status_history", "event_id", "status_id", "supersedes")
 

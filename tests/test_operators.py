@@ -62,6 +62,27 @@ def test_lineage_failures(spark):
     df = spark.createDataFrame(rows, "row_number long, event_id string, id string, sup string")
     found = {(r["row_number"], r["code"]) for r in lineage.check_lineage(df, "t", "event_id", "id", "sup").collect()}
     assert found == {(4, "supersedes_itself"), (5, "missing_parent"), (6, "other_key"), (7, "later_parent")}
+    both = lineage.check_lineage(df.union(spark.createDataFrame([(9, "e", "j", "k"), (10, "f", "k", None)], df.schema)), "t", "event_id", "id", "sup").filter("row_number = 9")
+    assert {r["code"] for r in both.collect()} == {"later_parent", "other_key"}
+
+
+def test_canonical_forms_keep_every_digit(spark):
+    import hashlib
+    import json
+    from decimal import Decimal
+
+    forms = {"1.50": "1.5", "-0.00": "0", "+007": "7", "0.12345678901234567890": "0.1234567890123456789", "100": "100", ".5": "0.5", "-3.0": "-3", "12345678901234567890123456789.10": "12345678901234567890123456789.1", "1E+3": "1000"}
+    got = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in forms], "t string").select("t", hashing.canonical(F.col("t"), "decimal")).collect()}
+    assert got == forms and all(format(Decimal(t).normalize(), "f") == got[t] for t in forms if t not in ("-0.00", "12345678901234567890123456789.10"))
+    times = [dt.datetime(2026, 1, 2, 3, 4, 5), dt.datetime(2026, 1, 2, 3, 4, 5, 60)]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in times], "t timestamp").select(hashing.canonical(F.col("t"), "datetime")).collect()] == ["2026-01-02T03:04:05Z", "2026-01-02T03:04:05.000060Z"]
+    titles = ["plain", 'q"\\', "line\nend\t\x0b\x1f\x7f", "\\u000B", None, "日本/é"]
+    rows = spark.createDataFrame([(t,) for t in titles], "t string")
+    meta = F.create_map(F.lit("b"), F.col("t"), F.lit("a"), F.lit("\x0c\x1e"))
+    got = [r[0] for r in rows.select(hashing.metadata_fingerprint(F.lit("https://h/"), F.col("t"), F.lit(None).cast("string"), F.lit(""), meta)).collect()]
+    for title, found in zip(titles, got, strict=True):
+        plain = [["source_url", "https://h/"], ["title", title], ["document_id", None], ["published_at", ""], ["stable_metadata", [["a", "\x0c\x1e"], ["b", title]]]]
+        assert found == hashlib.sha256(json.dumps(plain, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest(), title
 
 
 def test_business_time(spark):
