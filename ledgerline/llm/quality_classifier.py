@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import picked, staged
 
-#: The most labelled rows of each class that are read to fit, and the bytes of each that go into training, from all over its text.
+#: The most labelled rows of each class that are read to fit, each with its whole text.
 SAMPLE_ROWS = 1500
-SAMPLE_BYTES = 2048
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 128
@@ -103,35 +102,35 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return found.select("doc_id", F.col("label").cast("int").alias("label"), half.alias("half"), "text"), (counts.get(0, 0), counts.get(1, 0))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cut = [spread(t.encode(), SAMPLE_BYTES) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["label", "piece"])
-
-
-def trained(pieces: list[bytes]) -> bytes:
-    """A dictionary of what the pieces have in common; so few that nothing can be trained are the dictionary themselves."""
-    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // 4)
+def trained(texts: list[bytes]) -> bytes:
+    """A dictionary of what the texts have in common; so few that nothing can be trained are the dictionary themselves."""
+    size = min(DICTIONARY_BYTES, sum(map(len, texts)) // 4)
     try:
-        return zstandard.train_dictionary(size, pieces, k=SEGMENT, d=PART, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, texts, k=SEGMENT, d=PART, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"\n".join(pieces).ljust(16)[-DICTIONARY_BYTES:]
+        return b"\n".join(texts).ljust(16)[-DICTIONARY_BYTES:]
+
+
+def _dictionaries(group: pa.Table) -> pa.Table:
+    """Of the training rows of a class (at most ``SAMPLE_ROWS`` of them) the dictionary."""
+    texts = [t.encode() for t in group.sort_by("doc_id").column("text").to_pylist() if t]
+    return pa.table({"label": group.column("label").slice(0, 1), "n": pa.array([len(texts)], pa.int64()), "dictionary": pa.array([trained(texts) if len(texts) > 1 else b""], pa.binary())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """One half of the sampled rows trains the dictionaries, the other calibrates, weighted by the classes' label counts.
 
-    Only pieces of ``SAMPLE_BYTES`` and, of whole texts, differences come to the driver.
+    Both are of whole texts, and a task for each class trains its dictionary. Only the dictionaries and the differences come to the driver.
     """
     sample, counts = labelled(docs, labels, **options)
     sample = staged(sample, "labelled")
     share = (counts[1] + 1) / (sum(counts) + 2)
     plain = Model(intercept=float(np.log(share / (1 - share))))
-    pieces = sample.filter("half = 0").orderBy("doc_id").select("label", "text").mapInArrow(_pieces, "label int, piece binary").collect()
-    by = [[bytes(r["piece"]) for r in pieces if r["label"] == k and r["piece"]] for k in (0, 1)]
-    if min(map(len, by)) < 2:
+    made = sample.filter("half = 0").groupBy("label").applyInArrow(_dictionaries, "label int, n long, dictionary binary").collect()  # two rows
+    by = {r["label"]: bytes(r["dictionary"]) for r in made if r["n"] > 1}
+    if len(by) < 2:
         return plain
-    model = Model((trained(by[0]), trained(by[1])))
+    model = Model((by[0], by[1]))
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +149,6 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
     return model
 
 
-def spread(raw: bytes, size: int) -> bytes:
-    """Of a longer text, pieces from all over it that make about ``size`` bytes of dictionary."""
-    if len(raw) <= size:
-        return raw
-    step = len(raw) // max(1, size // 128)
-    return b"".join(raw[i : i + 128] for i in range(0, len(raw), max(128, step)))
-
-
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
