@@ -8,8 +8,6 @@ the minimum and maximum of any dimension.
 
 from __future__ import annotations
 
-from os.path import commonprefix
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -52,25 +50,32 @@ def _curve(cells: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack(cells.to_numpy())))
 
 
-def _ordinal(df: DataFrame, column: str) -> Column:
-    """A number in the order of the column's values: numbers are their own, of others six bytes after what the least and the greatest begin with alike."""
-    kind = df.schema[column].dataType.typeName()
-    if kind in ("byte", "short", "integer", "long", "float", "double", "decimal"):
-        return F.col(column)
-    text = F.col(column).cast("string")
-    ends = df.agg(F.min(text).alias("low"), F.max(text).alias("high")).first()  # one row
-    same = len(commonprefix([ends["low"] or "", ends["high"] or ""]).encode())
-    rest = F.hex(F.substring(text.cast("binary"), same + 1, 6))
-    return F.when(text.isNotNull(), F.conv(F.rpad(rest, 12, "0"), 16, 10).cast("long"))
+def _is_number(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")
+
+
+def _cuts(df: DataFrame, column: str, steps: int) -> list:
+    """At most ``steps`` - 1 values at which cells begin, in the order of the column: approximate quantiles of numbers; of other values, taken as text, those
+    at even steps among the distinct ones, whole values in byte order."""
+    if _is_number(df, column):
+        one = df.select(F.col(column).cast("double").alias("x"))
+        return sorted(set(one.approxQuantile("x", [i / steps for i in range(1, steps)], 0.005)))
+    values = df.select(F.col(column).cast("string").alias("x")).filter("x is not null").distinct()
+    few = [r["x"] for r in values.limit(steps + 1).collect()]
+    if len(few) <= steps:
+        return sorted(few)[1:]
+    order = ranked(values, ["x"])
+    n = order.count()
+    at = sorted({i * n // steps for i in range(1, steps)})
+    return sorted(r["x"] for r in order.filter(F.col("rank").isin(at)).select("x").collect())
 
 
 def cell(df: DataFrame, column: str, bits: int = BITS) -> Column:
-    """Quantised value by approximate quantiles (at most 2**bits - 1 cuts), in the order of the values; 0 for null."""
-    steps, ordinal = (1 << bits) - 1, _ordinal(df, column)
-    one = df.select(ordinal.cast("double").alias("x"))
-    cuts = one.approxQuantile("x", [i / steps for i in range(1, steps)], 0.005) if df.take(1) else []
-    above = [F.when(ordinal > c, 1).otherwise(0) for c in sorted(set(cuts))]
-    return F.when(ordinal.isNull(), 0).otherwise(sum(above, F.lit(1)) if above else F.lit(1)).cast("int")
+    """Quantised value in the order of the values, from 1 up to 2**bits - 1; 0 for null. Few values are spread over all cells, so that they part the curve as coarsely as any other dimension does."""
+    steps, value = (1 << bits) - 1, F.col(column) if _is_number(df, column) else F.col(column).cast("string")
+    cuts = _cuts(df, column, steps)
+    above = sum((F.when(value > c if _is_number(df, column) else value >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return F.when(value.isNull(), 0).otherwise(F.floor(above * ((steps - 1) / max(1, len(cuts)))) + 1).cast("int")
 
 
 def ranked(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
@@ -106,18 +111,37 @@ def hilbert_shards(
     empty one; a null dimension is cell 0. Equal points and repeated rows are ordered by id, size and CRC. An
     empty table gives no rows; missing dimensions aren't allowed; extra columns are ignored.
     """
-    rows = picked(docs, doc_id=id_col, text=text_col, **{f"dim{i}": c for i, c in enumerate(dimensions)})
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    flat = staged(rows.select("doc_id", *[f"dim{i}" for i in range(len(dimensions))], (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")), "sizes")
+    return _placed(docs, shards, id_col, text_col, dimensions, bits, ())
+
+
+def write_shards(
+    docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", dimensions: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = BITS, partitions: int | None = None
+) -> None:
+    """The rows of ``docs``, all columns, as Parquet in folders ``shard=k`` of ``path``, in the order of the curve, so that the files' own minima and maxima let
+    readers skip them. A shard is as many files as ranges of rows meet in it; no task holds a whole one that is large. Rows as in ``hilbert_shards``.
+    """
+    rows = _placed(docs, shards, id_col, text_col, dimensions, bits, tuple(docs.columns))
+    n = max(shards, partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").select("shard", "row.*").write.partitionBy("shard").parquet(path)
+
+
+def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, dimensions: tuple[str, ...], bits: int, kept: tuple[str, ...]) -> DataFrame:
+    """With ``kept`` these columns too, in ``row``."""
+    if "shard" in kept:
+        raise ValueError("a column named shard would clash with the folders' own")
+    row = [F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")] if kept else []
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"dim{i}") for i, c in enumerate(dimensions)], *row)
+    raw, row = F.coalesce(F.col("text"), F.lit("")).cast("binary"), ["row"] if kept else []
+    flat = staged(rows.select("doc_id", *[f"dim{i}" for i in range(len(dimensions))], (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), *row), "sizes")
     cells = F.array(*[cell(flat, f"dim{i}", bits) for i in range(len(dimensions))])
-    placed = ranked(flat.select("doc_id", "size", "text_crc32", _curve(cells).alias("curve")), ["curve", "doc_id", "size", "text_crc32"])
+    placed = ranked(flat.select("doc_id", "size", "text_crc32", _curve(cells).alias("curve"), *row), ["curve", "doc_id", "size", "text_crc32"])
     total = flat.count()
     shard = F.expr(f"rank * {shards} div {max(1, total)}").cast("long")
     placed = placed.withColumn("shard_no", shard)
     first = F.expr(f"(shard_no * {total} + {shards - 1}) div {shards}")
     return placed.select(
         "doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), F.col("shard_no").cast("int").alias("shard"),
-        (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *row,
     )
 
 

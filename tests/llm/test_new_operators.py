@@ -249,3 +249,45 @@ def test_builders_write_in_completion_order(spark):
     after = {(r["level"], r["index"]): (r["position"], r["digest"]) for r in log.nodes.collect()}
     assert len(before) == 2 * 24 - 2 and all(after[k] == v for k, v in before.items())
     assert log.nodes.groupBy("tree", F.shiftright("index", 3)).count().count() == 5
+
+
+# 7: shards of texts with one odd value, and their files
+
+
+def test_one_odd_value_leaves_the_cells_of_the_rest(spark):
+    """Values that begin alike keep cells of their own, few or many of them."""
+    from ledgerline.llm import sharding
+
+    for n in (50, 500):
+        rows = [("a",), (None,)] + [(f"https://host{i:04d}.org",) for i in range(n)]
+        df = spark.createDataFrame(rows, "host string")
+        got = df.select("host", sharding.cell(df, "host").alias("c")).orderBy("host").collect()
+        cells = [r["c"] for r in got]
+        assert cells[0] == 0 and cells == sorted(cells) and cells[-1] <= 63 and len(set(cells)) >= min(n + 2, 60)
+
+
+def test_written_shards_let_readers_skip(spark, tmp_path):
+    """Files along the curve are skipped by ranges of each dimension far more often than files of random order."""
+    import pyarrow.parquet as pq
+
+    from ledgerline.llm import sharding
+
+    dice = random.Random(2)
+    rows = [(i, "x" * dice.randint(0, 20) if i % 50 else None, f"l{dice.randint(0, 7)}", f"https://host{dice.randint(0, 300):03d}", dice.randint(0, 5000)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sharding.write_shards(docs, f"{tmp_path}/curve", shards=40)
+    docs.orderBy(F.xxhash64("doc_id")).repartition(40).write.parquet(f"{tmp_path}/random")
+    again = spark.read.parquet(f"{tmp_path}/curve")
+    assert sorted(map(str, again.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    placed = {r["doc_id"]: r["shard"] for r in sharding.hilbert_shards(docs, shards=40).collect()}
+    assert {r["doc_id"]: r["shard"] for r in again.select("doc_id", "shard").collect()} == placed
+
+    def skipped(path, column, low, high):
+        files = [pq.ParquetFile(f) for f in path.rglob("*.parquet")]
+        stats = [f.metadata.row_group(0).column(f.schema_arrow.names.index(column)).statistics for f in files]
+        return sum(s.max < low or s.min > high for s in stats) / len(stats)
+
+    ranges = {"n_chars": (1000, 1500), "source": ("https://host100", "https://host130"), "lang": ("l3", "l3")}
+    share = {c: (skipped(tmp_path / "curve", c, *r), skipped(tmp_path / "random", c, *r)) for c, r in ranges.items()}
+    print({c: f"{a:.2f} of files skipped, {b:.2f} in random order" for c, (a, b) in share.items()})
+    assert all(a >= 0.4 and b <= 0.05 for a, b in share.values())
