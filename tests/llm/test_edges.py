@@ -152,3 +152,36 @@ def test_words_of_a_text_are_those_of_its_tokenizer():
     data, offs = words.text_bytes(pa.array(odd))
     for text, ids in zip(odd, tokens.ids(data, offs), strict=True):
         assert ids.tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids, re.escape(text)
+
+
+def test_automata_of_confirmed_phrases_decide(spark, monkeypatch):
+    """Phrases of several documents alone are compiled, and what is no phrase of an automaton isn't found."""
+    other = " ".join(f"other{k}" for k in range(70))
+    docs = spark.createDataFrame([(1, PASSAGE), (2, "x " + PASSAGE), (3, other), (4, other + " y"), (5, " ".join(f"own{k}" for k in range(90)))], "doc_id long, text string")
+    n_words = len(PASSAGE.split())
+    removed = lambda: {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_substrings(docs, shard_phrases=1, block_bytes=200).collect()}
+    assert removed() == {1: 0, 2: n_words, 3: 0, 4: 70, 5: 0}
+    every = substring_dedup.recurring_phrases
+
+    def some(survey):
+        found = every(survey)
+        assert not [r for r in found.collect() if b"own" in r["phrase"]]
+        return found.filter(~F.col("phrase").cast("string").contains("other"))
+
+    monkeypatch.setattr(substring_dedup, "recurring_phrases", some)
+    assert removed() == {1: 0, 2: n_words, 3: 0, 4: 0, 5: 0}
+
+
+def test_a_frequent_phrase_is_dealt_into_blocks(spark, monkeypatch):
+    """Half of all documents hold one passage: no block has more than its share of them, and salted lookups find the same."""
+    docs = spark.createDataFrame([(i, (f"word{i} " + PASSAGE) if i % 2 else f"word{i}") for i in range(400)], "doc_id long, text string")
+    n_words = len(PASSAGE.split())
+    want = {i: n_words if i % 2 and i > 1 else 0 for i in range(400)}
+    seen = []
+    real = substring_dedup.staged
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_substrings(docs, block_bytes=5000).collect()} == want
+    blocks = [len(r["doc_ids"]) for r in dict(seen)["located"].collect()]
+    assert sum(blocks) == 200 and max(blocks) < 60
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_substrings(docs).collect()} == want
