@@ -56,3 +56,23 @@ def integral(df: DataFrame, id_col: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Groups of more than one in so many rows are hot; there are at most so many of them.
+HOT_PARTS = 1024
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, spread: str, n_rows: int) -> DataFrame:
+    """Left join of ``rows`` to ``groups``, which has one row for each ``key`` (never null) and its number of rows, ``n``.
+
+    Hot groups, at most ``HOT_PARTS``, are broadcast, and their rows are dealt by ``spread`` over the parts of the
+    shuffle join that all other groups take.
+    """
+    hot = F.col("n") * HOT_PARTS > n_rows
+    fields = [c for c in groups.columns if c != key]
+    large = groups.filter(hot).select(key, F.struct(*fields).alias("__hot"))
+    # one struct, since a part of its own that is 0 on one side would become a filter and no key of the shuffle
+    small = groups.filter(~hot).select(F.struct(F.col(key).alias("key"), F.lit(0).alias("part")).alias("__to"), F.struct(*fields).alias("__cool"))
+    part = F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS)).cast("int"))
+    met = rows.join(F.broadcast(large), key, "left").withColumn("__to", F.struct(F.col(key).alias("key"), part.alias("part"))).join(small, "__to", "left")
+    return met.withColumn("__group", F.coalesce("__hot", "__cool")).select(*rows.columns, *[F.col(f"__group.{c}") for c in fields])

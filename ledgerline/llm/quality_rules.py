@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words
-from .common import picked, staged
+from .common import picked, staged, with_groups
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -103,7 +103,7 @@ def host_quality(
     """One row per document: its measures, ``base_failed``, its host's figures and ``kept``.
 
     Null or empty texts have no words and fail. Repeated rows stay repeated, each judged alone.
-    Empty input gives an empty result. Columns other than the three named ones are ignored.
+    Empty input gives an empty result. Hosts of more than a 1,024th of the documents are dealt over many tasks. Columns other than the three named ones are ignored.
     """
     per_doc = staged(
         measures(docs, id_col, text_col, host_col)
@@ -114,5 +114,6 @@ def host_quality(
     )
     hosts = host_rates(per_doc).withColumn("host_kept", F.col("host_rate") <= max_host_rate)
     key = F.struct(F.col("host").isNull().alias("no"), F.coalesce(F.col("host").cast("string"), F.lit("")).alias("h"))
-    left, right = per_doc.withColumn("k", key), hosts.withColumn("k", key).drop("host")
-    return left.join(right, "k", "left").drop("k").withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
+    left, right = per_doc.withColumn("k", key), hosts.withColumn("k", key).withColumn("n", F.col("docs")).drop("host")
+    met = with_groups(left, right, "k", "doc_id", per_doc.count())
+    return met.drop("k", "n").withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))

@@ -3,7 +3,7 @@
 Headers alone are shuffled by payload digest. The record with the least id of equal
 payloads stays a response, the others become revisits that name it; archives are written
 with fresh headers, and no revisit carries a payload. Archives are plain WARC/1.1 files:
-Spark's text sink writes one record a row and ends it by the two line ends the format
+Spark's text sink writes a row of whole records as a file and ends it by the two line ends the format
 asks for, so that retries and lost executors are the commit protocol's affair.
 """
 
@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import new_path, picked, staged
+from .common import new_path, picked, staged, with_groups
 
 FILE_BYTES = 24 << 20
+SEPARATOR = b"\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id {id}, uri string, record_type string, refers_to {id}, payload_digest string, payload_bytes bigint, intact boolean"
@@ -43,23 +44,24 @@ def headers(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pay
 
 
 def resolve(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Per digest that more than one row has: the least id, ``refers_to``. Only ids and digests are shuffled."""
+    """Per digest that more than one row has: the least id, ``original``, and the rows, ``n``. Only ids and digests are shuffled."""
     return (
         heads.filter(F.col("payload_bytes") >= min_bytes)
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
         .filter((F.col("n") > 1) & F.col("original").isNotNull())
-        .drop("n")
     )
 
 
 def resolved(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``heads`` with ``record_type`` and ``refers_to`` (null for responses).
 
-    Rows that repeat the least id itself are responses too; a null id never is referred to.
+    Rows that repeat the least id itself are responses too; a null id never is referred to. Payloads of more than a
+    1,024th of all pages are dealt over many tasks.
     """
     revisit = F.col("original").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return heads.join(resolve(heads, min_bytes), "payload_digest", "left").select(
+    originals = staged(resolve(heads, min_bytes), "originals")
+    return with_groups(heads, originals, "payload_digest", "page_id", heads.count()).select(
         *heads.columns,
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("original")).alias("refers_to"),
@@ -86,11 +88,26 @@ def record(when: str) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
+def _filled(batches: Iterator[pa.RecordBatch], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Records one after the other, as many a row as ``file_bytes`` hold."""
+    held: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for value in batch.column(0):
+            raw = value.as_buffer().to_pybytes()
+            if held and size + len(raw) > file_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(held)], pa.binary()).cast(pa.string())], ["value"])
+                held, size = [], 0
+            held.append(raw)
+            size += len(raw) + len(SEPARATOR)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(held)], pa.binary()).cast(pa.string())], ["value"])
+
+
 def write_archive(records: DataFrame, path: str, when: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
-    """Write resolved records as WARC files of about ``file_bytes`` (a longer record has a file to itself at worst)."""
-    size = records.agg(F.avg("payload_bytes").alias("b")).first()["b"] or 0
-    most = max(1, int(file_bytes / (size + 600)))
-    records.select(record(when).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
+    """Write resolved records as WARC files of at most ``file_bytes``, by their own bytes; a longer record has a file to itself."""
+    files = records.select(record(when).alias("value")).mapInArrow(lambda it: _filled(it, file_bytes), "value string")
+    files.write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -146,7 +163,8 @@ def dedup_archive(
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     heads = headers(pages, id_col, uri_col, payload_col)
-    whom = staged(resolved(heads.drop("payload", "uri"), min_bytes).filter(F.col("record_type") == "revisit").select("page_id", "payload_digest", "refers_to").distinct(), "revisits")
+    digests = staged(heads.drop("payload", "uri"), "digests")
+    whom = staged(resolved(digests, min_bytes).filter(F.col("record_type") == "revisit").select("page_id", "payload_digest", "refers_to").distinct(), "revisits")
     if whom.isEmpty():
         records = heads.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast(heads.schema["page_id"].dataType))
     else:

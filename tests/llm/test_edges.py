@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup
+from ledgerline.llm import common, decontamination, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, warc
 from ledgerline.llm.queries import tokenizer_path
 
 DICE = random.Random(11)
@@ -185,3 +185,35 @@ def test_a_frequent_phrase_is_dealt_into_blocks(spark, monkeypatch):
     assert sum(blocks) == 200 and max(blocks) < 60
     monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
     assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_substrings(docs).collect()} == want
+
+
+def test_hot_groups_are_dealt_over_tasks(spark):
+    """Half of all rows have one key: it is broadcast, and its rows spread over the shuffle's parts."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 1500).alias("k"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("k <> 7")
+    with_broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = common.with_groups(rows, groups, "k", "doc_id", 4000)
+        per_task = [r["count"] for r in met.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("count"), F.sum("least")).collect()]
+        got = {(r["doc_id"], r["k"], r["n"], r["least"]) for r in met.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_broadcast)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = {r["k"]: (r["n"], r["least"]) for r in groups.collect()}
+    assert got == {(r["doc_id"], r["k"], *sizes.get(r["k"], (None, None))) for r in rows.collect()}
+    assert max(per_task) < 1.2 * 4000 / len(per_task), per_task  # undealt, one task would have more than 2,000
+
+
+def test_archives_are_cut_by_their_own_bytes(spark, tmp_path):
+    """Long pages beside many short ones: no file is longer than asked for unless it is one record; a null id and a very long payload come back."""
+    rows = [(i, f"http://h/{i}", f"page {i} " * (400 if i % 9 == 0 else 1)) for i in range(300)] + [(None, "http://n", "without id"), (1000, "http://l", "long " * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    heads = warc.resolved(warc.headers(pages))
+    path = str(tmp_path / "archive")
+    warc.write_archive(heads, path, file_bytes=10_000)
+    files = [(f.stat().st_size, sum(1 for _ in warc.parse(f.read_bytes()))) for f in (tmp_path / "archive").glob("part-*")]
+    assert sum(n for _, n in files) == 302 and all(size <= 10_000 + 4 or n == 1 for size, n in files)
+    got = {r["page_id"]: (r["payload_bytes"], r["intact"]) for r in warc.read_archive(spark, path).collect()}
+    assert got == {i: (len(t), True) for i, _, t in rows}
