@@ -299,6 +299,9 @@ def repeated_substrings(
     answers = asked.groupBy("bucket").applyInArrow(_answer, "piece string, earlier binary").groupBy("piece").agg(F.collect_list("earlier").alias("earlier"))
     spans = located.join(answers, "piece", "left").mapInArrow(lambda it: _spans(it, window), "doc_id bigint, text_key bigint, spans array<struct<start:bigint,length:bigint>>")
     spans = staged(spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    losing = spans.select("doc_id", "text_key")
+    if losing.count() <= BROADCAST_ROWS:  # only the texts that lose words are shuffled
+        rows = rows.join(F.broadcast(losing), ["doc_id", "text_key"], "left_semi")
     whole = rows.join(spans, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans")
     cut = whole.mapInArrow(_cut, "doc_id bigint, text_key bigint, n_removed bigint, kept string, removed array<struct<start:bigint,length:bigint>>")
     once = cut.dropDuplicates(["doc_id", "text_key"])
