@@ -10,6 +10,11 @@ from pyspark.sql import Column, functions as F, types as T
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once a row however often the body, or a function over an array in it, names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no fragment; user info, port, path and query stay. Null for other forms."""
     part = lambda i: F.regexp_extract(url, _URL, i)

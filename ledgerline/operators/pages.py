@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html
+from ..functions.text import let
 
 # The marks of Japanese announcement calendars, and the elements that aren't shown.
 DATE = r"(20\d{2})\s*年\s*(\d{1,2})\s*月\s*(?:(\d{1,2})\s*日|(上旬|中旬|下旬|初旬|末))"
@@ -60,7 +61,11 @@ def metadata(pages: DataFrame, key: str = "page_id", source: str = "html") -> Da
 
 def segments(source: Column) -> Column:
     """A page's visible texts, one for each text node."""
-    cut = html.nodes(source)
+    return let(html.nodes(source), lambda cut: let(_hidden(cut), lambda hidden: _shown(cut, hidden)))
+
+
+def _hidden(cut: Column) -> Column:
+    """The runs of nodes (from, up to) that lie in elements that aren't shown."""
     ends = F.filter(F.transform(cut, lambda n, i: F.struct(n["tag"].alias("tag"), i.alias("i"))), lambda n: n["tag"].isin(*HIDDEN, *[f"/{t}" for t in HIDDEN]))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("since"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
@@ -71,7 +76,10 @@ def segments(source: Column) -> Column:
         return F.struct(depth.alias("depth"), F.when(acc["depth"] == 0, n["i"]).otherwise(acc["since"]).alias("since"), F.when(closed, hidden).otherwise(acc["out"]).alias("out"))
 
     open_end = lambda acc: F.when(acc["depth"] > 0, F.concat(acc["out"], F.array(F.struct(acc["since"].alias("a"), F.lit(2**31 - 1).alias("b"))))).otherwise(acc["out"])
-    hidden = F.aggregate(ends, start, step, open_end)
+    return F.aggregate(ends, start, step, open_end)
+
+
+def _shown(cut: Column, hidden: Column) -> Column:
     shown = F.filter(cut, lambda n, i: ~F.exists(hidden, lambda h: (h["a"] <= i) & (i < h["b"])))
     return F.filter(F.transform(shown, lambda n: html.clean(html.unescaped(n["text"]))), lambda t: t != "")
 
