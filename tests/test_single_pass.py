@@ -10,3 +10,19 @@ def test_calendar_parses_a_page_once(spark):
     body = "<noscript>2026年3月3日 決算発表</noscript>" + "<p>x</p>" * 1500 + "<p>2026年4月5日 決算発表</p>"
     got = pages.calendar(spark.createDataFrame([(1, body)], "page_id int, html string")).first()
     assert (got["exact"], got["code"]) == (["2026-04-05=決算発表"], None)
+
+
+def test_release_finds_its_numeric_lines_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(releases, "staged_rows", lambda df: seen.append(df) or df)
+    releases.read_releases(spark.createDataFrame([(1, "a")], "doc_id int, text string"))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(releases._NUMBER) == 1
+
+
+def test_releases_are_read_in_many_tasks(spark):
+    from ledgerline.plans import releases as plans
+
+    from . import oracle
+
+    assert plans._pages(spark, oracle.DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
