@@ -27,9 +27,14 @@ def tail_counts(df: DataFrame, key: str, id_col: str, supersedes_col: str) -> Da
 
 
 def with_parent(df: DataFrame, id_col: str, supersedes_col: str, columns: list[str]) -> DataFrame:
-    """``df`` with ``parent_<column>`` of the row it supersedes, null without one."""
+    """``df`` with ``parent_<column>`` of the row it supersedes, null without one.
+
+    Rows that supersede nothing stay out of the join: all their nulls would meet in one task.
+    """
     parents = df.select(F.col(id_col).alias("__parent"), *[F.col(c).alias(f"parent_{c}") for c in columns])
-    return df.join(parents, df[supersedes_col] == parents["__parent"], "left").drop("__parent")
+    later = df.filter(F.col(supersedes_col).isNotNull())
+    first = df.filter(F.col(supersedes_col).isNull()).select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(f"parent_{c}") for c in columns])
+    return later.join(parents, F.col(supersedes_col) == F.col("__parent"), "left").drop("__parent").unionByName(first)
 
 
 def check_lineage(df: DataFrame, table: str, key: str, id_col: str, supersedes_col: str) -> DataFrame:

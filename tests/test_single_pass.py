@@ -26,3 +26,13 @@ def test_releases_are_read_in_many_tasks(spark):
     from . import oracle
 
     assert plans._pages(spark, oracle.DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_rows_without_parent_stay_out_of_the_join(spark):
+    from ledgerline.operators import lineage
+
+    df = spark.createDataFrame([("a", None, 1), ("b", "a", 2), ("c", "z", 3)], "id string, sup string, row_number int")
+    out = lineage.with_parent(df, "id", "sup", ["row_number"])
+    assert sorted((r["id"], r["parent_row_number"]) for r in out.collect()) == [("a", None), ("b", 1), ("c", None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "isnotnull(sup" in plan
