@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .text import let
+
 
 def canonical(cell: Column, kind: str) -> Column:
     """A cell's canonical text: UTC times with ``Z``, with microseconds where there are any, plain decimals with all digits but trailing zeros, lower booleans."""
@@ -13,10 +15,15 @@ def canonical(cell: Column, kind: str) -> Column:
         return F.when(whole, F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     if kind == "decimal":
         text, form = F.trim(cell.cast("string")), r"^([+-]?)0*(\d*)(?:\.(\d*?)0*)?$"
-        text = F.when(text.rlike(form), text).otherwise(cell.try_cast("decimal(38,18)").cast("string"))  # what is written with an exponent
-        sign, front, rest = (F.regexp_extract(text, form, i) for i in (1, 2, 3))
-        plain = F.concat(F.when(front == "", "0").otherwise(front), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
-        return F.when((sign == "-") & (plain != "0"), F.concat(F.lit("-"), plain)).otherwise(plain)
+        text = let(text, lambda t: F.when(t.rlike(form), t).otherwise(cell.try_cast("decimal(38,18)").cast("string")))  # what is written with an exponent
+        parts = let(text, lambda t: F.array(*[F.regexp_extract(t, form, i) for i in (1, 2, 3)]))
+
+        def plain(p: Column) -> Column:
+            sign, front, rest = (F.get(p, F.lit(i)) for i in range(3))
+            bare = F.concat(F.when(front == "", "0").otherwise(front), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+            return F.when((sign == "-") & (bare != "0"), F.concat(F.lit("-"), bare)).otherwise(bare)
+
+        return let(parts, plain)
     if kind == "integer":
         return cell.cast("bigint").cast("string")
     if kind == "boolean":
@@ -26,10 +33,13 @@ def canonical(cell: Column, kind: str) -> Column:
 
 def compact_json(value: Column) -> Column:
     """Compact JSON in which control characters are escaped with lower hex digits."""
-    text = F.to_json(value)
-    for code in (*range(0x0A, 0x10), *range(0x1A, 0x20)):
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u00{code:02X}", rf"$1\\u00{code:02x}")
-    return text
+
+    def lower(text: Column) -> Column:
+        for code in (*range(0x0A, 0x10), *range(0x1A, 0x20)):
+            text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u00{code:02X}", rf"$1\\u00{code:02x}")
+        return text
+
+    return let(F.to_json(value), lambda text: F.when(text.contains("\\u00"), lower(text)).otherwise(text))
 
 
 def record_hash(fields: list[tuple[str, Column]]) -> Column:

@@ -36,3 +36,12 @@ def test_rows_without_parent_stay_out_of_the_join(spark):
     assert sorted((r["id"], r["parent_row_number"]) for r in out.collect()) == [("a", None), ("b", 1), ("c", None)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union") and "isnotnull(sup" in plan
+
+
+def test_record_hash_is_written_once_for_a_comparison(spark):
+    from ledgerline.plans import records
+
+    from . import oracle
+
+    plan = records.hash_mismatch(spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("sha2(") <= 2
