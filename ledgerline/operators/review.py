@@ -95,8 +95,8 @@ def learning_reviews(reviews: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def aggregate_divergences(reviews: DataFrame, by: list[str]) -> DataFrame:
-    """Reviews and events of each combination, of those alone whose market parted from the earnings; ``learning.divergences`` has their lists."""
-    return reviews.filter(F.col("interpretation").isin(HIGHER, LOWER)).groupBy(*by).agg(F.countDistinct("review_id").alias("n_reviews"), F.countDistinct("event_id").alias("n_events"))
+    """Reviews and events of each combination; ``learning.divergences`` has the lists of those whose market parted from the earnings."""
+    return reviews.groupBy(*by).agg(F.countDistinct("review_id").alias("n_reviews"), F.countDistinct("event_id").alias("n_events"))
 
 
 def carryover_gates(reviews: DataFrame, prepared_at: Column) -> DataFrame:

@@ -45,3 +45,10 @@ def test_record_hash_is_written_once_for_a_comparison(spark):
 
     plan = records.hash_mismatch(spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("sha2(") <= 2
+
+
+def test_divergences_count_every_review(spark):
+    from ledgerline.operators import review
+
+    rows = spark.createDataFrame([(1, 1, review.HIGHER), (2, 1, review.ALIGNED)], "review_id int, event_id int, interpretation string")
+    assert sorted(r["n_reviews"] for r in review.aggregate_divergences(rows, ["interpretation"]).collect()) == [1, 1]
