@@ -15,10 +15,13 @@ def tails(df: DataFrame, id_col: str, supersedes_col: str) -> DataFrame:
 
 
 def current(df: DataFrame, key: str, id_col: str, supersedes_col: str) -> DataFrame:
-    """The tail of each key that has exactly one."""
+    """The tail of each key that has exactly one.
+
+    One aggregate: Spark pushes a semi join into the parts of a union, whose partitions then may not fit those of the next join ("Can't zip RDDs").
+    """
     ends = tails(df, id_col, supersedes_col)
-    once = ends.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(key)
-    return ends.join(once, key, "left_semi")
+    once = ends.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(*df.columns)).alias("__row"))
+    return once.filter("__n = 1 and __key is not null").select("__row.*")
 
 
 def tail_counts(df: DataFrame, key: str, id_col: str, supersedes_col: str) -> DataFrame:
