@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .issues import check
+from .lineage import with_parent
 
 # Which part of a year a quarter's report covers.
 QUARTER_SCOPES = {1: "q1", 2: "half_year", 3: "q3", 4: "full_year"}
@@ -33,13 +34,12 @@ def operational(targets: DataFrame, now: F.Column) -> DataFrame:
 
 def evidence_status(evidence: DataFrame) -> DataFrame:
     """Corrections and retractions supersede something, originals nothing; a successor keeps its entity."""
-    parents = evidence.select(F.col("evidence_id").alias("supersedes"), F.col("entity_type").alias("__type"), F.col("entity_id").alias("__id"), F.lit(True).alias("__found"))
-    rows = evidence.join(parents, "supersedes", "left")
+    rows = with_parent(evidence, "evidence_id", "supersedes", ["evidence_id", "entity_type", "entity_id"])
     follows = F.col("status").isin("correction", "retraction_notice")
     return check(
         rows, "evidence",
         [("supersedes", "successor_without_parent", follows & F.col("supersedes").isNull()), ("supersedes", "original_with_parent", (F.col("status") == "original") & F.col("supersedes").isNotNull()),
-         ("supersedes", "missing_parent", F.col("supersedes").isNotNull() & F.col("__found").isNull()), ("entity_id", "other_entity", (F.col("__type") != F.col("entity_type")) | (F.col("__id") != F.col("entity_id")))],
+         ("supersedes", "missing_parent", F.col("supersedes").isNotNull() & F.col("parent_evidence_id").isNull()), ("entity_id", "other_entity", (F.col("parent_entity_type") != F.col("entity_type")) | (F.col("parent_entity_id") != F.col("entity_id")))],
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..operators import gates, observe, review
+from ..sources.tables import dealt
 from .monitor_rules import _TARGET
 from .validation import rules_sql
 from .views import view, with_views
@@ -44,7 +45,8 @@ _CHAIN = """SELECT DISTINCT row_number, k, n, evidence_id, CASE WHEN n > 1 AND k
 
 @query("WITH e AS (" + _CHAIN.format(evidence="evidence") + "), j AS (SELECT e.*, p.evidence_id AS pid, p.entity_id AS pe FROM e LEFT JOIN e p ON e.supersedes = p.evidence_id) " + rules_sql("evidence", "j", [("supersedes", "successor_without_parent", "status IN ('correction', 'retraction_notice') AND supersedes IS NULL"), ("supersedes", "original_with_parent", "status = 'original' AND supersedes IS NOT NULL"), ("supersedes", "missing_parent", "supersedes IS NOT NULL AND pid IS NULL"), ("entity_id", "other_entity", "pe <> entity_id")]), "evidence")
 def evidence_status_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.evidence_status(spark.sql(_CHAIN, evidence=view(spark, sf_dir, "evidence")))
+    # Dealt first: whole rows hardly repeat, so that what is distinct in each file's part would all be held at once.
+    return gates.evidence_status(spark.sql(_CHAIN, evidence=dealt(view(spark, sf_dir, "evidence"), "row_number")))
 
 
 _BUNDLE = """SELECT row_number, CASE WHEN k % 43 = 0 THEN -1 ELSE k END AS evaluation_id, CASE WHEN k % 19 = 0 THEN 'EVT-x' ELSE event_id END AS event_id, CASE WHEN k % 23 = 0 THEN 'CMP-x' ELSE company_id END AS company_id, scheduled_at + INTERVAL '1' HOUR * (k % 11 - 2) AS observed_at FROM {event}"""
