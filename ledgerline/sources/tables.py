@@ -121,12 +121,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def append_only(df: DataFrame, path: str, key: str) -> DataFrame:
     """Append the rows whose key is new: neither in ``path`` nor repeated inside ``df``. All others come back, unwritten.
 
-    One writer at a time: two that append at once could both find a key new.
+    One writer at a time: two that append at once could both find a key new. Rows are dealt by their key before anything is counted: keys are mostly
+    distinct, so that a count of each file's part would hold all its keys at once.
     """
     spark = df.sparkSession
-    once = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(key)
-    repeated = df.join(once, key, "left_anti").select(*df.columns)
-    df = df.join(once, key, "left_semi").select(*df.columns)
+    columns, alone = df.columns, "__once"
+    df = dealt(df, key).withColumn(alone, (F.count(F.lit(1)).over(Window.partitionBy(key)) == 1) & F.col(key).isNotNull())
+    repeated, df = df.filter(~F.col(alone)).select(*columns), df.filter(alone).select(*columns)
     try:
         held = spark.read.parquet(path).select(key)
     except AnalysisException as missing:  # nothing written yet
@@ -134,9 +135,8 @@ def append_only(df: DataFrame, path: str, key: str) -> DataFrame:
             raise
         df.write.parquet(path)
         return repeated
-    known = held.distinct()
-    refused = staged_rows(df.join(known, key, "left_semi").select(*df.columns).union(repeated))  # before the append changes what is known
-    df.join(known, key, "left_anti").select(*df.columns).write.mode("append").parquet(path)
+    refused = staged_rows(df.join(held, key, "left_semi").select(*columns).union(repeated))  # before the append changes what is known
+    df.join(held, key, "left_anti").select(*columns).write.mode("append").parquet(path)
     return refused
 
 
