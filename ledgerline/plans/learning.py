@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import evaluation as ev, learning
+from ..sources.tables import staged_rows
 from . import analysis
 from .views import view, with_views
 
@@ -33,13 +34,13 @@ def _staged_sql(rv: str) -> str:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    """reviews, verifications, numeric, guidance, stages, sources."""
-    rv = analysis._reviews(spark, sf_dir)
+    """reviews, verifications, numeric, guidance, stages, sources. What several of them are made from is written once, not worked out again for each use."""
+    rv = staged_rows(analysis._reviews(spark, sf_dir))
     turns = view(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("H-"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("hypothesis_id"), "text")
     hy = analysis._results(spark, sf_dir).join(turns, "hypothesis_id")
     arrays = {"one": "array(h.hypothesis_id)", "two": "array(h.hypothesis_id, concat('E-', CAST(r.announcement_id AS STRING)))", "inv": "array(concat('I-', h.hypothesis_id))", "none": "CAST(array() AS array<string>)"}
-    vf = spark.sql(_VERIFIED.format(rv="{rv}", hy="{hy}", **arrays), rv=rv, hy=hy)
-    base = view(spark, sf_dir, "baseline").filter("v = 1").join(view(spark, sf_dir, "actual"), "k").join(rv.select(F.col("announcement_id").alias("k")), "k").select("k", "revenue", "consensus_revenue", "guidance_revenue")
+    vf = staged_rows(spark.sql(_VERIFIED.format(rv="{rv}", hy="{hy}", **arrays), rv=rv, hy=hy))
+    base = staged_rows(view(spark, sf_dir, "baseline").filter("v = 1").join(view(spark, sf_dir, "actual"), "k").join(rv.select(F.col("announcement_id").alias("k")), "k").select("k", "revenue", "consensus_revenue", "guidance_revenue"))
     source = F.concat(F.lit("E-"), F.col("k").cast("string"))
     band = lambda column: ev.band(ev.pct_change(F.col("revenue").cast("double"), F.col(column).cast("double")))
     numeric = base.select(F.col("k").alias("review_id"), source.alias("source_id"), F.inline(F.array(F.struct(F.lit(0).alias("pos"), F.lit("revenue").alias("metric_name"), band("consensus_revenue").alias("result")), F.struct(F.lit(1).alias("pos"), F.lit("guided_revenue").alias("metric_name"), band("guidance_revenue").alias("result")))))
