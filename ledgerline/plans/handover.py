@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import evaluation, handover, learning, monitor
+from ..sources.tables import staged_rows
 from . import learning as plans, records
 from .validation import rules_sql
 from .views import view, with_views
@@ -86,7 +87,7 @@ def carryover_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = order.select(F.col("group_id").alias("context_id"), F.expr("CASE WHEN group_id % 7 = 3 THEN reverse(e) ELSE e END").alias("source_event_ids"))
     contexts = spark.sql(_CONTEXTS, r=reviews).join(events, "context_id")
     carried = learning.carried_rows(reviews, plans._lists(items)).groupBy(F.col("group_id").alias("context_id"), "field", "text").agg((F.count(F.lit(1)) + F.expr("max(CASE WHEN group_id % 7 = 4 THEN 1 ELSE 0 END)")).alias("occurrence_count"), F.collect_list("review_id").alias("source_review_ids"))
-    return handover.carryover_contract(contexts, spark.sql(_SOURCES, r=reviews), carried)
+    return handover.carryover_contract(contexts, spark.sql(_SOURCES, r=reviews), staged_rows(carried))  # read twice
 
 
 @query(rules_sql("monitor_target", "(SELECT k AS row_number, k % 9 = 0 AS other FROM event)", [("event_id", "other_company", "other")]), "event")
