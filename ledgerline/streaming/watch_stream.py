@@ -50,16 +50,52 @@ def prepared(observations: DataFrame, resolutions: DataFrame, targets: DataFrame
     return runs.unionByName(found)
 
 
+class _Open:
+    """A target's open changes while a batch of its rows is handled. Each access to the state is a message to the JVM and back, so new ones are kept here
+    and written at the end, and earlier ones are asked for only if there are any."""
+
+    def __init__(self, kept) -> None:
+        self.kept, self.new, self.earlier = kept, {}, None
+
+    def _earlier(self) -> bool:
+        if self.earlier is None:
+            self.earlier = next(iter(self.kept.keys()), None) is not None
+        return self.earlier
+
+    def some(self) -> bool:
+        return bool(self.new) or self._earlier()
+
+    def add(self, run_id: str, at_ms: int) -> None:
+        self.new[run_id] = at_ms
+
+    def begun(self, run_id: str) -> int | None:
+        if run_id in self.new:
+            return self.new[run_id]
+        return self.kept.getValue((run_id,))[0] if self._earlier() and self.kept.containsKey((run_id,)) else None
+
+    def close(self, run_id: str) -> None:
+        self.new.pop(run_id, None)
+        if self._earlier() and self.kept.containsKey((run_id,)):
+            self.kept.removeKey((run_id,))
+            self.earlier = None
+
+    def write(self) -> None:
+        for run_id, at_ms in self.new.items():
+            self.kept.updateValue((run_id,), (at_ms,))
+
+
 class _Target(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("target", STATE)
-        self.open = handle.getMapState("open", "run_id string", "at_ms long")
+        self.changes = handle.getMapState("open", "run_id string", "at_ms long")
+        self.open = _Open(self.changes)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = list(self.kept.get()) if self.kept.exists() else None
         timer = state[8] if state and state[8] is not None and not state[9] else None
         out, due = [], timer
+        self.open = _Open(self.changes)
         for r in pd.concat(list(rows)).sort_values(["at_ms", "kind", "row_number"], ascending=[True, False, True]).itertuples(index=False):
             if state is not None and state[8] is not None and not state[9] and r.at_ms > state[8]:
                 out.append(self._stale(key, state))
@@ -79,6 +115,7 @@ class _Target(StatefulProcessor):
                 state[8], state[9] = int(r.stale_ms), False
                 due = state[8]
             out.append((key[0], "run", r.run_id, r.at_ms, result, state[5], state[7], self._condition(state)))
+        self.open.write()
         if state is not None:
             self.kept.update(tuple(state))
         if due != timer:
@@ -90,6 +127,7 @@ class _Target(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = list(self.kept.get())
+        self.open = _Open(self.changes)
         out = [self._stale(key, state)] if not state[9] else []
         self.kept.update(tuple(state))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
@@ -104,21 +142,21 @@ class _Target(StatefulProcessor):
             result = "initialized" if not state[4] else "change_detected" if state[2] != r.fingerprint else "error" if replaced else "no_change"
             code, state[2], state[3], state[4] = monitor.AMBIGUOUS, r.fingerprint, now, True
             if result == "change_detected":
-                self.open.updateValue((r.run_id,), (int(r.at_ms),))
+                self.open.add(r.run_id, int(r.at_ms))
         code = None if result != "error" or pd.isna(code) else code
         state[7], state[6] = (state[7] + 1 if code is not None and state[6] == code else 1, code) if code is not None else (0, None)
         return result
 
     def _resolved(self, key: tuple, state: list | None, r) -> tuple:
-        begun = self.open.getValue((r.run_id,)) if state is not None and self.open.containsKey((r.run_id,)) else None
-        late = begun is not None and (r.at_ms < begun[0] or r.at_ms < state[1])
+        begun = self.open.begun(r.run_id) if state is not None else None
+        late = begun is not None and (r.at_ms < begun or r.at_ms < state[1])
         if begun is not None and not late:
-            self.open.removeKey((r.run_id,))
+            self.open.close(r.run_id)
         result = "no_open_change" if begun is None else "outside_window" if late else "resolved"
         return (key[0], "resolution", r.run_id, r.at_ms, result, state[5] if state else 0, state[7] if state else 0, self._condition(state) if state else "uninitialized")
 
     def _condition(self, state: list) -> str:
-        return "stopped" if state[6] in monitor.FATAL else "pending_human_review" if next(iter(self.open.keys()), None) is not None else "degraded" if state[6] else "healthy"
+        return "stopped" if state[6] in monitor.FATAL else "pending_human_review" if self.open.some() else "degraded" if state[6] else "healthy"
 
     def _stale(self, key: tuple, state: list) -> tuple:
         state[9] = True
