@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -54,6 +56,14 @@ def integral(df: DataFrame, id_col: str) -> Column:
     return F.col("doc_id").cast("long")
 
 
+def give_back() -> None:
+    """Give the memory that this process has freed back to the system: Spark's Python workers live on, and so does what an earlier stage's tasks left in them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

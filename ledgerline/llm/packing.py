@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words
-from .common import picked, staged
+from .common import give_back, picked, staged
 
 CAPACITY = 2048
 #: Words that a task keeps ids of, some 20 MB. They only save time.
 _CACHE_WORDS = 500_000
-_PIECE_BYTES = 2 << 20
+_PIECE_BYTES = 1 << 20
 _LETTER, _NUMBER, _MARK, _OTHER = 1, 2, 3, 4
 #: Kinds of the characters that are their own NFC form and lower-case one by one; blanks are 0, all that isn't listed is other.
 _KIND = np.full(1 << 16, _OTHER, dtype=np.uint8)
@@ -185,6 +185,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     tokens = _tokens.setdefault(path, WordTokens(path)) if path not in _tokens else _tokens[path]
     end, seen, step = np.uint32(end_id).tobytes(), {}, 4 * capacity
     for batch in batches:
+        give_back()
         for low, high, data, offs in words.pieces(batch.column(1), _PIECE_BYTES):
             rows, starts, lengths, crcs, numbers, ranks, raws = [], [], [], [], [], [], []
             for r, got in enumerate(tokens.ids(data, offs)):
