@@ -3,8 +3,9 @@
 A line's set are the shingles of ``SHINGLE`` characters at all its positions, in lower case. Its MinHash
 values are the least hashes of ``BINS`` equal parts of the ring of hashes, an empty part taking the
 next one's; they are aggregates over the exploded positions, which Spark compiles. Bands of two
-values bring alike lines together; every pair of a band is compared exactly (first, in rounds, one line of each band with those of other
-components, then all pairs that these links don't join yet), union-find joins the links, and the first line of each component stays.
+values bring alike lines together (first, in rounds, one line of each band and those of other
+components, then all pairs that these links don't join yet). Of such pairs, sketches rule out those whose sets provably differ too much, the
+others are compared exactly; union-find joins the links, and the first line of each component stays.
 
 Equal lines are one from the start. Texts are shuffled only of lines that share a band.
 """
@@ -29,9 +30,12 @@ DEPTH, EMPTY = 5, 4
 #: similarity 0.75 falls short with a probability of 0.008, one of 0.8 with 0.0015.
 AGREEING, FILLED = 8, 64
 BROADCAST_ROWS = 1_000_000
-STAR_ROUNDS = 2
+#: Rounds with one line of each bucket, and the lines of a bucket in the round after them.
+STAR_ROUNDS, STARS = 2, 32
 #: Lines of a bucket that meet in one task.
-BLOCK = 256
+BLOCK = 1024
+#: Longs of a line's sketch.
+WORDS = 32
 #: Share of all lines from which an equal line counts as hot; there are at most as many hot ones.
 HOT_SHARE = 1e-4
 
@@ -130,6 +134,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """Per line: ``h``, the ``size`` of its set and, in ``WORDS`` longs, for each of 64 * ``WORDS`` cells whether an odd number of its shingles fall into it."""
+    hashed = texts.select("h", _wide(F.col("line")).alias("wide")).select("h", F.explode(F.array_distinct(shingle_hashes("wide"))).alias("g"))
+    word, bit = F.shiftrightunsigned("g", 59), F.expr("shiftleft(1L, CAST(g & 63 AS INT))")
+    return hashed.groupBy("h").agg(F.count("g").alias("size"), *[F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("bigint")).alias(f"p{k}") for k in range(WORDS)])
+
+
+def _possible(similarity: float) -> Column:
+    """False only if lines ``x`` and ``y`` can't be so similar: cells of another parity hold a shingle that the other line hasn't."""
+    differ = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(WORDS)), F.lit(0))
+    sized = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
+    return sized & (differ * (1 + similarity) <= (1 - similarity) * (F.col("x.size") + F.col("y.size")) + 1e-6)
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose lines' sets have at least the Jaccard ``similarity``."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
@@ -140,12 +158,18 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return sized.filter(F.col("common") >= similarity * F.col("all") - 1e-6).select("a", "b")
 
 
-def _grouped(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The buckets' lines with the component ``c`` that links join them to so far."""
-    if groups is None:
-        return buckets.withColumn("c", F.col("h"))
-    joined = buckets.join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
-    return staged(joined, "grouped_lines")
+def _open(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The lines of the buckets that hold several components, with the component ``c`` that links join them to so far.
+
+    After the first round, buckets of two lines are settled: their one pair was compared.
+    """
+    grouped = buckets.withColumn("c", F.col("h"))
+    if groups is not None:
+        grouped = buckets.drop("c").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
+    grouped = grouped.repartition("band")
+    left = F.col("first") != F.col("last")
+    several = grouped.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.count("h").alias("lines")).filter(left & (F.col("lines") > 2) if groups is not None else left)
+    return staged(grouped.join(several.select("band"), "band"), "open_buckets")
 
 
 def _fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
@@ -154,40 +178,63 @@ def _fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
     return once if tried is None else once.join(tried, ["a", "b"], "left_anti")
 
 
-def _stars(grouped: DataFrame, tried: DataFrame | None, last: bool) -> DataFrame:
-    """Pairs (a, b) of one line of each bucket, that of the first or last component, and all lines of other components: as many as the bucket has lines."""
-    pick = F.max_by if last else F.min_by
-    chosen = grouped.groupBy("band").agg(pick("h", F.struct("c", "h")).alias("rep"), F.min("c").alias("first"), F.max("c").alias("last")).filter("first <> last").select("band", "rep")
-    x = grouped.join(chosen, "band").filter("h = rep").alias("x")
-    met = x.join(grouped.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & _alike())
+def _sketched(opened: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The lines with their sketches, never null, which spares a join's condition a test for each of its many columns."""
+    columns = ("h", "c", "n", "low", "high", "size", *[f"p{k}" for k in range(WORDS)])
+    return opened.join(sketches, "h").select("band", *[F.coalesce(k, F.lit(0).cast("bigint")).alias(k) for k in columns])
+
+
+def _stars(opened: DataFrame, sketches: DataFrame, tried: DataFrame | None, turn: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one line of each bucket, another one each turn, and all lines of other components, as many as the bucket has lines, that may be similar.
+
+    All lines of a bucket are as likely to be the one, so that most often it is of the largest component.
+    """
+    chosen = opened.groupBy("band").agg(F.min_by("h", F.xxhash64("h", F.lit(turn))).alias("rep"))
+    x = opened.join(chosen, "band").filter("h = rep").alias("x")
+    met = x.join(opened.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & _alike())
+    pairs = _fresh(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")), tried).alias("pair")
+    both = pairs.join(sketches.alias("x"), F.col("pair.a") == F.col("x.h")).join(sketches.alias("y"), F.col("pair.b") == F.col("y.h"))
+    return staged(both.filter(_possible(similarity)).select("pair.a", "pair.b"), "line_stars")
+
+
+def _many_stars(opened: DataFrame, sketches: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Such pairs with about ``STARS`` lines of each bucket, which reach most lines that are similar to a part of a large component only."""
+    parts = opened.groupBy("band").agg(F.ceil(F.count("h") / STARS).alias("parts"))
+    rows = _sketched(opened, sketches).repartition("band")
+    chosen = rows.join(parts, "band").filter(F.pmod(F.xxhash64("h", F.lit(-1)), "parts") == 0).alias("x")
+    met = chosen.join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & _alike() & _possible(similarity))
     return staged(_fresh(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")), tried), "line_stars")
 
 
-def _rest(grouped: DataFrame, tried: DataFrame) -> DataFrame:
-    """Every pair (a, b) that shares a bucket and isn't joined by links yet.
+def _rest(opened: DataFrame, sketches: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) that shares a bucket, isn't joined by links yet and may be similar.
 
     Large buckets are dealt into blocks of about ``BLOCK`` lines; each two blocks meet under a key of their own.
     """
-    several = grouped.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.ceil(F.count("h") / BLOCK).alias("blocks")).filter("first <> last").select("band", "blocks")
-    dealt = grouped.join(several, "band").withColumn("block", F.pmod("h", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    several = opened.groupBy("band").agg(F.ceil(F.count("h") / BLOCK).alias("blocks"))
+    dealt = _sketched(opened, sketches).join(several, "band").withColumn("block", F.pmod("h", "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("band", "i", "j")]
     fresh = F.expr("x.h < y.h and x.c <> y.c and (x.i = x.j or x.block <> y.block)")
-    met = dealt.alias("x").join(dealt.alias("y"), same[0] & same[1] & same[2] & fresh & _alike())
+    met = dealt.alias("x").join(dealt.alias("y"), same[0] & same[1] & same[2] & fresh & _alike() & _possible(similarity))
     return staged(_fresh(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")), tried), "line_rest")
 
 
 def _components(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, component) of the lines that links join: stars first, which settle large groups at the cost of their size, then all pairs that are left."""
-    links = tried = groups = None
-    for k in range(STAR_ROUNDS):
-        pairs = _stars(_grouped(buckets, groups), tried, last=k % 2 == 1)
+    sketches = staged(_sketches(texts), "line_sketches")
+    opened, tried, groups = buckets, None, None
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        found = _linked(pairs, texts, similarity)
+        return staged(connected(found if groups is None else groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found)), "groups")
+
+    for turn in range(STAR_ROUNDS + 1):
+        opened = _open(opened, groups)
+        pairs = _stars(opened, sketches, tried, turn, similarity) if turn < STAR_ROUNDS else _many_stars(opened, sketches, tried, similarity)
+        groups = joined(pairs)
         tried = pairs if tried is None else tried.union(pairs)
-        found = staged(_linked(pairs, texts, similarity), "line_links")
-        links = found if links is None else links.union(found)
-        groups = staged(connected(links), "groups")
-    found = _linked(_rest(_grouped(buckets, groups), tried), texts, similarity)
-    return staged(connected(links.union(found)), "groups")
+    return joined(_rest(_open(opened, groups), sketches, tried, similarity))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:

@@ -304,6 +304,24 @@ def test_lines_that_only_a_third_one_brings_together(spark):
     assert got == {k: k - k % 2 for k in range(80)}
 
 
+def test_lines_that_sketches_tell_apart_are_not_compared(spark, monkeypatch):
+    """Of a family of lines alike by about a half, only the pairs that may reach the similarity are compared, and none of the links is lost."""
+    dice = random.Random(8)
+    word = lambda: "".join(dice.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(60)]
+    rows = []
+    for _ in range(60):  # each pair differs by a word
+        other = set(dice.sample([k for k in range(60) if k != 30], 9))
+        one = [word() if k in other else w for k, w in enumerate(base)]
+        rows += [" ".join(one), " ".join(word() if k == 30 else w for k, w in enumerate(one))]
+    counts, real = [], line_dedup.staged
+    monkeypatch.setattr(line_dedup, "staged", lambda df, name: counts.append((name, real(df, name))) or counts[-1][1])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["first_doc_id"] for r in line_dedup.duplicate_lines(docs).collect()}
+    assert got == {k: k - k % 2 for k in range(120)}
+    assert sum(df.count() for name, df in counts if name == "compared_lines") <= 240
+
+
 def test_lines_that_differ_within_long_words(spark):
     """All positions count, so lines that differ past a word's ninth character aren't equal."""
     pairs = ["Invoice number INV-2024-000123 total", "Invoice number INV-2024-000999 total", "see https://example.org/a/report.pdf for details", "see https://example.org/b/minutes.html for details", "a long enough line, once", "A long enough line, once"]
