@@ -11,7 +11,7 @@ is lost.
 
 Sets with an equal segment are candidates. Large groups are linked star by star first;
 what links already connect needs no further comparison, and all other pairs of a segment
-are compared. A comparison begins with counts of n-grams by cells, whose difference bounds that of
+are compared. A comparison begins with parities, then with counts of n-grams by cells, whose differences bound that of
 the sets from below, and ends with the whole sets.
 """
 
@@ -38,7 +38,7 @@ DELETE_UP_TO = 16
 BROADCAST_ROWS = 500_000
 #: The share of signatures (one in so many) that the stars use, and their rounds.
 SAMPLE_SIGNATURES, STAR_ROUNDS = 8, 2
-#: Cells of the counts that every set carries into the last join.
+#: Bytes of the cells' parities that every set carries into the last join.
 CELLS = 128
 #: Members compared with one copy of a representative.
 SALT_ROWS = 4096
@@ -156,7 +156,7 @@ def _index(batches: Iterator[pa.RecordBatch], buckets: int, sample: int) -> Iter
             size = np.array([len(s) for s in sets], dtype=np.int64)
             sig, text, spare = signatures(sets)
             ids, comps = np.stack([2 * ids, 2 * ids + 1], 1).ravel(), np.repeat(comps, 2)
-            yield _rows(1, ids // 2 % buckets, doc=ids, n=np.repeat(size, 2), spare=spare, cells=_few_counts(sets))
+            yield _rows(1, ids // 2 % buckets, doc=ids, n=np.repeat(size, 2), spare=spare, cells=_parities(sets))
             if sample > 1:
                 chosen = (sig >> U64(56)) % U64(sample) == 0
                 sig, text = sig[chosen], text[chosen]
@@ -185,12 +185,13 @@ def _index(batches: Iterator[pa.RecordBatch], buckets: int, sample: int) -> Iter
                 yield _rows(2, (name[meet] >> U64(40)).astype(np.int64), sig=name[meet].view(np.int64), doc=doc[meet], comp=comp[meet])
 
 
-def _few_counts(sets: list[np.ndarray]) -> pa.Array:
-    """How many n-grams of each set fall into each of ``CELLS`` cells, at most 127, twice for each set."""
+def _parities(sets: list[np.ndarray]) -> pa.Array:
+    """For each of 8 * ``CELLS`` cells whether an odd number of a set's n-grams fall into it, a bit each; twice for each set."""
     size = [len(s) for s in sets]
-    at = np.repeat(np.arange(len(sets)), size) * CELLS + (words.mix(np.concatenate(sets)) & U64(CELLS - 1)).astype(np.int64)
-    counts = np.minimum(np.bincount(at, minlength=CELLS * len(sets)), 127).astype(np.int8).reshape(len(sets), CELLS)
-    flat = np.repeat(counts, 2, axis=0).ravel()
+    cell = (words.mix(np.concatenate(sets)) & U64(8 * CELLS - 1)).astype(np.int64)
+    bits = np.zeros(CELLS * len(sets), np.uint8)
+    np.bitwise_xor.at(bits, np.repeat(np.arange(len(sets)), size) * CELLS + (cell >> 3), (1 << (cell & 7)).astype(np.uint8))
+    flat = np.repeat(bits.view(np.int8).reshape(len(sets), CELLS), 2, axis=0).ravel()
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, CELLS), pa.int32()), pa.array(flat))
 
 
@@ -309,12 +310,12 @@ def _cheapest(index: DataFrame) -> DataFrame:
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in how many n-grams the cells' counts differ at least."""
-    return np.abs(a.astype(np.int16) - b).sum(1)
+    """Row by row, in how many n-grams the sets differ at least: in one of each cell of another parity."""
+    return np.bitwise_count((a ^ b).view(np.uint8)).sum(1, dtype=np.int64)
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by signature. Pairs of one signature and different components whose sizes and counts allow the similarity."""
+    """Rows come by signature. Pairs of one signature and different components whose sizes and parities allow the similarity."""
     held: list[np.ndarray] = []
 
     def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
@@ -348,10 +349,10 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _allowed(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """The pairs (rep, doc) whose sizes and few counts allow the similarity."""
+    """The pairs (rep, doc) whose sizes and parities allow the similarity."""
     info = index.filter("n is not null and doc % 2 = 0").select(F.shiftright("doc", 1).alias("id"), "n", "cells")
     both = pairs.join(info.toDF("rep", "m", "rep_cells"), "rep").join(info.toDF("doc", "n", "cells"), "doc")
-    apart = F.expr("aggregate(zip_with(cells, rep_cells, (a, b) -> abs(CAST(a AS INT) - CAST(b AS INT))), 0, (s, d) -> s + d)")
+    apart = F.expr("aggregate(zip_with(cells, rep_cells, (a, b) -> bit_count((a ^ b) & 255)), 0, (s, d) -> s + d)")
     return both.filter(DEN * F.least("n", "m") >= NUM * F.greatest("n", "m")).filter((DEN + NUM) * apart <= (DEN - NUM) * (F.col("n") + F.col("m"))).select("rep", "doc")
 
 

@@ -217,3 +217,15 @@ def test_archives_are_cut_by_their_own_bytes(spark, tmp_path):
     assert sum(n for _, n in files) == 302 and all(size <= 10_000 + 4 or n == 1 for size, n in files)
     got = {r["page_id"]: (r["payload_bytes"], r["intact"]) for r in warc.read_archive(spark, path).collect()}
     assert got == {i: (len(t), True) for i, _, t in rows}
+
+
+def test_parities_never_exceed_the_difference_and_tell_variants_apart():
+    """Of sets of 300 n-grams, none of similarity 0.75 is ruled out, and all of 0.6 are."""
+    dice = np.random.default_rng(4)
+    for shared, alike in ((258, True), (225, False)):  # of 300 each: 258 / 342 and 225 / 375
+        for _ in range(50):
+            grams = dice.integers(0, 2**63, 600 - shared, dtype=np.uint64)
+            sets = [np.sort(grams[:300]), np.sort(grams[300 - shared :])]
+            cells = ngram_join._parities(sets).flatten().to_numpy().reshape(-1, ngram_join.CELLS)
+            apart = int(ngram_join._apart(cells[:1], cells[2:3])[0])
+            assert apart <= 600 - 2 * shared and (7 * apart <= 600) == alike
