@@ -3,8 +3,8 @@
 A line's set are the shingles of ``SHINGLE`` characters at all its positions, in lower case. Its MinHash
 values are the least hashes of ``BINS`` equal parts of the ring of hashes, an empty part taking the
 next one's; they are aggregates over the exploded positions, which Spark compiles. Bands of two
-values bring alike lines together (first, in rounds, one line of each band and those of other
-components, then all pairs that these links don't join yet). Of such pairs, sketches rule out those whose sets provably differ too much, the
+values bring alike lines together: all pairs of small buckets at once; of large ones first, in rounds, one line and those of other
+components, then all pairs that these links don't join yet. Of such pairs, sketches rule out those whose sets provably differ too much, the
 others are compared exactly; union-find joins the links, and the first line of each component stays.
 
 Equal lines are one from the start. Texts are shuffled only of lines that share a band.
@@ -30,7 +30,9 @@ DEPTH, EMPTY = 5, 4
 #: similarity 0.75 falls short with a probability of 0.008, one of 0.8 with 0.0015.
 AGREEING, FILLED = 8, 64
 BROADCAST_ROWS = 1_000_000
-#: Rounds with one line of each bucket, and the lines of a bucket in the round after them.
+#: Lines of a bucket up to which all its pairs are made at once, so that their number grows with that of the lines.
+SMALL = 64
+#: Turns, at least two, in which one line of each larger bucket meets the others, and the lines of a bucket in the round after them.
 STAR_ROUNDS, STARS = 2, 32
 #: Lines of a bucket that meet in one task.
 BLOCK = 1024
@@ -82,14 +84,13 @@ def _values(lines: DataFrame, depth: int | None) -> DataFrame:
     keeps every line in the result.
     """
     wide = lines.select("h", _wide(F.col("line")).alias("wide")).select("h", "wide", _positions("wide").alias("n"))
-    at = wide.select("h", "wide", "n", F.explode(_offsets(F.col("n"))).alias("at"))
-    hashed = at.select("h", "n", "at", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(2 * SHINGLE))).alias("g"))
-    part, low = F.shiftright("g", 60) + BINS // 2, F.lit(True)
-    if depth:
-        bound = float(depth * BINS << 60) / F.col("n")
-        low = (F.col("n") <= depth * BINS) | (F.col("g").bitwiseAND((1 << 60) - 1) < bound.cast("bigint"))
-        hashed = hashed.filter(low | (F.col("at") == 1))
-    return hashed.groupBy("h").agg(F.max("n").alias("n"), *[F.min(F.when((part == k) & low, F.col("g"))).alias(f"m{k}") for k in range(BINS)])
+    # The bound is a line's own, so it is worked out before its positions are rows.
+    bound = F.when(F.col("n") > depth * BINS, (float(depth * BINS << 60) / F.col("n")).cast("bigint")) if depth else F.lit(None).cast("bigint")
+    at = wide.select("h", "wide", "n", F.coalesce(bound, F.lit(1 << 60)).alias("bound"), F.explode(_offsets(F.col("n"))).alias("at"))
+    hashed = at.select("h", "n", "at", "bound", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(2 * SHINGLE))).alias("g"))
+    low = F.col("g").bitwiseAND((1 << 60) - 1) < F.col("bound")
+    kept = hashed.filter(low | (F.col("at") == 1)).select("h", "n", F.when(low, F.col("g")).alias("g"), (F.shiftright("g", 60) + BINS // 2).cast("int").alias("part"))
+    return kept.groupBy("h").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("part") == k, F.col("g"))).alias(f"m{k}") for k in range(BINS)])
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -100,7 +101,8 @@ def signatures(lines: DataFrame) -> DataFrame:
     """
     bounded = staged(_digested(_values(lines, DEPTH)), "signatures")
     again = bounded.filter((F.col("n") > DEPTH * BINS) & (F.col("empty") > EMPTY)).select("h")
-    whole = _digested(_values(lines.join(_small(again), "h"), None))
+    # Written, or all texts would be read anew for these few lines wherever signatures are used.
+    whole = staged(_digested(_values(lines.join(_small(again), "h"), None)), "repeated_signatures")
     return bounded.join(_small(again), "h", "left_anti").unionByName(whole).drop("empty")
 
 
@@ -150,8 +152,12 @@ def _possible(similarity: float) -> Column:
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose lines' sets have at least the Jaccard ``similarity``."""
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    both = both.select("a", "b", _wide(F.col("line_a")).alias("wide_a"), _wide(F.col("line_b")).alias("wide_b"))
+    few = _small(pairs)
+
+    def side(end: str) -> DataFrame:
+        return texts.join(few.withColumn("h", F.col(end)), "h").select("a", "b", _wide(F.col("line")).alias(f"wide_{end}"))
+
+    both = side("a").join(side("b"), ["a", "b"])
     hashes = both.select("a", "b", shingle_hashes("wide_a").alias("x"), shingle_hashes("wide_b").alias("y"))
     # Written before they are judged, so that the optimiser doesn't make the sets anew for each place of the condition.
     sized = staged(hashes.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size(F.array_union("x", "y")).alias("all")), "compared_lines")
@@ -159,23 +165,19 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _open(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The lines of the buckets that hold several components, with the component ``c`` that links join them to so far.
-
-    After the first round, buckets of two lines are settled: their one pair was compared.
-    """
+    """The lines of the buckets that hold several components, with the component ``c`` that links join them to so far."""
     grouped = buckets.withColumn("c", F.col("h"))
     if groups is not None:
         grouped = buckets.drop("c").join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
     grouped = grouped.repartition("band")
-    left = F.col("first") != F.col("last")
-    several = grouped.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last"), F.count("h").alias("lines")).filter(left & (F.col("lines") > 2) if groups is not None else left)
+    several = grouped.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last")).filter("first <> last")
     return staged(grouped.join(several.select("band"), "band"), "open_buckets")
 
 
-def _fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+def _fresh(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     """Each of the pairs (a, b) once, the lesser line first, without those that were compared before."""
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return once if tried is None else once.join(tried, ["a", "b"], "left_anti")
+    return once.join(tried, ["a", "b"], "left_anti")
 
 
 def _sketched(opened: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -184,7 +186,7 @@ def _sketched(opened: DataFrame, sketches: DataFrame) -> DataFrame:
     return opened.join(sketches, "h").select("band", *[F.coalesce(k, F.lit(0).cast("bigint")).alias(k) for k in columns])
 
 
-def _stars(opened: DataFrame, sketches: DataFrame, tried: DataFrame | None, turn: int, similarity: float) -> DataFrame:
+def _stars(opened: DataFrame, sketches: DataFrame, tried: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of one line of each bucket, another one each turn, and all lines of other components, as many as the bucket has lines, that may be similar.
 
     All lines of a bucket are as likely to be the one, so that most often it is of the largest component.
@@ -192,9 +194,7 @@ def _stars(opened: DataFrame, sketches: DataFrame, tried: DataFrame | None, turn
     chosen = opened.groupBy("band").agg(F.min_by("h", F.xxhash64("h", F.lit(turn))).alias("rep"))
     x = opened.join(chosen, "band").filter("h = rep").alias("x")
     met = x.join(opened.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & _alike())
-    pairs = _fresh(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")), tried).alias("pair")
-    both = pairs.join(sketches.alias("x"), F.col("pair.a") == F.col("x.h")).join(sketches.alias("y"), F.col("pair.b") == F.col("y.h"))
-    return staged(both.filter(_possible(similarity)).select("pair.a", "pair.b"), "line_stars")
+    return staged(_judged(_fresh(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")), tried), sketches, similarity), "line_stars")
 
 
 def _many_stars(opened: DataFrame, sketches: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
@@ -220,20 +220,57 @@ def _rest(opened: DataFrame, sketches: DataFrame, tried: DataFrame, similarity:
     return staged(_fresh(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")), tried), "line_rest")
 
 
+def _near(buckets: DataFrame) -> DataFrame:
+    """Every pair (a, b) of lines with enough values in common that shares a small bucket."""
+    small = buckets.filter(F.col("lines") <= SMALL)
+    met = small.alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.h") < F.col("y.h")) & _alike())
+    return staged(met.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line_near")
+
+
+def _judged(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that may be similar."""
+    both = pairs.alias("pair").join(sketches.alias("x"), F.col("pair.a") == F.col("x.h")).join(sketches.alias("y"), F.col("pair.b") == F.col("y.h"))
+    return both.filter(_possible(similarity)).select("pair.a", "pair.b")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose lines are of two components."""
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()).select("a", "b")
+
+
 def _components(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, component) of the lines that links join: stars first, which settle large groups at the cost of their size, then all pairs that are left."""
-    sketches = staged(_sketches(texts), "line_sketches")
-    opened, tried, groups = buckets, None, None
+    """(node, component) of the lines that links join.
+
+    Pairs of small buckets are compared in two turns: of each line first the pair with the least other line, then those that are not joined yet.
+    Stars in the same turns settle the large groups of large buckets at the cost of their size, before all their pairs that are left are made.
+    """
+    near = _near(buckets)
+    large = staged(buckets.filter(F.col("lines") > SMALL), "large_buckets")
+    wanted = near.select("a").union(near.select("b")).union(large.select("h")).distinct().toDF("h")
+    sketches = staged(_sketches(texts.join(_small(wanted), "h", "left_semi")), "line_sketches")
+    possible = staged(_judged(near, sketches, similarity), "line_pairs")
+    first = staged(possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first_pairs")
+    stars, tried, groups = not large.isEmpty(), possible, None
 
     def joined(pairs: DataFrame) -> DataFrame:
         found = _linked(pairs, texts, similarity)
         return staged(connected(found if groups is None else groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(found)), "groups")
 
-    for turn in range(STAR_ROUNDS + 1):
-        opened = _open(opened, groups)
-        pairs = _stars(opened, sketches, tried, turn, similarity) if turn < STAR_ROUNDS else _many_stars(opened, sketches, tried, similarity)
+    opened = large
+    for turn in range(STAR_ROUNDS):
+        pairs = first if turn == 0 else staged(_apart(possible.join(first, ["a", "b"], "left_anti"), groups), "other_pairs")
+        if stars:
+            opened = _open(opened, groups)
+            added = _stars(opened, sketches, tried, turn, similarity)
+            pairs, tried = pairs.union(added), tried.union(added)
         groups = joined(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
+    if not stars:
+        return groups
+    opened = _open(opened, groups)
+    added = _many_stars(opened, sketches, tried, similarity)
+    groups, tried = joined(added), tried.union(added)
     return joined(_rest(_open(opened, groups), sketches, tried, similarity))
 
 
@@ -255,12 +292,12 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: float, min_
     signed = signatures(lines)
     # Dealt by band once: the least line of each bucket and its members are found in the same partitions.
     keys = signed.select("h", F.explode(F.array(*[f"band{k}" for k in range(len(BANDS))])).alias("band")).repartition("band")
-    met = keys.groupBy("band").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("band")
-    shared = staged(keys.join(met, "band").select("band", "h"), "shared_bands")
+    met = keys.groupBy("band").agg(F.count("h").alias("lines")).filter("lines > 1")
+    shared = staged(keys.join(met.hint("shuffle_hash"), "band").select("band", "h", "lines"), "shared_bands")
     wanted = staged(shared.select("h").distinct().join(firsts, "h").select("h", F.col("first.doc_id").alias("doc_id")), "wanted_lines")
     # Only the lines that are compared are read again, each from the first document that has it.
     texts = staged(lines.join(_small(wanted), ["doc_id", "h"]).groupBy("h").agg(F.min("line").alias("line")), "line_texts")
-    buckets = staged(shared.join(signed.select("h", "n", "low", "high"), "h"), "line_buckets")
+    buckets = staged(shared.join(signed.select("h", "n", "low", "high"), "h").select("band", "h", "n", "low", "high", "lines"), "line_buckets")
     groups = _components(buckets, texts, similarity)
     return _first_of_each(flat, firsts, groups)
 

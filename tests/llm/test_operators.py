@@ -322,6 +322,27 @@ def test_lines_that_sketches_tell_apart_are_not_compared(spark, monkeypatch):
     assert sum(df.count() for name, df in counts if name == "compared_lines") <= 240
 
 
+def test_small_buckets_take_no_rounds(spark, monkeypatch):
+    """All pairs of small buckets are made at once, only lines with enough values in common are sketched, and rounds of stars link the same lines."""
+    dice = random.Random(11)
+    word = lambda: "".join(dice.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(60)]
+    rows = []
+    for _ in range(30):  # pairs differ by a word, families by a fifth of the words; the lines after them by two thirds
+        one = [w if dice.random() < 0.8 else word() for w in base]
+        rows += [" ".join(one), " ".join(word() if k == 30 else w for k, w in enumerate(one)), " ".join(w if dice.random() < 0.35 else word() for w in base)]
+    names, real = [], line_dedup.staged
+    monkeypatch.setattr(line_dedup, "staged", lambda df, name: names.append((name, real(df, name))) or names[-1][1])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = lambda: {r["doc_id"]: r["first_doc_id"] for r in line_dedup.duplicate_lines(docs).collect()}
+    got = found()
+    assert got == {k: k - (k % 3 == 1) for k in range(90)}
+    steps = dict(names)
+    assert "open_buckets" not in steps and steps["line_sketches"].count() < steps["line_buckets"].select("h").distinct().count()
+    monkeypatch.setattr(line_dedup, "SMALL", 1)
+    assert found() == got and "open_buckets" in dict(names)
+
+
 def test_lines_that_differ_within_long_words(spark):
     """All positions count, so lines that differ past a word's ninth character aren't equal."""
     pairs = ["Invoice number INV-2024-000123 total", "Invoice number INV-2024-000999 total", "see https://example.org/a/report.pdf for details", "see https://example.org/b/minutes.html for details", "a long enough line, once", "A long enough line, once"]
