@@ -52,3 +52,9 @@ def test_divergences_count_every_review(spark):
 
     rows = spark.createDataFrame([(1, 1, review.HIGHER), (2, 1, review.ALIGNED)], "review_id int, event_id int, interpretation string")
     assert sorted(r["n_reviews"] for r in review.aggregate_divergences(rows, ["interpretation"]).collect()) == [1, 1]
+
+
+def test_release_figures_become_numbers_once(spark, monkeypatch):
+    monkeypatch.setattr(releases, "staged_rows", lambda df: df)
+    out = releases.release_metrics(releases.read_releases(spark.createDataFrame([(1, "a")], "doc_id int, text string")))
+    assert out._jdf.queryExecution().analyzed().toString().count("[△▲−-]?[\\d,]+") <= 1
